@@ -26,47 +26,53 @@ KEYS = ["ni", "nj"]
 FOLD_BAND = 65_536
 
 
-def fixed_point(value: Column, quantum: float) -> Column:
-    """``value`` as a whole number of quanta: integer sums do not depend on row order."""
-    return F.floor(value * F.lit(1.0 / quantum) + F.lit(0.5)).cast("long")
+def quantize(blocks: DataFrame, quanta: float | None) -> DataFrame:
+    """Block values as whole numbers of 1 / ``quanta``; integer sums ignore row order.
 
+    With ``quanta`` every method returns bit-identical values on any cluster layout, as
+    long as a sum stays below 2**63 quanta (beyond that the job fails, it never wraps).
+    """
+    if quanta is None:
+        return blocks
+    whole = {k: F.floor(F.col(k) * F.lit(quanta) + F.lit(0.5)).cast("long") for k in BLOCK}
+    return blocks.withColumns(whole)
+
+
+def restore(blocks: DataFrame, quanta: float | None) -> DataFrame:
+    """Undo ``quantize`` after the sums."""
+    if quanta is None:
+        return blocks
+    return blocks.withColumns({k: F.col(k) / F.lit(quanta) for k in BLOCK})
 
-def sum_blocks(contributions: DataFrame, quantum: float | None = None) -> DataFrame:
+
+def sum_blocks(contributions: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Sum blocks per node pair. Map-side partial sums absorb a hot node's own block."""
-    if quantum is None:
-        return contributions.groupBy(*KEYS).agg(*[F.sum(k).alias(k) for k in BLOCK])
-    sums = contributions.groupBy(*KEYS).agg(*[F.sum(fixed_point(F.col(k), quantum)).alias(k) for k in BLOCK])
-    return sums.select(*KEYS, *[(F.col(k) / F.lit(1.0 / quantum)).alias(k) for k in BLOCK])
+    return contributions.groupBy(*(keys or KEYS)).agg(*[F.sum(k).alias(k) for k in BLOCK])
 
 
 def assemble_blocks(
-    mesh: MeshFrames, kernel: ElementKernel | None = None, quantum: float | None = None
+    mesh: MeshFrames, kernel: ElementKernel | None = None, quanta: float | None = None
 ) -> DataFrame:
     """The default method on node blocks, upper triangle (ni <= nj).
 
     Nine sums share one hash key, and symmetry halves the keys, so the shuffle carries
-    about one eighteenth of the keys a scalar (row, col) aggregate would. With ``quantum``
-    the sums run on whole quanta and are exactly reproducible on any cluster layout.
+    about one eighteenth of the keys a scalar (row, col) aggregate would.
     """
-    return sum_blocks(block_contributions(mesh, kernel or simplified()), quantum)
+    rows = quantize(block_contributions(mesh, kernel or simplified()), quanta)
+    return restore(sum_blocks(rows), quanta)
 
 
 def assemble_private(
-    mesh: MeshFrames, kernel: ElementKernel | None = None, copies: int = 8, quantum: float | None = None
+    mesh: MeshFrames, kernel: ElementKernel | None = None, copies: int = 8, quanta: float | None = None
 ) -> DataFrame:
     """Private sums per hashed element slice, then a merge by node pair.
 
     The slice is part of the first shuffle key: the contributions of one hot node pair
     are spread over ``copies`` tasks and meet again as at most ``copies`` rows.
     """
-    rows = block_contributions(mesh, kernel or simplified(), ["elem_id"])
+    rows = quantize(block_contributions(mesh, kernel or simplified(), ["elem_id"]), quanta)
     rows = rows.withColumn("copy", F.pmod(F.xxhash64("elem_id"), F.lit(copies)))
-    if quantum is None:
-        private = rows.groupBy("copy", *KEYS).agg(*[F.sum(k).alias(k) for k in BLOCK])
-        return private.groupBy(*KEYS).agg(*[F.sum(k).alias(k) for k in BLOCK])
-    private = rows.groupBy("copy", *KEYS).agg(*[F.sum(fixed_point(F.col(k), quantum)).alias(k) for k in BLOCK])
-    merged = private.groupBy(*KEYS).agg(*[F.sum(k).alias(k) for k in BLOCK])
-    return merged.select(*KEYS, *[(F.col(k) / F.lit(1.0 / quantum)).alias(k) for k in BLOCK])
+    return restore(sum_blocks(sum_blocks(rows, ["copy", *KEYS])), quanta)
 
 
 def _fold(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -96,13 +102,20 @@ def fold_in_order(contributions: DataFrame, position: str, band: int = FOLD_BAND
     return _fold(in_band, KEYS, ["band"])
 
 
-def assemble_ordered(mesh: MeshFrames, kernel: ElementKernel | None = None, band: int = FOLD_BAND) -> DataFrame:
+def assemble_ordered(
+    mesh: MeshFrames, kernel: ElementKernel | None = None, band: int = FOLD_BAND, quanta: float | None = None
+) -> DataFrame:
     """Element-order fold; the baseline the other methods are checked against."""
-    return fold_in_order(block_contributions(mesh, kernel or simplified(), ["elem_id"]), "elem_id", band)
+    rows = quantize(block_contributions(mesh, kernel or simplified(), ["elem_id"]), quanta)
+    return restore(fold_in_order(rows, "elem_id", band), quanta)
 
 
 def assemble_by_batch(
-    mesh: MeshFrames, batches: DataFrame, kernel: ElementKernel | None = None, band: int = FOLD_BAND
+    mesh: MeshFrames,
+    batches: DataFrame,
+    kernel: ElementKernel | None = None,
+    band: int = FOLD_BAND,
+    quanta: float | None = None,
 ) -> DataFrame:
     """Fold batch after batch; ``batches`` is (elem_id, batch) with no conflicts inside a batch.
 
@@ -111,8 +124,8 @@ def assemble_by_batch(
     """
     kernel = kernel or simplified()
     tagged = prepared_elements(mesh, kernel).join(batches, "elem_id")
-    rows = blocks_of(tagged, kernel, ["batch"])
-    return fold_in_order(rows.withColumn("batch", F.col("batch").cast("long")), "batch", band)
+    rows = quantize(blocks_of(tagged, kernel, ["batch"]), quanta)
+    return restore(fold_in_order(rows.withColumn("batch", F.col("batch").cast("long")), "batch", band), quanta)
 
 
 def mirror_blocks(blocks: DataFrame) -> DataFrame:

@@ -144,11 +144,9 @@ def dataset_counts(runs: DataFrame) -> DataFrame:
 
 
 def thread_series(runs: DataFrame, metric: str = "assembly_ms") -> DataFrame:
-    """(case_name, kernel, algorithm, seq, threads, value): one curve per algorithm."""
-    window = Window.partitionBy(*DATASET, "algorithm").orderBy("threads", "ordinal")
-    return runs.select(
-        *DATASET, "algorithm", F.row_number().over(window).alias("seq"), "threads", F.col(metric).alias("value")
-    )
+    """(case_name, kernel, algorithm, threads, value), one curve after the other."""
+    ordered = runs.orderBy(*DATASET, "algorithm", "threads", "ordinal")
+    return ordered.select(*DATASET, "algorithm", "threads", F.col(metric).alias("value"))
 
 
 def stage_breakdown(runs: DataFrame) -> DataFrame:
@@ -241,22 +239,34 @@ def skipped_listing(runs: DataFrame) -> DataFrame:
     return runs.filter(F.col("status") != "PASS").select(*DATASET, "algorithm", "threads", "status", reason)
 
 
+SUMMARY_ORDER = [*DATASET, "part", "algorithm", "threads", "at"]
+
+
 def summary_lines(runs: DataFrame) -> DataFrame:
-    """(case_name, kernel, part, at, text): a Markdown summary, one line per row.
+    """(case_name, kernel, part, algorithm, threads, at, text): a Markdown summary.
 
-    ``part`` orders title, highlights, table rows and skipped rows inside a dataset.
+    One line per row; sorted by ``SUMMARY_ORDER`` the rows read as title, highlights,
+    table and skipped runs of each dataset.
     """
+    blank, zero = F.lit(""), F.lit(0)
 
-    def line(df: DataFrame, part: int, at: Column, text: Column) -> DataFrame:
-        return df.select(*DATASET, F.lit(part).alias("part"), at.cast("long").alias("at"), text.alias("text"))
+    def line(df, part: int, text: Column, algorithm=blank, threads=zero, at=zero) -> DataFrame:
+        return df.select(
+            *DATASET,
+            F.lit(part).alias("part"),
+            algorithm.alias("algorithm"),
+            threads.alias("threads"),
+            at.cast("long").alias("at"),
+            text.alias("text"),
+        )
+
+    def at_threads(prefix: str, algorithm: str, threads: str, form: str, value: str) -> Column:
+        return F.format_string(f"- {prefix}: `%s` @ `%d` threads, `{form}`", algorithm, threads, value)
 
     counts = dataset_counts(runs)
-    zero = F.lit(0)
-    none = F.when(F.col("passed") == 0, F.lit("\n\nNo PASS run.")).otherwise(F.lit(""))
-    title = line(counts, 0, zero, F.concat(F.lit("## "), "case_name", F.lit(" | kernel="), "kernel", none))
+    none = F.when(F.col("passed") == 0, F.lit("\n\nNo PASS run.")).otherwise(blank)
+    title = line(counts, 0, F.concat(F.lit("## "), "case_name", F.lit(" | kernel="), "kernel", none))
     top = highlights(runs)
-    fastest = F.format_string("- fastest: `%s` @ `%d` threads, `%.3f ms`", "fastest_algorithm", "fastest_threads", "fastest_ms")
-    speedup = F.format_string("- best speedup: `%s` @ `%d` threads, `%.3fx`", "speedup_algorithm", "speedup_threads", "best_speedup")
     memory = F.concat(
         F.lit("- lowest extra memory: `"), "memory_algorithm", F.lit("`, `"), memory_string(F.col("lowest_memory_bytes")), F.lit("`")
     )
@@ -264,9 +274,6 @@ def summary_lines(runs: DataFrame) -> DataFrame:
         "| algorithm | threads | assembly ms | total ms | speedup | efficiency | extra GiB | rel_l2 | status |\n"
         "| --- | ---: | ---: | ---: | ---: | ---: | ---: | ---: | --- |"
     )
-    table = line(counts.filter("passed > 0"), 4, zero, header)
-    # Rows sort by algorithm and threads; rank inside the (small) algorithm group.
-    order = F.row_number().over(Window.partitionBy(*DATASET).orderBy("algorithm", "threads", "ordinal"))
     row = F.format_string(
         "| %s | %d | %.3f | %.3f | %.3f | %.1f%% | %.3f | %.3e | %s |",
         "algorithm",
@@ -279,13 +286,20 @@ def summary_lines(runs: DataFrame) -> DataFrame:
         "rel_l2",
         "status",
     )
-    passed = F.count_if(F.col("status") == "PASS").over(Window.partitionBy(*DATASET))
-    shown = runs.withColumn("at", order).withColumn("passed", passed).filter("passed > 0")
-    rows = line(shown, 5, F.col("at"), row)
-    skipped = shown.filter(F.col("status") != "PASS")
+    usable = counts.filter("passed > 0")
+    shown = runs.join(usable.select(*DATASET), DATASET, "left_semi")
+    place = {"algorithm": F.col("algorithm"), "threads": F.col("threads"), "at": F.col("ordinal")}
     reason = F.coalesce(F.nullif("skip_reason", F.lit("")), "diagnostics")
-    misses = line(skipped, 6, F.col("at"), F.concat(F.lit("- "), "algorithm", F.lit(" @ "), "threads", F.lit(": "), "status", F.lit(", "), reason))
+    miss = F.concat(F.lit("- "), "algorithm", F.lit(" @ "), "threads", F.lit(": "), "status", F.lit(", "), reason)
+    parts = [
+        line(top, 1, at_threads("fastest", "fastest_algorithm", "fastest_threads", "%.3f ms", "fastest_ms")),
+        line(top, 2, at_threads("best speedup", "speedup_algorithm", "speedup_threads", "%.3fx", "best_speedup")),
+        line(top, 3, memory),
+        line(usable, 4, header),
+        line(shown, 5, row, **place),
+        line(shown.filter(F.col("status") != "PASS"), 6, miss, **place),
+    ]
     out = title
-    for part in (line(top, 1, zero, fastest), line(top, 2, zero, speedup), line(top, 3, zero, memory), table, rows, misses):
+    for part in parts:
         out = out.unionByName(part)
     return out

@@ -123,6 +123,9 @@ def read_runs_json(spark: SparkSession, paths: list[str]) -> DataFrame:
         "case_name",
         F.col("mesh.name").alias("mesh"),
         *[F.col(f"mesh.{m}").alias(m) for m in mesh],
-        F.posexplode("records").alias("ordinal", "r"),
+        F.explode("records").alias("r"),
     )
-    return rows.select("case_name", "mesh", *mesh, "r.*", F.col("r.assembly_mean_ms").alias("assembly_ms"), F.col("ordinal").cast("long").alias("ordinal"))
+    assembly_ms = F.col("r.assembly_mean_ms").alias("assembly_ms")
+    total_ms = F.col("r.total_mean_ms").alias("total_ms")
+    ordinal = F.monotonically_increasing_id().alias("ordinal")
+    return rows.select("case_name", "mesh", *mesh, "r.*", assembly_ms, total_ms, ordinal)
