@@ -1,4 +1,4 @@
-"""Element kernels as column expressions.
+"""Element kernels as SQL expressions.
 
 A kernel works in three steps, all inside whole-stage codegen:
 
@@ -9,6 +9,9 @@ A kernel works in three steps, all inside whole-stage codegen:
 
 Splitting the steps keeps every generated expression small; one nested expression for
 a whole element matrix exceeds the compiler's method limits and runs many times slower.
+The expressions are SQL text because a plan of this width is built much faster from a
+few strings than from hundreds of Column calls.
+
 All kernels are symmetric: block(b, a) is the transpose of block(a, b).
 """
 
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 
 from meshloom.model import MIN_VOLUME, POISSON_RATIO, YOUNG_MODULUS
 
+AXES = "xyz"
+
 
 @dataclass(frozen=True)
 class ElementKernel:
@@ -32,24 +37,22 @@ class ElementKernel:
     state: tuple[str, ...]
     prepare: Callable[[DataFrame], DataFrame]
     localise: Callable[[DataFrame], DataFrame]
-    entry: Callable[[int, int], Column]
+    entry: Callable[[int, int], str]
 
 
 def _same(df: DataFrame) -> DataFrame:
     return df
 
 
-def simplified_scale(elem_id: Column) -> Column:
-    # Reducing the id first keeps the product small; the remainder is unchanged.
-    return F.lit(1.0) + ((elem_id % 97) * 17 % 97) * F.lit(1.0e-4)
+# Reducing the id before the product keeps it small; the remainder is unchanged.
+SIMPLIFIED_SCALE = "1.0D + ((elem_id % 97) * 17 % 97) * 1.0E-4D"
 
 
-def _simplified_entry(i: int, j: int) -> Column:
-    distance = F.abs((F.col("a") - F.col("b")) * 3 + (i - j))
-    off_diagonal = F.lit(0.02) * F.col("scale") / (distance + 1)
+def _simplified_entry(i: int, j: int) -> str:
+    off_diagonal = f"0.02D * scale / (1 + abs((a - b) * 3 + {i - j}))"
     if i != j:
         return off_diagonal
-    return F.when(F.col("a") == F.col("b"), F.lit(2.0) * F.col("scale") + F.lit(0.01 * i)).otherwise(off_diagonal)
+    return f"if(a = b, 2.0D * scale + {0.01 * i!r}D, {off_diagonal})"
 
 
 def simplified() -> ElementKernel:
@@ -58,7 +61,7 @@ def simplified() -> ElementKernel:
         name="simplified",
         slots=(),
         state=("scale",),
-        prepare=lambda df: df.withColumn("scale", simplified_scale(F.col("elem_id"))),
+        prepare=lambda df: df.selectExpr("*", f"{SIMPLIFIED_SCALE} AS scale"),
         localise=_same,
         entry=_simplified_entry,
     )
@@ -66,43 +69,35 @@ def simplified() -> ElementKernel:
 
 def edge_vectors(df: DataFrame) -> DataFrame:
     """Edges e1, e2, e3 from corner 0 to corners 1, 2, 3."""
-    return df.withColumns({f"e{s}{c}": F.col(f"{c}{s}") - F.col(f"{c}0") for s in (1, 2, 3) for c in "xyz"})
+    return df.selectExpr("*", *[f"{c}{s} - {c}0 AS e{s}{c}" for s in (1, 2, 3) for c in AXES])
 
 
-def tet_determinant(df: DataFrame) -> DataFrame:
-    """Cross products c1 = e2 x e3, c2 = e3 x e1, c3 = e1 x e2 and ``det`` = e1 . c1."""
+def _cross(out: int, p: int, q: int) -> list[str]:
+    """The cross product of edges p and q as columns c{out}x, c{out}y, c{out}z."""
+    turned = {c: (AXES[(n + 1) % 3], AXES[(n + 2) % 3]) for n, c in enumerate(AXES)}
+    return [f"e{p}{u} * e{q}{v} - e{p}{v} * e{q}{u} AS c{out}{c}" for c, (u, v) in turned.items()]
 
-    def cross(p: int, q: int) -> dict[str, Column]:
-        axes = "xyz"
-        out = {}
-        for c in range(3):
-            u, v = axes[(c + 1) % 3], axes[(c + 2) % 3]
-            out[axes[c]] = F.col(f"e{p}{u}") * F.col(f"e{q}{v}") - F.col(f"e{p}{v}") * F.col(f"e{q}{u}")
-        return out
 
-    columns = {}
-    for target, (p, q) in {1: (2, 3), 2: (3, 1), 3: (1, 2)}.items():
-        columns |= {f"c{target}{axis}": col for axis, col in cross(p, q).items()}
-    df = df.withColumns(columns)
-    det = F.col("e1x") * F.col("c1x") + F.col("e1y") * F.col("c1y") + F.col("e1z") * F.col("c1z")
-    return df.withColumn("det", det).withColumn("volume", F.abs("det") / F.lit(6.0))
+def tet_determinant(df: DataFrame) -> DataFrame:
+    """Cross products c1 = e2 x e3, c2 = e3 x e1, c3 = e1 x e2, their ``det``, and ``volume``."""
+    df = df.selectExpr("*", *_cross(1, 2, 3), *_cross(2, 3, 1), *_cross(3, 1, 2))
+    df = df.selectExpr("*", "e1x * c1x + e1y * c1y + e1z * c1z AS det")
+    return df.selectExpr("*", "abs(det) / 6.0D AS volume")
 
 
 def shape_gradients(df: DataFrame) -> DataFrame:
     """Gradients g0..g3 of the linear shape functions; needs ``tet_determinant``."""
-    inner = {
-        f"g{s}{axis}": F.when(F.col("det") != 0, F.col(f"c{s}{axis}") / F.col("det")) for s in (1, 2, 3) for axis in "xyz"
-    }
-    df = df.withColumns(inner)
-    first = {f"g0{axis}": -(F.col(f"g1{axis}") + F.col(f"g2{axis}") + F.col(f"g3{axis}")) for axis in "xyz"}
-    return df.withColumns(first)
+    df = df.selectExpr("*", *[f"if(det <> 0, c{s}{c} / det, NULL) AS g{s}{c}" for s in (1, 2, 3) for c in AXES])
+    return df.selectExpr("*", *[f"-(g1{c} + g2{c} + g3{c}) AS g0{c}" for c in AXES])
+
+
+# NaN compares greater than every number in Spark, so it is tested by name.
+FALLS_BACK = f"size(nodes) <> 4 OR coalesce(isnan(volume) OR NOT volume > {MIN_VOLUME!r}D, true)"
 
 
 def falls_back() -> Column:
     """True where the physics kernel does not apply: not a tet4, or no positive volume."""
-    # NaN compares greater than every number in Spark, so it is tested by name.
-    flat = F.isnan("volume") | ~(F.col("volume") > F.lit(MIN_VOLUME))
-    return (F.size("nodes") != 4) | F.coalesce(flat, F.lit(True))
+    return F.expr(FALLS_BACK)
 
 
 def lame_constants(young: float, poisson: float) -> tuple[float, float]:
@@ -120,26 +115,20 @@ def physics_tet4(young: float = YOUNG_MODULUS, poisson: float = POISSON_RATIO) -
 
     def prepare(df: DataFrame) -> DataFrame:
         df = shape_gradients(tet_determinant(edge_vectors(df)))
-        df = df.withColumn("fallback", falls_back()).withColumn("scale", simplified_scale(F.col("elem_id")))
-        gradients = F.array(*[F.col(f"g{s}{axis}") for s in range(4) for axis in "xyz"])
+        df = df.selectExpr("*", f"{FALLS_BACK} AS fallback", f"{SIMPLIFIED_SCALE} AS scale")
+        gradients = ", ".join(f"g{s}{c}" for s in range(4) for c in AXES)
         # An element that falls back has no gradients; a null array keeps the row narrow.
-        return df.withColumn("grad", F.when(~F.col("fallback"), gradients))
+        return df.selectExpr("*", f"if(fallback, NULL, array({gradients})) AS grad")
 
     def localise(df: DataFrame) -> DataFrame:
-        a, b = F.col("a") * 3, F.col("b") * 3
-        usable = ~F.col("fallback")
-        df = df.withColumns(
-            {f"u{c}": F.when(usable, F.col("grad")[a + c]) for c in range(3)}
-            | {f"v{c}": F.when(usable, F.col("grad")[b + c]) for c in range(3)}
-        )
-        dot = F.col("u0") * F.col("v0") + F.col("u1") * F.col("v1") + F.col("u2") * F.col("v2")
-        return df.withColumn("shear", F.lit(mu) * dot)
-
-    def entry(i: int, j: int) -> Column:
-        value = F.lit(lam) * (F.col(f"u{i}") * F.col(f"v{j}")) + F.lit(mu) * (F.col(f"u{j}") * F.col(f"v{i}"))
+        at = [f"if(fallback, NULL, grad[{slot} * 3 + {c}]) AS {out}{c}" for out, slot in ("ua", "vb") for c in range(3)]
+        return df.selectExpr("*", *at).selectExpr("*", f"{mu!r}D * (u0 * v0 + u1 * v1 + u2 * v2) AS shear")
+
+    def entry(i: int, j: int) -> str:
+        value = f"{lam!r}D * (u{i} * v{j}) + {mu!r}D * (u{j} * v{i})"
         if i == j:
-            value = value + F.col("shear")
-        return F.when(F.col("fallback"), _simplified_entry(i, j)).otherwise(F.col("volume") * value)
+            value += " + shear"
+        return f"if(fallback, {_simplified_entry(i, j)}, volume * ({value}))"
 
     return ElementKernel(
         name="physics_tet4",
@@ -154,25 +143,20 @@ def physics_tet4(young: float = YOUNG_MODULUS, poisson: float = POISSON_RATIO) -
 def coupling_stiffness(df: DataFrame) -> DataFrame:
     """``stiffness`` = 1 / clamped volume: tet4 by determinant, hex8 by its axis edges."""
     df = tet_determinant(edge_vectors(df))
-    box = (F.col("x1") - F.col("x0")) * (F.col("y3") - F.col("y0")) * (F.col("z4") - F.col("z0"))
-    is_tet = F.size("nodes") == 4
-    measure = F.when(is_tet, F.col("volume")).otherwise(box)
-    # fmax() of a NaN and a number is the number; greatest() would keep the NaN.
-    clamped = F.when(F.isnan(measure), F.lit(1.0e-10)).otherwise(F.greatest(measure, F.lit(1.0e-10)))
-    return df.withColumn("clamped_volume", clamped).withColumn("stiffness", F.lit(1.0) / F.col("clamped_volume"))
+    df = df.selectExpr("*", "if(size(nodes) = 4, volume, (x1 - x0) * (y3 - y0) * (z4 - z0)) AS measure")
+    # The clamp takes the number when the other side is NaN; greatest() would keep the NaN.
+    df = df.selectExpr("*", "if(isnan(measure), 1.0E-10D, greatest(measure, 1.0E-10D)) AS clamped_volume")
+    return df.selectExpr("*", "1.0D / clamped_volume AS stiffness")
 
 
 def coupling() -> ElementKernel:
     """Volume-scaled coupling of equal directions: strong diagonal, weak node pairs."""
 
     def prepare(df: DataFrame) -> DataFrame:
-        weight = F.when(F.size("nodes") == 4, F.lit(4.0)).otherwise(F.lit(8.0))
-        return coupling_stiffness(df).withColumn("diagonal", F.col("stiffness") * weight)
+        return coupling_stiffness(df).selectExpr("*", "stiffness * if(size(nodes) = 4, 4.0D, 8.0D) AS diagonal")
 
-    def entry(i: int, j: int) -> Column:
-        if i != j:
-            return F.lit(0.0)
-        return F.when(F.col("a") == F.col("b"), F.col("diagonal")).otherwise(-F.col("stiffness") * F.lit(0.5))
+    def entry(i: int, j: int) -> str:
+        return "0.0D" if i != j else "if(a = b, diagonal, -stiffness * 0.5D)"
 
     return ElementKernel(
         name="coupling",
@@ -185,11 +169,12 @@ def coupling() -> ElementKernel:
 
 
 def kernel_by_name(name: str, young: float = YOUNG_MODULUS, poisson: float = POISSON_RATIO) -> ElementKernel:
-    """Resolve a canonical kernel name; aliases go through ``functions.names`` first."""
-    if name == "simplified":
-        return simplified()
-    if name == "physics_tet4":
-        return physics_tet4(young, poisson)
+    """The kernel for a spelling of its name."""
+    from meshloom.functions.names import KERNEL_ALIASES
+
     if name == "coupling":
         return coupling()
+    for canonical, aliases in KERNEL_ALIASES.items():
+        if name.lower() in aliases:
+            return simplified() if canonical == "simplified" else physics_tet4(young, poisson)
     raise ValueError(f"unsupported kernel type: {name}")

@@ -14,12 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshloom.functions.kernels import ElementKernel, simplified
 from meshloom.model import BLOCK, MeshFrames
-from meshloom.operators.contributions import block_contributions, blocks_of, prepared_elements
+from meshloom.operators.contributions import BLOCK_ARRAY, block_contributions, blocks_of, prepared_elements
 
 KEYS = ["ni", "nj"]
 # Elements per band of the ordered fold; bounds the rows one key can have in one task.
@@ -34,15 +34,16 @@ def quantize(blocks: DataFrame, quanta: float | None) -> DataFrame:
     """
     if quanta is None:
         return blocks
-    whole = {k: F.floor(F.col(k) * F.lit(quanta) + F.lit(0.5)).cast("long") for k in BLOCK}
-    return blocks.withColumns(whole)
+    others = [c for c in blocks.columns if c not in BLOCK]
+    return blocks.selectExpr(*others, *[f"cast(floor({k} * {quanta!r}D + 0.5D) AS bigint) AS {k}" for k in BLOCK])
 
 
 def restore(blocks: DataFrame, quanta: float | None) -> DataFrame:
     """Undo ``quantize`` after the sums."""
     if quanta is None:
         return blocks
-    return blocks.withColumns({k: F.col(k) / F.lit(quanta) for k in BLOCK})
+    others = [c for c in blocks.columns if c not in BLOCK]
+    return blocks.selectExpr(*others, *[f"{k} / {quanta!r}D AS {k}" for k in BLOCK])
 
 
 def sum_blocks(contributions: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -97,7 +98,7 @@ def fold_in_order(contributions: DataFrame, position: str, band: int = FOLD_BAND
     The fold has two levels: inside bands of ``band`` consecutive positions and then over
     the bands. A mesh that fits one band gets exactly the serial left fold.
     """
-    rows = contributions.withColumn("band", F.call_function("div", F.col(position), F.lit(band).cast("long")))
+    rows = contributions.withColumn("band", F.expr(f"{position} div {band}L"))
     in_band = _fold(rows, [*KEYS, "band"], [position, "a", "b"])
     return _fold(in_band, KEYS, ["band"])
 
@@ -128,38 +129,15 @@ def assemble_by_batch(
     return restore(fold_in_order(rows.withColumn("batch", F.col("batch").cast("long")), "batch", band), quanta)
 
 
-def mirror_blocks(blocks: DataFrame) -> DataFrame:
-    """Both triangles from the upper one; lower blocks are transposes."""
-    fields = [*KEYS, *BLOCK]
-    upper = F.struct(*[F.col(c).alias(c) for c in fields])
-    lower = F.struct(
-        F.col("nj").alias("ni"),
-        F.col("ni").alias("nj"),
-        *[F.col(f"k{j}{i}").alias(f"k{i}{j}") for i in range(3) for j in range(3)],
-    )
-    return blocks.select(F.inline(F.when(F.col("ni") == F.col("nj"), F.array(upper)).otherwise(F.array(upper, lower))))
-
-
 def blocks_to_matrix(blocks: DataFrame) -> DataFrame:
-    """Scalar (row, col, value) entries of an upper-triangle block table; no shuffle."""
-
-    def codes(sides: tuple[int, ...]) -> Column:
-        rows = [
-            F.struct(F.lit(s).alias("s"), F.lit(i).alias("i"), F.lit(j).alias("j"))
-            for s in sides
-            for i in range(3)
-            for j in range(3)
-        ]
-        return F.array(*rows)
-
-    table = F.when(F.col("ni") == F.col("nj"), codes((0,))).otherwise(codes((0, 1)))
-    upper = F.col("e.s") == 0
-    near = F.col("ni") * 3 + F.col("e.i")
-    far = F.col("nj") * 3 + F.col("e.j")
-    return blocks.select("ni", "nj", F.array(*BLOCK).alias("k"), F.explode(table).alias("e")).select(
-        F.when(upper, near).otherwise(far).alias("row"),
-        F.when(upper, far).otherwise(near).alias("col"),
-        F.col("k")[F.col("e.i") * 3 + F.col("e.j")].alias("value"),
+    """Scalar (row, col, value) entries of an upper-triangle block table; no shuffle.
+
+    Places 0..8 are the block itself and 9..17 its transpose in the lower triangle.
+    """
+    placed = blocks.selectExpr("ni", "nj", BLOCK_ARRAY, "explode(if(ni = nj, sequence(0, 8), sequence(0, 17))) AS place")
+    split = placed.selectExpr("*", "ni * 3 + (place % 9) div 3 AS near", "nj * 3 + place % 3 AS far")
+    return split.selectExpr(
+        "if(place < 9, near, far) AS row", "if(place < 9, far, near) AS col", "k[place % 9] AS value"
     )
 
 

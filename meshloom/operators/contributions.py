@@ -2,34 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from meshloom.functions.kernels import ElementKernel
 from meshloom.model import BLOCK, NEAR_ZERO, MeshFrames
 from meshloom.operators.corners import BROADCAST_NODES, gather_corners
 
-
-def _pairs(width: int) -> Column:
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(width) for b in range(width)]
-    return F.array(*pairs)
+# The nine places of a block in row-major order, and the block as an array.
+PLACES = "explode(sequence(0, 8)) AS place"
+BLOCK_ARRAY = f"array({', '.join(BLOCK)}) AS k"
 
 
 def local_pairs(df: DataFrame, keep: list[str], upper: bool = True) -> DataFrame:
     """All ordered pairs of an element's own nodes as (ni, nj, a, b): at most 64 a row.
 
+    The pair numbers are a literal array, so nothing but two integers is added per row.
     ``upper`` keeps ni <= nj. For a repeated node both orders survive, as they must:
     the two contributions land on the same diagonal block.
     """
-    table = F.when(F.size("nodes") == 4, _pairs(4)).otherwise(_pairs(8))
-    nodes = F.col("nodes")
-    out = df.select("nodes", *keep, F.explode(table).alias("pair")).select(
-        nodes[F.col("pair.a")].alias("ni"),
-        nodes[F.col("pair.b")].alias("nj"),
-        F.col("pair.a").alias("a"),
-        F.col("pair.b").alias("b"),
+    numbered = df.selectExpr(
+        "nodes", *keep, "explode(if(size(nodes) = 4, sequence(0, 15), sequence(0, 63))) AS pair"
+    )
+    placed = numbered.selectExpr(
+        "nodes",
         *keep,
+        "if(size(nodes) = 4, shiftright(pair, 2), shiftright(pair, 3)) AS a",
+        "if(size(nodes) = 4, pair & 3, pair & 7) AS b",
     )
+    out = placed.selectExpr("nodes[a] AS ni", "nodes[b] AS nj", "a", "b", *keep)
     return out.filter("ni <= nj") if upper else out
 
 
@@ -40,10 +40,10 @@ def prepared_elements(mesh: MeshFrames, kernel: ElementKernel, broadcast_nodes:
 
 
 def blocks_of(df: DataFrame, kernel: ElementKernel, keep: list[str], upper: bool = True) -> DataFrame:
-    """Unsummed node blocks of prepared elements: (ni, nj, keep..., k00..k22)."""
+    """Unsummed node blocks of prepared elements: (ni, nj, keep..., a, b, k00..k22)."""
     local = kernel.localise(local_pairs(df, [*keep, *kernel.state], upper))
-    entries = [kernel.entry(i, j).alias(f"k{i}{j}") for i in range(3) for j in range(3)]
-    return local.select("ni", "nj", *keep, "a", "b", *entries)
+    entries = [f"{kernel.entry(i, j)} AS k{i}{j}" for i in range(3) for j in range(3)]
+    return local.selectExpr("ni", "nj", *keep, "a", "b", *entries)
 
 
 def block_contributions(
@@ -54,8 +54,7 @@ def block_contributions(
     broadcast_nodes: int = BROADCAST_NODES,
 ) -> DataFrame:
     """Gather, prepare and explode in one narrow stage (or two shuffles for huge node tables)."""
-    keep = keep or []
-    return blocks_of(prepared_elements(mesh, kernel, broadcast_nodes), kernel, keep, upper)
+    return blocks_of(prepared_elements(mesh, kernel, broadcast_nodes), kernel, keep or [], upper)
 
 
 def scalar_contributions(mesh: MeshFrames, kernel: ElementKernel, drop_near_zero: bool = False) -> DataFrame:
@@ -64,13 +63,8 @@ def scalar_contributions(mesh: MeshFrames, kernel: ElementKernel, drop_near_zero
     ``drop_near_zero`` leaves out entries below 1e-15, and with them pattern entries.
     """
     blocks = block_contributions(mesh, kernel, ["elem_id"], upper=False)
-    codes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(3)])
-    out = blocks.select("elem_id", "ni", "nj", "a", "b", F.array(*BLOCK).alias("k"), F.explode(codes).alias("e")).select(
-        "elem_id",
-        (F.col("a") * 3 + F.col("e.i")).alias("i"),
-        (F.col("b") * 3 + F.col("e.j")).alias("j"),
-        (F.col("ni") * 3 + F.col("e.i")).alias("row"),
-        (F.col("nj") * 3 + F.col("e.j")).alias("col"),
-        F.col("k")[F.col("e.i") * 3 + F.col("e.j")].alias("value"),
+    placed = blocks.selectExpr("elem_id", "ni", "nj", "a", "b", BLOCK_ARRAY, PLACES)
+    out = placed.selectExpr("*", "int(place div 3) AS p", "place % 3 AS q").selectExpr(
+        "elem_id", "a * 3 + p AS i", "b * 3 + q AS j", "ni * 3 + p AS row", "nj * 3 + q AS col", "k[place] AS value"
     )
-    return out.filter(F.abs("value") >= F.lit(NEAR_ZERO)) if drop_near_zero else out
+    return out.filter(f"abs(value) >= {NEAR_ZERO!r}D") if drop_near_zero else out

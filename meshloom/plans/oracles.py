@@ -537,7 +537,7 @@ SELECT {KEYS}, status, CASE WHEN skip_reason <> '' THEN skip_reason ELSE diagnos
 ORACLES["run_comparison_gate"] = f"""WITH {RUNS}
 SELECT count(DISTINCT case_name) > 1 AS compare_cases, count(DISTINCT kernel) > 1 AS compare_kernels FROM runs"""
 ORACLES["run_summary_layout"] = f"""WITH {RUNS}, sets AS (SELECT DISTINCT case_name, kernel FROM passed)
-SELECT case_name, kernel, part, '' AS algorithm, 0 AS threads, CAST(0 AS BIGINT) AS at,
+SELECT case_name, kernel, CAST(part AS INTEGER) AS part, '' AS algorithm, 0 AS threads, CAST(0 AS BIGINT) AS at,
        CASE WHEN part = 0 THEN '## ' || case_name || ' | kernel=' || kernel END AS title
 FROM sets, range(5) AS r(part)
 UNION ALL SELECT case_name, kernel, 5, algorithm, threads, ordinal, NULL FROM runs

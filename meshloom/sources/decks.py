@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meshloom.functions.text import ascii_upper
 from meshloom.model import MeshFrames
 from meshloom.operators.prefix import carry_forward, exclusive_prefix
+from meshloom.session import cut_lineage
 
 # Header keywords, accepted element types, and the first two lines of a
 # large-file pointer.
@@ -102,7 +103,8 @@ def parse_deck(lines: DataFrame, numbers: str = "strict") -> DeckFrames:
     data = placed.filter(F.col("section").isNotNull() & (F.col("section") != "NONE"))
     # One trailing comma does not start another field.
     fields = F.transform(F.split(F.regexp_replace("text", ",$", ""), ","), _trim)
-    data = data.select("line_no", "line", "section", fields.alias("f"))
+    # Everything below reads the split lines several times; the text is read and split once.
+    data = cut_lineage(data.select("line_no", "line", "section", fields.alias("f")))
 
     field = lambda i: F.get("f", F.lit(i))
     node = data.filter(F.col("section") == "NODE").select(

@@ -69,27 +69,15 @@ def _grid_elements(spark: SparkSession, dims: tuple[int, int, int], kind: str, s
     nx, ny, nz = dims
     steps = {c: int(c[0]) + (int(c[1]) + int(c[2]) * (ny + 1)) * (nx + 1) for c in CORNERS}
     width = len(shapes[0])
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(t).cast("long").alias("t"),
-                *[F.lit(steps[corner]).cast("long").alias(f"o{s}") for s, corner in enumerate(shape)],
-            )
-            for t, shape in enumerate(shapes)
-        ]
-    )
-    i, j, k = _grid_index(nx, ny)
-    base = ((k * (ny + 1) + j) * (nx + 1) + i).alias("base")
-    return (
-        _range(spark, nx * ny * nz)
-        .select("id", base)
-        .select("id", "base", F.explode(table).alias("shape"))
-        .select(
-            (F.col("id") * len(shapes) + F.col("shape.t")).alias("elem_id"),
-            F.lit(kind).alias("type"),
-            F.array(*[F.col("base") + F.col(f"shape.o{s}") for s in range(width)]).alias("nodes"),
-        )
-    )
+    shape = [
+        "struct({}L AS t, {})".format(t, ", ".join(f"{steps[c]}L AS o{s}" for s, c in enumerate(corners)))
+        for t, corners in enumerate(shapes)
+    ]
+    i, j, k = f"id % {nx}", f"(id div {nx}) % {ny}", f"id div {nx * ny}"
+    cells = _range(spark, nx * ny * nz).selectExpr("id", f"(({k}) * {ny + 1} + {j}) * {nx + 1} + {i} AS base")
+    placed = cells.selectExpr("id", "base", f"inline(array({', '.join(shape)}))")
+    corners = ", ".join(f"base + o{s}" for s in range(len(shapes[0])))
+    return placed.selectExpr(f"id * {len(shapes)} + t AS elem_id", f"'{kind}' AS type", f"array({corners}) AS nodes")
 
 
 def _cube(spark, kind, shapes, dims, lengths) -> MeshFrames:
