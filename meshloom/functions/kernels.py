@@ -91,12 +91,18 @@ def shape_gradients(df: DataFrame) -> DataFrame:
     return df.selectExpr("*", *[f"-(g1{c} + g2{c} + g3{c}) AS g0{c}" for c in AXES])
 
 
-# NaN compares greater than every number in Spark, so it is tested by name.
-FALLS_BACK = f"size(nodes) <> 4 OR coalesce(isnan(volume) OR NOT volume > {MIN_VOLUME!r}D, true)"
+# Two corners in one place make the element singular, although rounding can leave a tiny
+# volume. NaN compares greater than every number in Spark, so it is tested by name.
+TWIN_CORNERS = " OR ".join(
+    f"(x{s} = x{t} AND y{s} = y{t} AND z{s} = z{t})" for s in range(4) for t in range(s + 1, 4)
+)
+FALLS_BACK = (
+    f"size(nodes) <> 4 OR coalesce(isnan(volume) OR NOT volume > {MIN_VOLUME!r}D OR {TWIN_CORNERS}, true)"
+)
 
 
 def falls_back() -> Column:
-    """True where the physics kernel does not apply: not a tet4, or no positive volume."""
+    """True where the physics kernel does not apply: not a tet4, flat, or singular."""
     return F.expr(FALLS_BACK)
 
 

@@ -65,10 +65,10 @@ def conflict_degree(mesh: MeshFrames) -> DataFrame:
             "subset"
         ),
     )
-    counts = subsets.groupBy("subset").agg(F.count(F.lit(1)).alias("holders"))
-    signed = F.when(F.size("subset") % 2 == 1, F.col("holders")).otherwise(-F.col("holders"))
-    return (
-        subsets.join(counts, "subset")
-        .groupBy("elem_id")
-        .agg((F.sum(signed) - 1).alias("degree"))
-    )
+    # The element itself holds all of its subsets, and their signs add up to one. Counting
+    # only the others therefore needs no correction, and subsets held once drop out.
+    shared = subsets.groupBy("subset").agg((F.count(F.lit(1)) - 1).alias("others")).filter("others > 0")
+    signed = subsets.join(shared, "subset").selectExpr("elem_id", "if(size(subset) % 2 = 1, others, -others) AS part")
+    degrees = signed.groupBy("elem_id").agg(F.sum("part").alias("degree"))
+    every = mesh.elements.select("elem_id").join(degrees, "elem_id", "left")
+    return every.selectExpr("elem_id", "coalesce(degree, 0L) AS degree")

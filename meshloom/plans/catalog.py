@@ -11,7 +11,7 @@ from meshloom.functions import kernels, names, text
 from meshloom.functions.dofs import dofs_per_element, element_dofs, nodes_per_element
 from meshloom.model import MeshFrames
 from meshloom.operators import batches, compare, cost, owners, runlog, symbolic, topology
-from meshloom.operators.assemble import assemble
+from meshloom.operators.assemble import assemble, assemble_blocks
 from meshloom.operators.contributions import scalar_contributions
 from meshloom.operators.corners import gather_corners, missing_nodes
 from meshloom.plans import derived
@@ -304,8 +304,7 @@ def order_row_offsets(spark, sf):
 @query
 def order_csr(spark, sf):
     mesh = derived.order_mesh(spark, sf)
-    rows = symbolic.row_offsets(mesh).select("row")
-    csr = symbolic.pack_csr(assemble(mesh, quanta=FINE), rows)
+    csr = symbolic.pack_blocks(assemble_blocks(mesh, quanta=FINE), mesh.nodes, width=65_536)
     total = F.aggregate(F.transform("vals", lambda v: _whole(v, FINE)), F.lit(0).cast("long"), lambda x, y: x + y)
     return csr.select("row", "band", "offset", F.size("cols").alias("length"), F.md5(_joined("cols")).alias("cols_md5"), total.alias("total"))
 
