@@ -115,9 +115,13 @@ def read_runs_csv(spark: SparkSession, paths: list[str], multiline: bool = False
     return normalize_runs(out.withColumn("ordinal", F.monotonically_increasing_id()))
 
 
-def read_runs_json(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per record of the nested run-log documents, with the mesh fields beside it."""
-    docs = spark.read.schema(JSON_SCHEMA).json(paths, multiLine=True)
+def read_runs_json(spark: SparkSession, paths: list[str], lines: bool = False) -> DataFrame:
+    """One row per record of the nested run-log documents, with the mesh fields beside it.
+
+    A file is one document by default, or one document per line with ``lines``, the form
+    ``write_runs_json`` produces and the only one that a large file can be split in.
+    """
+    docs = spark.read.schema(JSON_SCHEMA).json(paths, multiLine=not lines)
     mesh = ["element_type", "kernel", "nodes", "elements", "dofs", "nnz"]
     rows = docs.select(
         "case_name",
