@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import combinations
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.model import DOFS_PER_NODE, MeshFrames
 from meshloom.operators.prefix import BAND, band_of
 
 
-def dominant_type() -> Column:
-    """Aggregate expression: hex8 only when it is the strict majority."""
-    hexes, tets = F.count_if(F.col("type") == "hex8"), F.count_if(F.col("type") == "tet4")
-    return F.when(hexes > tets, F.lit("hex8")).otherwise(F.lit("tet4"))
-
-
 def mesh_stats(mesh: MeshFrames) -> DataFrame:
-    """One row: nodes, elements, dofs, dominant_type. Two map-side counts, one-row joins."""
-    nodes = mesh.nodes.agg(F.count(F.lit(1)).alias("nodes"))
-    elements = mesh.elements.agg(F.count(F.lit(1)).alias("elements"), dominant_type().alias("dominant_type"))
-    one = F.lit(1).alias("one")
-    return (
-        nodes.select(one, "*")
-        .join(elements.select(one, "*"), "one")
-        .select("nodes", "elements", (F.col("nodes") * DOFS_PER_NODE).alias("dofs"), "dominant_type")
+    """One row: nodes, elements, dofs, dominant_type.
+
+    Hex8 is dominant only as the strict majority. Both tables are counted map-side and the
+    two one-row counts are added up.
+    """
+    zero = F.lit(0).cast("long")
+    nodes = mesh.nodes.agg(F.count(F.lit(1)).alias("nodes")).select("nodes", *[zero.alias(c) for c in ("elements", "margin")])
+    margin = F.count_if(F.col("type") == "hex8") - F.count_if(F.col("type") == "tet4")
+    elements = mesh.elements.agg(F.count(F.lit(1)).alias("elements"), margin.alias("margin"))
+    both = nodes.unionByName(elements.select(zero.alias("nodes"), "*"))
+    total = both.agg(*[F.sum(c).alias(c) for c in ("nodes", "elements", "margin")])
+    return total.select(
+        "nodes",
+        "elements",
+        (F.col("nodes") * DOFS_PER_NODE).alias("dofs"),
+        F.when(F.col("margin") > 0, "hex8").otherwise("tet4").alias("dominant_type"),
     )
 
 
@@ -49,26 +53,51 @@ def valence_histogram(mesh: MeshFrames) -> DataFrame:
     return node_valence(mesh).groupBy("valence").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+def _corner_subsets() -> str:
+    """SQL array of (mask, size, need) for all corner subsets of three to eight corners.
+
+    ``need`` has bit 8 * a + b for every corner pair a < b of the subset.
+    """
+    rows = []
+    for mask in range(256):
+        corners = [c for c in range(8) if mask >> c & 1]
+        if len(corners) >= 3:
+            need = sum(1 << (8 * a + b) for a, b in combinations(corners, 2))
+            rows.append(f"struct({mask} AS mask, {len(corners)} AS size, {need}L AS need)")
+    return f"array({', '.join(rows)})"
+
+
 def conflict_degree(mesh: MeshFrames) -> DataFrame:
     """(elem_id, degree): how many other elements share at least one node.
 
     Listing the element pairs would square the size of a hot node's group. Counting
-    needs no pairs: by inclusion and exclusion over the subsets of an element's nodes,
-    the degree is the signed sum of how many elements contain each subset. A tet4 has
-    15 subsets and a hex8 255, whatever the mesh looks like.
+    needs no pairs: by inclusion and exclusion, the degree is the sum over all subsets of
+    an element's nodes of how many others hold the whole subset, with alternating signs.
+    Single nodes and node pairs are counted first; a larger subset can only be shared if
+    all of its pairs are, which leaves the common edges and faces of a real mesh.
     """
-    sets = mesh.elements.select("elem_id", F.array_sort(F.array_distinct("nodes")).alias("nodes"))
-    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("nodes")) - 1)
-    subsets = sets.select("elem_id", "nodes", F.explode(masks).alias("mask")).select(
-        "elem_id",
-        F.filter("nodes", lambda _, at: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), at)) != 0).alias(
-            "subset"
-        ),
+    sets = mesh.elements.selectExpr("elem_id", "array_sort(array_distinct(nodes)) AS nodes")
+    pairs = (
+        sets.selectExpr("elem_id", "nodes", "explode(sequence(0, size(nodes) * size(nodes) - 1)) AS at")
+        .selectExpr("elem_id", "nodes", "int(at div size(nodes)) AS a", "at % size(nodes) AS b")
+        .filter("a <= b")
+        .selectExpr("elem_id", "nodes[a] AS p", "nodes[b] AS q", "a", "b")
+    )
+    others = (F.count(F.lit(1)) - 1).alias("others")
+    shared = pairs.groupBy("p", "q").agg(others).filter("others > 0")
+    small = pairs.join(shared, ["p", "q"]).selectExpr(
+        "elem_id", "if(a = b, others, -others) AS part", "if(a = b, 0L, shiftleft(1L, a * 8 + b)) AS pair"
     )
-    # The element itself holds all of its subsets, and their signs add up to one. Counting
-    # only the others therefore needs no correction, and subsets held once drop out.
-    shared = subsets.groupBy("subset").agg((F.count(F.lit(1)) - 1).alias("others")).filter("others > 0")
-    signed = subsets.join(shared, "subset").selectExpr("elem_id", "if(size(subset) % 2 = 1, others, -others) AS part")
-    degrees = signed.groupBy("elem_id").agg(F.sum("part").alias("degree"))
-    every = mesh.elements.select("elem_id").join(degrees, "elem_id", "left")
-    return every.selectExpr("elem_id", "coalesce(degree, 0L) AS degree")
+    first = small.groupBy("elem_id").agg(F.sum("part").alias("part"), F.sum("pair").alias("pairs"))
+
+    closed = f"explode(filter({_corner_subsets()}, s -> (s.need & pairs) = s.need)) AS s"
+    larger = (
+        sets.join(first.filter("bit_count(pairs) >= 3").select("elem_id", "pairs"), "elem_id")
+        .selectExpr("elem_id", "nodes", closed)
+        .selectExpr("elem_id", "s.size AS size", "filter(nodes, (n, at) -> (s.mask & shiftleft(1, at)) <> 0) AS subset")
+    )
+    held = larger.groupBy("subset").agg(others).filter("others > 0")
+    second = larger.join(held, "subset").selectExpr("elem_id", "if(size % 2 = 1, others, -others) AS part")
+
+    parts = sets.selectExpr("elem_id", "0L AS part").unionByName(first.select("elem_id", "part")).unionByName(second)
+    return parts.groupBy("elem_id").agg(F.sum("part").alias("degree"))

@@ -322,8 +322,11 @@ def order_csr_valid(spark, sf):
 def order_matrix_bytes(spark, sf):
     mesh = derived.order_mesh(spark, sf)
     size = symbolic.matrix_size(3 * mesh.nodes.count(), symbolic.pattern(mesh))
-    one = F.lit(1).alias("one")
-    return size.select(one, "*").join(symbolic.plan_bytes(mesh).select(one, "*"), "one").drop("one")
+    zero = F.lit(0).cast("long")
+    both = size.withColumn("plan_bytes", zero).unionByName(
+        symbolic.plan_bytes(mesh).select(*[zero.alias(c) for c in size.columns], "plan_bytes")
+    )
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
 
 
 @query
@@ -420,10 +423,10 @@ def batch_check(spark, sf):
     """Random batches: every element has one batch and no batch touches a node twice."""
     mesh = derived.order_mesh(spark, sf)
     found = batches.conflict_free_batches(mesh)
-    sizes = batches.batch_sizes(found).agg(F.sum("elements").alias("elements"))
-    clashes = batches.batch_conflicts(mesh, found).agg(F.count(F.lit(1)).alias("conflicts"))
-    one = F.lit(1).alias("one")
-    return sizes.select(one, "*").join(clashes.select(one, "*"), "one").drop("one")
+    zero = F.lit(0).cast("long")
+    sizes = batches.batch_sizes(found).select("elements", zero.alias("conflicts"))
+    clashes = batches.batch_conflicts(mesh, found).select(zero.alias("elements"), F.lit(1).cast("long").alias("conflicts"))
+    return sizes.unionByName(clashes).agg(F.sum("elements").alias("elements"), F.sum("conflicts").alias("conflicts"))
 
 
 @query
