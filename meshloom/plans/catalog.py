@@ -15,8 +15,8 @@ from meshloom.operators.assemble import assemble, assemble_blocks
 from meshloom.operators.contributions import scalar_contributions
 from meshloom.operators.corners import gather_corners, missing_nodes
 from meshloom.plans import derived
-from meshloom.sinks.writers import run_documents
-from meshloom.sources import decks, grids
+from meshloom.sinks.writers import mesh_lines, run_documents
+from meshloom.sources import decks, grids, runlogs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,6 +137,11 @@ def deck_unknown_labels(spark, sf):
     return unknown.groupBy("line_no").agg(F.count(F.lit(1)).alias("unknown_labels"))
 
 
+@query
+def mesh_text(spark, sf):
+    return mesh_lines(derived.vector_mesh(spark, sf))
+
+
 # Projections and scalar functions
 
 
@@ -484,6 +489,29 @@ def matrix_frobenius(spark, sf):
 # Run log
 
 
+@query
+def run_log_normalized(spark, sf):
+    """Run rows as text with empty numbers, zero means and absent columns, typed again."""
+    runs = derived.event_runs(spark, sf)
+    odd = F.col("threads") % 2 == 1
+    raw = runs.select(
+        "case_name",
+        "kernel",
+        "algorithm",
+        "status",
+        "skip_reason",
+        F.col("case_name").alias("mesh"),
+        F.concat(F.col("threads"), F.lit(".0")).alias("threads"),
+        F.when(odd, F.lit("")).otherwise(F.col("run_count").cast("string")).alias("run_count"),
+        F.when(odd, F.lit("0")).otherwise(F.col("assembly_mean_ms").cast("string")).alias("assembly_mean_ms"),
+        F.col("assembly_min_ms").cast("string").alias("assembly_ms"),
+        F.col("total_mean_ms").cast("string").alias("total_mean_ms"),
+        "ordinal",
+    )
+    typed = runlogs.normalize_runs(raw)
+    return typed.select(*derived.RUN_KEYS, "run_count", "assembly_ms", "total_ms", "speedup", "status", "skip_reason", "diagnostics")
+
+
 @query
 def run_stats(spark, sf):
     stats = derived.event_statistics(spark, sf)

@@ -310,6 +310,11 @@ ORACLES["tet_gradients"] = f"""WITH {VECTOR}, {LOCATED}, {GEOMETRY}, {GRADIENT}
 SELECT elem_id, {", ".join(f"round(g{s}{c}, 6) AS g{s}{c}" for s in range(4) for c in "xyz")} FROM gradient"""
 ORACLES["vector_physics"] = f"""WITH {VECTOR}, {LOCATED}, {GEOMETRY}, {GRADIENT}, {LONG_GRADIENT}, {physics_entry()},
 {matrix("1e6")} {rows("1e6")}"""
+ORACLES["mesh_text"] = f"""WITH {VECTOR}
+SELECT CAST(0 AS INTEGER) AS part, CAST(0 AS BIGINT) AS at,
+       'Tet4 ' || (SELECT count(*) FROM node) || ' ' || count(DISTINCT elem_id) AS text FROM corner
+UNION ALL SELECT 1, node_id, printf('%.10e', x) || ' ' || printf('%.10e', y) || ' ' || printf('%.10e', z) FROM node
+UNION ALL SELECT 2, elem_id, string_agg(CAST(node AS VARCHAR), ' ' ORDER BY slot) FROM corner GROUP BY elem_id"""
 ORACLES["simplified_profile"] = f"""WITH {ORDER}, {DOF}, {ENTRY}
 SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, count(*) AS entries,
        CAST(sum({whole("value", "1e9")}) AS BIGINT) AS total
@@ -475,6 +480,10 @@ passed AS (SELECT * FROM runs WHERE status = 'PASS'),
 best AS (SELECT * FROM passed
          QUALIFY row_number() OVER (PARTITION BY case_name, kernel, algorithm ORDER BY assembly_ms, ordinal) = 1)"""
 KEYS = "case_name, kernel, algorithm, threads"
+ORACLES["run_log_normalized"] = f"""WITH {RUNS}
+SELECT {KEYS}, CAST(CASE WHEN threads % 2 = 1 THEN 0 ELSE run_count END AS INTEGER) AS run_count,
+       CASE WHEN threads % 2 = 1 THEN assembly_min_ms ELSE assembly_ms END AS assembly_ms, total_ms, 0e0 AS speedup,
+       status, skip_reason, '' AS diagnostics FROM runs"""
 ORACLES["run_stats"] = f"""WITH {SAMPLES}
 SELECT {KEYS}, CAST(run_count AS INTEGER) AS run_count,
        assembly_mean_ms, assembly_min_ms, assembly_max_ms, total_mean_ms, total_min_ms, total_max_ms,

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from meshloom.functions.kernels import coupling, physics_tet4, simplified
+from meshloom.functions.kernels import coupling, kernel_by_name, physics_tet4, simplified
 from meshloom.operators import batches, compare
 from meshloom.operators.assemble import METHODS, assemble, assemble_blocks, assemble_by_batch, blocks_to_matrix
 from meshloom.operators.contributions import scalar_contributions
@@ -87,6 +87,14 @@ def test_physics_is_symmetric_and_blind_to_translation(spark):
     matrix.unpersist()
 
 
+def test_kernel_names():
+    assert kernel_by_name("Synthetic").name == "simplified"
+    assert kernel_by_name("c3d4").name == "physics_tet4"
+    assert kernel_by_name("coupling").name == "coupling"
+    with pytest.raises(ValueError, match="unsupported kernel"):
+        kernel_by_name("none")
+
+
 def test_hot_node(spark):
     """A third and more of all elements share node 0."""
     coords = [(math.cos(i), math.sin(i * 1.7), i % 7) for i in range(200)]
