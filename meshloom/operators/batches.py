@@ -34,15 +34,15 @@ def conflict_free_batches(mesh: MeshFrames, order: str = "random", range_size: i
     raise ValueError(f"unknown order: {order}")
 
 
-def _random_batches(elements: DataFrame, palette_factor: int = 2) -> DataFrame:
+def _random_batches(elements: DataFrame) -> DataFrame:
     """Random trials with a fresh palette per round.
 
     Each remaining element draws a batch; for every (node, batch) the smallest hash wins,
     and an element is done when it wins at all of its nodes. The palette follows the
-    largest remaining valence, so about half of the elements are done per round and the
-    total work is about two passes. A hot node's elements are spread over its batches,
-    so no group is ever large. The hash of one long under a fixed seed is a bijection:
-    equal hashes mean the same element.
+    largest remaining valence, so a fixed share of the elements is done per round and the
+    total work is a few passes. A hot node's elements are spread over its batches, so no
+    group is ever large. The hash of one long under a fixed seed is a bijection: equal
+    hashes mean the same element.
     """
     remaining = elements
     done: list[DataFrame] = []
@@ -57,7 +57,9 @@ def _random_batches(elements: DataFrame, palette_factor: int = 2) -> DataFrame:
         )
         if valence is None:
             break
-        palette = palette_factor * valence if valence > 1 else 1
+        # One batch per element of the fullest node keeps batches few; once only sparse
+        # conflicts are left, a wider palette saves rounds at the cost of a few batches.
+        palette = valence if valence > 4 or valence == 1 else 2 * valence
         drawn = remaining.withColumns(
             {
                 "trial": F.pmod(F.xxhash64(F.lit(2 * round_no), "elem_id"), F.lit(palette).cast("long")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,10 +24,11 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and return the re-read table.
+    """Write ``df`` as a table below the checkpoint folder and return the re-read table.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local master
-    may fall back to a private folder; a cluster without the setting is an error,
+    A Parquet table is computed once, is pruned by column when read again, and gives the
+    optimizer real sizes. The folder is the cluster's ``spark.checkpoint.dir``. Only a local
+    master may fall back to a private folder; a cluster without the setting is an error,
     because executors could not see such a folder.
     """
     spark = df.sparkSession
@@ -38,4 +40,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
