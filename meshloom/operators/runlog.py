@@ -149,6 +149,12 @@ def thread_series(runs: DataFrame, metric: str = "assembly_ms") -> DataFrame:
     return ordered.select(*DATASET, "algorithm", "threads", F.col(metric).alias("value"))
 
 
+def stage_label(stage: Column) -> Column:
+    """The display label of a stage column name."""
+    labels = F.create_map(*[F.lit(x) for pair in STAGES.items() for x in pair])
+    return F.coalesce(F.try_element_at(labels, stage), stage)
+
+
 def stage_breakdown(runs: DataFrame) -> DataFrame:
     """Stacked stage times of the best rows: (..., stage_no, stage, height, bottom).
 

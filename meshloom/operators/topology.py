@@ -31,6 +31,13 @@ def mesh_stats(mesh: MeshFrames) -> DataFrame:
     )
 
 
+def mesh_summary(mesh: MeshFrames) -> DataFrame:
+    """One row, one line of text about the mesh."""
+    name = mesh.name.replace("'", "''")
+    line = f"concat('name={name}, nodes=', nodes, ', elements=', elements, ', dofs=', dofs, ', dominant_element=', initcap(dominant_type))"
+    return mesh_stats(mesh).selectExpr(f"{line} AS summary")
+
+
 def incidence(mesh: MeshFrames) -> DataFrame:
     """(node_id, elem_id): the relation behind every topology operator."""
     return mesh.elements.select(F.explode(F.array_distinct("nodes")).alias("node_id"), "elem_id")

@@ -13,6 +13,11 @@ def test_cube_counts(spark):
     assert tuple(topology.mesh_stats(hexes).first()) == (216, 125, 648, "hex8")
 
 
+def test_summary_line(spark):
+    line = topology.mesh_summary(cube_hex8(spark, 2, 1, 1)).first()[0]
+    assert line == "name=cube_hex8_2x1x1, nodes=12, elements=2, dofs=36, dominant_element=Hex8"
+
+
 def test_golden_cube(spark):
     mesh = cube_tet4(spark, 8, 8, 8)
     assert tuple(topology.mesh_stats(mesh).first()) == (729, 3072, 2187, "tet4")

@@ -211,6 +211,8 @@ def test_scalars(spark):
         values(spark, [("none",)], "a string", names.canonical_kernel(F.col("a")))
     with pytest.raises(ValueError, match="unsupported algorithm"):
         names.canonical_method("none")
+    stages = [("assembly_sort_ms",), ("other",)]
+    assert values(spark, stages, "s string", runlog.stage_label(F.col("s"))) == ["排序", "other"]
     slug = names.dataset_slug(F.col("a"), F.col("b"))
     assert values(spark, [("x/y z", "k")], "a string, b string", slug) == ["x_y_z_k"]
 
