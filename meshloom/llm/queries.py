@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from meshloom.llm import chat, linededup, mixing, packing, topk
+from meshloom.llm import chat, linededup, mixing, neardup, packing, quality, topk
 
 QUERIES = {
     "op2_exact_top_k": topk.op2_exact_top_k,
     "op3_chat_format": chat.op3_chat_format,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_quality_rules": quality.op5_quality_rules,
+    "op6_near_duplicates": neardup.op6_near_duplicates,
     "op8_line_dedup": linededup.op8_line_dedup,
     "op10_pack_tokens": packing.op10_pack_tokens,
 }
@@ -15,5 +17,7 @@ ORACLES = {
     "op2_exact_top_k": topk.ORACLE,
     "op3_chat_format": chat.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
+    "op5_quality_rules": quality.ORACLE,
+    "op6_near_duplicates": neardup.ORACLE,
     "op8_line_dedup": linededup.ORACLE,
 }
