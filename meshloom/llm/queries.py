@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshloom.llm import chat, linededup, mixing, neardup, packing, quality, topk
+from meshloom.llm import chat, linededup, mixing, neardup, packing, pii, quality, suffixes, topk
 
 QUERIES = {
     "op2_exact_top_k": topk.op2_exact_top_k,
@@ -10,7 +10,9 @@ QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_near_duplicates": neardup.op6_near_duplicates,
+    "op7_personal_data": pii.op7_personal_data,
     "op8_line_dedup": linededup.op8_line_dedup,
+    "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_pack_tokens": packing.op10_pack_tokens,
 }
 ORACLES = {
