@@ -12,16 +12,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm import linededup, mixing, packing
+from meshloom.llm import linededup, mixing, neardup, packing, quality
 from meshloom.llm.shared import cut_lineage, table
 
 # The result is made of token ids, which SQL cannot express.
 ORACLE_SQL = None
 
 
+# Words of a shingle of the near-duplicate stage; similarity as in the operator, 0.8.
+SHINGLE_WORDS = 5
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the base rules or the risk-controlled cutoffs reject."""
+    judged = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
+    return judged.filter("kept").select(*docs.columns)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take lines that ten documents or more share out of every text."""
-    return linededup.dedup_lines(docs).select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
+    shorter = linededup.dedup_lines(docs).select(*docs.columns)
+    return shorter.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else shorter
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates, the one with the smallest id."""
+    found = neardup.near_duplicates(docs, SHINGLE_WORDS)
+    stay = found.filter("kept and doc_id is not null").select("doc_id").distinct()
+    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +59,9 @@ def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_filter),
     ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
     ("source mix", source_mix),
     ("token packing", token_packing),
 ]

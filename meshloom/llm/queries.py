@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from meshloom.llm import chat, linededup, mixing, neardup, packing, pii, quality, suffixes, topk
+from meshloom.llm import chat, linededup, mixing, neardup, packing, pii, pst, quality, suffixes, topk
 
 QUERIES = {
+    "op1_suffix_tree": pst.op1_suffix_tree,
     "op2_exact_top_k": topk.op2_exact_top_k,
     "op3_chat_format": chat.op3_chat_format,
     "op4_mix_sources": mixing.op4_mix_sources,
