@@ -4,17 +4,18 @@ All methods return the same matrix; they differ in plan and guarantees:
 
 ``atomic``    one aggregate on node blocks (default)
 ``private``   two aggregates: private sums per element slice, then a merge; splits hot blocks
-``serial``    bit-reproducible left fold in element order
+``serial``    bit-reproducible sums: any order of the elements gives the same doubles
 ``sorted``    the default sum, delivered range-partitioned and sorted like a CSR
 ``owner``     elements move to the owner of their rows, contributions never move
-``coloring``  fold over conflict-free batches
+``coloring``  the same reproducible sums, element by conflict-free batch
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.functions.kernels import ElementKernel, simplified
@@ -22,8 +23,8 @@ from meshloom.model import BLOCK, MeshFrames
 from meshloom.operators.contributions import BLOCK_ARRAY, block_contributions, blocks_of, prepared_elements
 
 KEYS = ["ni", "nj"]
-# Elements per band of the ordered fold; bounds the rows one key can have in one task.
-FOLD_BAND = 65_536
+# Bits of each of the two whole numbers that a value is split into; 2**33 values can be summed.
+SPLIT_BITS = 30
 
 
 def quantize(blocks: DataFrame, quanta: float | None) -> DataFrame:
@@ -76,57 +77,40 @@ def assemble_private(
     return restore(sum_blocks(sum_blocks(rows, ["copy", *KEYS])), quanta)
 
 
-def _fold(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Left fold of the block columns per key, strictly in ``order``.
+def reproducible_sum(rows: DataFrame) -> DataFrame:
+    """Block sums per node pair that do not depend on order, layout, salting or spilling.
 
-    A running sum adds one row at a time in window order, so its last row is the fold.
-    The window streams over sorted rows and spills; it never builds a list.
+    The largest value fixes two quanta, 2**-30 and 2**-60 of the power of two above it. Every
+    value is a whole number of the first plus one of the second (what is smaller is cut off),
+    both are summed as longs and put together once. So partial sums combine map-side, a hot
+    pair is one row per task, and no size constant selects the result. A sum beyond 63 bits
+    fails; it never wraps.
     """
-    window = Window.partitionBy(*keys).orderBy(*order)
-    running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.select(
-        *keys,
-        *[F.sum(k).over(running).alias(k) for k in BLOCK],
-        F.lead(F.lit(1)).over(window).alias("more"),
-    )
-    return out.filter(F.col("more").isNull()).drop("more")
-
-
-def fold_in_order(contributions: DataFrame, position: str, band: int = FOLD_BAND) -> DataFrame:
-    """Bit-reproducible sums in the order (``position``, a, b).
-
-    The fold has two levels: inside bands of ``band`` consecutive positions and then over
-    the bands. A mesh that fits one band gets exactly the serial left fold.
-    """
-    rows = contributions.withColumn("band", F.expr(f"{position} div {band}L"))
-    in_band = _fold(rows, [*KEYS, "band"], [position, "a", "b"])
-    return _fold(in_band, KEYS, ["band"])
+    top = rows.select(F.greatest(*[F.abs(k) for k in BLOCK]).alias("top")).agg(F.max("top")).first()[0]
+    if top is not None and not math.isfinite(top):
+        raise ValueError("a contribution is not finite")
+    above = math.frexp(top or 1.0)[1]
+    large, small = 2.0 ** (above - SPLIT_BITS), 2.0 ** (above - 2 * SPLIT_BITS)
+    high = rows.selectExpr(*KEYS, *BLOCK, *[f"bigint(floor({k} / {large!r}D)) AS hi_{k}" for k in BLOCK])
+    split = high.selectExpr(*KEYS, *[f"hi_{k}" for k in BLOCK], *[f"bigint(floor(({k} - hi_{k} * {large!r}D) / {small!r}D)) AS lo_{k}" for k in BLOCK])
+    summed = split.groupBy(*KEYS).agg(*[F.sum(f"{part}_{k}").alias(f"{part}_{k}") for part in ("hi", "lo") for k in BLOCK])
+    return summed.selectExpr(*KEYS, *[f"double(hi_{k}) * {large!r}D + double(lo_{k}) * {small!r}D AS {k}" for k in BLOCK])
 
 
-def assemble_ordered(
-    mesh: MeshFrames, kernel: ElementKernel | None = None, band: int = FOLD_BAND, quanta: float | None = None
-) -> DataFrame:
-    """Element-order fold; the baseline the other methods are checked against."""
-    rows = quantize(block_contributions(mesh, kernel or simplified(), ["elem_id"]), quanta)
-    return restore(fold_in_order(rows, "elem_id", band), quanta)
+def assemble_ordered(mesh: MeshFrames, kernel: ElementKernel | None = None, quanta: float | None = None) -> DataFrame:
+    """The baseline that the other methods are checked against: reproducible at every size."""
+    rows = block_contributions(mesh, kernel or simplified())
+    return reproducible_sum(rows) if quanta is None else restore(sum_blocks(quantize(rows, quanta)), quanta)
 
 
-def assemble_by_batch(
-    mesh: MeshFrames,
-    batches: DataFrame,
-    kernel: ElementKernel | None = None,
-    band: int = FOLD_BAND,
-    quanta: float | None = None,
-) -> DataFrame:
-    """Fold batch after batch; ``batches`` is (elem_id, batch) with no conflicts inside a batch.
+def assemble_by_batch(mesh: MeshFrames, batches: DataFrame, kernel: ElementKernel | None = None, quanta: float | None = None) -> DataFrame:
+    """Sums over ``batches`` (elem_id, batch) with no conflicts inside a batch.
 
-    Each batch adds at most once to a node pair, so the result depends only on the batch
-    numbers.
+    Only elements with a batch count; each batch adds at most once to a node pair.
     """
     kernel = kernel or simplified()
-    tagged = prepared_elements(mesh, kernel).join(batches, "elem_id")
-    rows = quantize(blocks_of(tagged, kernel, ["batch"]), quanta)
-    return restore(fold_in_order(rows.withColumn("batch", F.col("batch").cast("long")), "batch", band), quanta)
+    rows = blocks_of(prepared_elements(mesh, kernel).join(batches, "elem_id"), kernel, [])
+    return reproducible_sum(rows) if quanta is None else restore(sum_blocks(quantize(rows, quanta)), quanta)
 
 
 def blocks_to_matrix(blocks: DataFrame) -> DataFrame:

@@ -2,33 +2,25 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshloom.model import MeshFrames
-from meshloom.operators.prefix import band_of
 from meshloom.session import cut_lineage
 
-# Elements per range of the exact element-order mode.
-ORDER_RANGE = 200_000
-# Largest node valence the exact mode accepts: a range's task sees the batches used at
-# its nodes. The random mode has no such limit.
-ORDER_MAX_VALENCE = 100_000
-
-
-def conflict_free_batches(mesh: MeshFrames, order: str = "random", range_size: int = ORDER_RANGE) -> DataFrame:
+def conflict_free_batches(mesh: MeshFrames, order: str = "random") -> DataFrame:
     """(elem_id, batch).
 
     ``random`` scales: a handful of rounds, each touching only what is left.
     ``element`` gives the first-fit result in element order, the smallest batch not used
-    by a lower-numbered neighbour; it is inherently sequential along the element order.
+    by a lower-numbered neighbour. Its rounds are as many as the longest chain of rising
+    neighbours, so it suits many short chains, not one connected mesh.
     """
     elements = mesh.elements.select("elem_id", F.array_distinct("nodes").alias("nodes"))
     if order == "random":
         return _random_batches(elements)
     if order == "element":
-        return _first_fit_batches(elements, range_size)
+        return _first_fit_batches(elements)
     raise ValueError(f"unknown order: {order}")
 
 
@@ -44,8 +36,8 @@ def _random_batches(elements: DataFrame) -> DataFrame:
     """
     remaining = elements
     done: list[DataFrame] = []
-    offset = 0
-    for round_no in range(10_000):
+    offset = round_no = 0
+    while True:
         valence = (
             remaining.select(F.explode("nodes").alias("node_id"))
             .groupBy("node_id")
@@ -73,9 +65,12 @@ def _random_batches(elements: DataFrame) -> DataFrame:
         )
         settled = F.when(F.col("wins") == F.size("nodes"), F.col("trial") + F.lit(offset))
         state = cut_lineage(drawn.join(wins, "ticket", "left").select("elem_id", "nodes", settled.alias("batch")))
-        done.append(state.filter(F.col("batch").isNotNull()).select("elem_id", "batch"))
+        settled_now = state.filter(F.col("batch").isNotNull()).select("elem_id", "batch")
+        if settled_now.isEmpty():
+            raise RuntimeError("a round of the random batches settled no element")
+        done.append(settled_now)
         remaining = state.filter(F.col("batch").isNull()).select("elem_id", "nodes")
-        offset += palette
+        offset, round_no = offset + palette, round_no + 1
     return _union(done, elements)
 
 
@@ -88,61 +83,29 @@ def _union(parts: list[DataFrame], elements: DataFrame) -> DataFrame:
     return out
 
 
-def _first_fit_range(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """First fit over one range's elements, as far as it can be decided.
+def _first_fit_batches(elements: DataFrame) -> DataFrame:
+    """Exact element-order first fit: a round decides every element that is the lowest left at all of its nodes.
 
-    ``right`` holds the nodes at which no earlier range has unfinished elements, with the
-    batches already used there. An element that cannot be decided closes its nodes for
-    the later elements of the range.
-    """
-    used = {node: sum(1 << int(b) for b in taken) for node, taken in zip(right["node_id"], right["taken"])}
-    ids, batches = [], []
-    for elem_id, nodes in left.sort_values("elem_id")[["elem_id", "nodes"]].itertuples(index=False):
-        masks = [used.get(n) for n in nodes]
-        if None in masks:
-            for n in nodes:
-                used.pop(n, None)
-            continue
-        busy = 0
-        for mask in masks:
-            busy |= mask
-        free_bit = ~busy & (busy + 1)
-        for n in nodes:
-            used[n] |= free_bit
-        ids.append(elem_id)
-        batches.append(free_bit.bit_length() - 1)
-    return pd.DataFrame({"elem_id": ids, "batch": batches}).astype("int64")
-
-
-def _first_fit_batches(elements: DataFrame, range_size: int) -> DataFrame:
-    """Exact element-order first fit in at most one round per element range.
-
-    Ranges of consecutive elements work in parallel on whatever is already decided; a
-    node is open for the lowest range that still has unfinished elements there. The
-    lowest unfinished range always finishes, so the rounds are bounded by the ranges.
+    Such elements share no node, so a round is one parallel step. The smallest free batch is
+    the number of used ones that, sorted, stand at their own place.
     """
-    remaining = cut_lineage(elements.withColumn("part", band_of(F.col("elem_id"), range_size)))
-    top = remaining.select(F.explode("nodes").alias("n")).groupBy("n").count().agg(F.max("count")).first()[0]
-    if top is not None and top > ORDER_MAX_VALENCE:
-        raise ValueError(f"a node has {top} elements; use order='random' for such meshes")
+    remaining = cut_lineage(elements)
     taken = remaining.sparkSession.createDataFrame([], "node_id long, batch long")
     done: list[DataFrame] = []
     while not remaining.isEmpty():
-        open_at = remaining.select("part", F.explode("nodes").alias("node_id")).groupBy("node_id").agg(F.min("part").alias("part"))
-        used = taken.groupBy("node_id").agg(F.collect_list("batch").alias("taken"))
-        nodes = open_at.join(used, "node_id", "left").select(
-            "part", "node_id", F.coalesce("taken", F.array().cast("array<bigint>")).alias("taken")
-        )
-        fresh = (
-            remaining.groupBy("part")
-            .cogroup(nodes.groupBy("part"))
-            .applyInPandas(_first_fit_range, "elem_id long, batch long")
-        )
-        state = cut_lineage(remaining.join(fresh, "elem_id", "left"))
-        settled = state.filter(F.col("batch").isNotNull())
+        touched = remaining.select("elem_id", F.size("nodes").alias("width"), F.explode("nodes").alias("node_id"))
+        lowest = touched.groupBy("node_id").agg(F.min("elem_id").alias("lowest"))
+        held = touched.join(lowest, "node_id").filter("elem_id = lowest")
+        ready = held.groupBy("elem_id", "width").agg(F.count(F.lit(1)).alias("n")).filter("n = width").select("elem_id")
+        ready = cut_lineage(remaining.join(ready, "elem_id", "left_semi"))
+        used = ready.select("elem_id", F.explode("nodes").alias("node_id")).join(taken, "node_id").select("elem_id", "batch").distinct()
+        placed = used.withColumn("at", F.row_number().over(Window.partitionBy("elem_id").orderBy("batch")) - 1)
+        free = placed.groupBy("elem_id").agg(F.count_if(F.col("batch") == F.col("at")).alias("batch"))
+        settled = ready.join(free, "elem_id", "left").select("elem_id", "nodes", F.coalesce("batch", F.lit(0).cast("long")).alias("batch"))
+        settled = cut_lineage(settled)
         done.append(settled.select("elem_id", "batch"))
-        taken = taken.unionByName(settled.select(F.explode("nodes").alias("node_id"), "batch"))
-        remaining = state.filter(F.col("batch").isNull()).drop("batch")
+        taken = cut_lineage(taken.unionByName(settled.select(F.explode("nodes").alias("node_id"), "batch")))
+        remaining = cut_lineage(remaining.join(settled, "elem_id", "left_anti"))
     return _union(done, elements)
 
 

@@ -11,60 +11,58 @@ from meshloom.model import MeshFrames
 BROADCAST_NODES = 2_000_000
 
 
+def check_mesh(mesh: MeshFrames) -> int:
+    """The number of nodes; an error if node ids repeat or a corner's node does not exist.
+
+    Both sides are counted map-side. Ids without gaps need no more than their range; only
+    otherwise corners are looked up.
+    """
+    ids = mesh.nodes.agg(F.count("node_id").alias("n"), F.count_distinct("node_id").alias("distinct"), F.min("node_id").alias("low"), F.max("node_id").alias("high")).first()
+    if ids["n"] != ids["distinct"]:
+        raise ValueError("node ids repeat")
+    corners = mesh.elements.agg(F.min(F.array_min("nodes")).alias("low"), F.max(F.array_max("nodes")).alias("high")).first()
+    if corners["low"] is None:
+        return ids["n"]
+    inside = ids["n"] and ids["low"] <= corners["low"] and corners["high"] <= ids["high"]
+    if inside and ids["high"] - ids["low"] + 1 == ids["n"]:
+        return ids["n"]
+    unknown = missing_nodes(mesh).select("elem_id").first()
+    if unknown is not None:
+        raise ValueError(f"element references unknown node, elem_id {unknown['elem_id']}")
+    return ids["n"]
+
+
 def gather_corners(
     mesh: MeshFrames, slots: tuple[int, ...], broadcast_nodes: int = BROADCAST_NODES, strict: bool = True
 ) -> DataFrame:
     """``elements`` plus columns x0, y0, z0, ... for the corner numbers in ``slots``.
 
-    The node table is counted first. Up to ``broadcast_nodes`` rows it is broadcast once
-    and probed per corner, so the elements do not move. Beyond that both sides shuffle:
-    once on the node and once back on the element. A hot node is one row on its side of
-    the join, so the adaptive skew join can split its elements. A corner whose node does
-    not exist is an error in ``strict`` mode and NULL otherwise.
+    One left join per corner. The node table is counted first: up to ``broadcast_nodes`` rows
+    it is broadcast once and probed per corner, so the elements do not move; beyond that the
+    same joins shuffle both sides. A hot node is one row on its side of the join, so the
+    adaptive skew join can split its elements, and elements without the corner are spread
+    over keys that no node has. ``strict`` checks the mesh first; otherwise a corner whose
+    node does not exist is NULL.
     """
+    count = check_mesh(mesh) if strict else None
     if not slots:
         return mesh.elements
-    if mesh.nodes.count() <= broadcast_nodes:
-        gathered = _gather_by_broadcast(mesh, slots)
-    else:
-        gathered = _gather_by_shuffle(mesh, slots)
-    if not strict:
-        return gathered
-    missing = F.lit(False)
-    for s in slots:
-        missing = missing | ((F.size("nodes") > s) & F.col(f"x{s}").isNull())
-    error = F.raise_error(F.concat(F.lit("element references unknown node, elem_id "), F.col("elem_id")))
-    return gathered.withColumn("elem_id", F.when(missing, error.cast("long")).otherwise(F.col("elem_id")))
-
-
-def _gather_by_broadcast(mesh: MeshFrames, slots: tuple[int, ...]) -> DataFrame:
+    small = (mesh.nodes.count() if count is None else count) <= broadcast_nodes
     out = mesh.elements
     for s in slots:
-        side = F.broadcast(
-            mesh.nodes.select(
-                F.col("node_id").alias(f"id{s}"), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"), F.col("z").alias(f"z{s}")
-            )
-        )
-        out = out.join(side, F.get("nodes", F.lit(s)) == F.col(f"id{s}"), "left").drop(f"id{s}")
+        side = mesh.nodes.select(F.col("node_id").alias("_node"), *[F.col(c).alias(f"{c}{s}") for c in "xyz"])
+        node = F.get("nodes", F.lit(s))
+        if small:
+            out = out.join(F.broadcast(side), node == F.col("_node"), "left").drop("_node")
+        else:
+            spread = F.when(node.isNull(), F.pmod(F.xxhash64("elem_id"), F.lit(1 << 20))).otherwise(F.lit(0))
+            keyed = out.withColumns({"_key": node, "_spread": spread})
+            side = side.withColumn("_none", F.lit(0).cast("long"))
+            there = (F.coalesce("_key", "_spread") == F.col("_node")) & (F.when(F.col("_key").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long") == F.col("_none"))
+            out = keyed.join(side, there, "left").drop("_node", "_key", "_spread", "_none")
     return out
 
 
-def _gather_by_shuffle(mesh: MeshFrames, slots: tuple[int, ...]) -> DataFrame:
-    corners = mesh.elements.select("elem_id", "type", F.posexplode("nodes").alias("slot", "node_id"))
-    located = corners.join(mesh.nodes, "node_id", "left")
-
-    def at(slot: int, column: str):
-        return F.max(F.when(F.col("slot") == slot, F.col(column)))
-
-    # Fixed-width aggregates only, so the regrouping is a hash aggregate; the id array is
-    # rebuilt afterwards.
-    ids = [at(s, "node_id").alias(f"n{s}") for s in range(8)]
-    coords = [at(s, c).alias(f"{c}{s}") for s in slots for c in "xyz"]
-    wide = located.groupBy("elem_id", "type").agg(*ids, *coords)
-    nodes = F.array_compact(F.array(*[F.col(f"n{s}") for s in range(8)])).alias("nodes")
-    return wide.select("elem_id", "type", nodes, *[f"{c}{s}" for s in slots for c in "xyz"])
-
-
 def missing_nodes(mesh: MeshFrames) -> DataFrame:
     """(elem_id, node_id) pairs whose node is not in the node table."""
     pairs = mesh.elements.select("elem_id", F.explode("nodes").alias("node_id")).distinct()

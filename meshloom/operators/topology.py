@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.model import DOFS_PER_NODE, MeshFrames
-from meshloom.operators.prefix import BAND, band_of
+from meshloom.operators.prefix import band_of, rank_within
+
+# Elements of one record of an incidence list.
+LIST_LENGTH = 65_536
 
 
 def mesh_stats(mesh: MeshFrames) -> DataFrame:
@@ -43,10 +46,10 @@ def incidence(mesh: MeshFrames) -> DataFrame:
     return mesh.elements.select(F.explode(F.array_distinct("nodes")).alias("node_id"), "elem_id")
 
 
-def incidence_lists(mesh: MeshFrames, width: int = BAND) -> DataFrame:
-    """(node_id, band, elements): sorted element lists, cut into bands of element ids."""
-    banded = incidence(mesh).withColumn("band", band_of(F.col("elem_id"), width))
-    return banded.groupBy("node_id", "band").agg(F.sort_array(F.collect_list("elem_id")).alias("elements"))
+def incidence_lists(mesh: MeshFrames, length: int = LIST_LENGTH) -> DataFrame:
+    """(node_id, piece, elements): the sorted elements of a node; only lists above ``length`` continue in further pieces."""
+    placed = rank_within(incidence(mesh), "node_id", "elem_id", "rank").withColumn("piece", band_of(F.col("rank"), length))
+    return placed.groupBy("node_id", "piece").agg(F.sort_array(F.collect_list("elem_id")).alias("elements"))
 
 
 def node_valence(mesh: MeshFrames) -> DataFrame:

@@ -309,18 +309,26 @@ def order_row_offsets(spark, sf):
 @query
 def order_csr(spark, sf):
     mesh = derived.order_mesh(spark, sf)
-    csr = symbolic.pack_blocks(assemble_blocks(mesh, quanta=FINE), mesh.nodes, width=65_536)
+    csr = symbolic.pack_blocks(assemble_blocks(mesh, quanta=FINE), mesh.nodes)
     total = F.aggregate(F.transform("vals", lambda v: _whole(v, FINE)), F.lit(0).cast("long"), lambda x, y: x + y)
-    return csr.select("row", "band", "offset", F.size("cols").alias("length"), F.md5(_joined("cols")).alias("cols_md5"), total.alias("total"))
+    return csr.select("row", "piece", "offset", F.size("cols").alias("length"), F.md5(_joined("cols")).alias("cols_md5"), total.alias("total"))
 
 
 @query
 def order_csr_valid(spark, sf):
+    """The order CSR as it is, and with the first column of every fifth row moved out of the matrix."""
     mesh = derived.order_mesh(spark, sf)
     rows = symbolic.row_offsets(mesh).select("row")
     csr = symbolic.pack_csr(symbolic.pattern(mesh).withColumn("value", F.lit(0.0)), rows)
     size = 3 * mesh.nodes.count()
-    return compare.csr_problems(csr, size).agg(F.count(F.lit(1)).alias("problems"))
+    outside = F.transform("cols", lambda c, i: F.when(i == 0, c + size).otherwise(c))
+    damaged = csr.withColumn("cols", F.when(F.col("row") % 5 == 0, outside).otherwise(F.col("cols")))
+    out = None
+    for name, candidate in (("whole", csr), ("damaged", damaged)):
+        problems = compare.csr_problems(candidate, size).agg(F.count_distinct("row").alias("problems"))
+        found = problems.select(F.lit(name).alias("matrix"), "problems")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query
@@ -351,7 +359,7 @@ def order_scatter(spark, sf):
 
 @query
 def entry_lookup(spark, sf):
-    """Positions of the entries (part of line, next part) asked for by lineitem rows."""
+    """Positions of the entries (part, supplier key) asked for by lineitem rows."""
     asked = derived.table(spark, sf, "lineitem").select((F.col("l_partkey") * 3).alias("row"), (F.col("l_suppkey") * 3 + 1).alias("col"))
     found = symbolic.locate(asked.distinct(), symbolic.entry_positions(derived.order_mesh(spark, sf)), strict=False)
     return found.select("row", "col", "pos")
@@ -365,7 +373,7 @@ def order_valence(spark, sf):
 @query
 def order_incidence(spark, sf):
     lists = topology.incidence_lists(derived.order_mesh(spark, sf))
-    return lists.select("node_id", "band", F.size("elements").alias("n"), F.md5(_joined("elements")).alias("elements_md5"))
+    return lists.select("node_id", "piece", F.size("elements").alias("n"), F.md5(_joined("elements")).alias("elements_md5"))
 
 
 @query
@@ -378,7 +386,14 @@ def order_conflict_degree(spark, sf):
 
 @query
 def assemble_serial(spark, sf):
-    return _rows(assemble(derived.order_mesh(spark, sf), method="serial", quanta=FINE), FINE)
+    """Without quanta: the sums themselves do not depend on the order."""
+    matrix = assemble(derived.order_mesh(spark, sf), method="serial")
+    return matrix.groupBy("row").agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.max("value").alias("largest"),
+        F.min("value").alias("smallest"),
+        F.sum("col").alias("col_sum"),
+    )
 
 
 @query
@@ -445,8 +460,26 @@ def vector_batch_sizes(spark, sf):
 
 
 @query
-def order_first_fit_sizes(spark, sf):
-    return batches.batch_sizes(batches.conflict_free_batches(derived.order_mesh(spark, sf), order="element"))
+def order_batch_summary(spark, sf):
+    """Random batches hold every element once, in no fewer batches than the fullest node needs."""
+    mesh = derived.order_mesh(spark, sf)
+    found = batches.batch_sizes(batches.conflict_free_batches(mesh)).agg(F.sum("elements").alias("elements"), F.count(F.lit(1)).alias("batches"))
+    fullest = topology.node_valence(mesh).agg(F.max("valence").alias("fullest"))
+    zero = F.lit(0).cast("long")
+    both = found.withColumn("fullest", zero).unionByName(fullest.select(zero.alias("elements"), zero.alias("batches"), "fullest"))
+    total = both.agg(*[F.sum(c).alias(c) for c in both.columns])
+    return total.select("elements", (F.col("batches") >= F.col("fullest")).alias("enough"))
+
+
+@query
+def mesh_coverage(spark, sf):
+    """How much of lineitem the order mesh holds: every distinct pair is an element."""
+    mesh = derived.order_mesh(spark, sf)
+    pairs = derived.table(spark, sf, "lineitem").agg(F.count_distinct("l_orderkey", "l_partkey").alias("pairs"))
+    held = mesh.elements.agg(F.count_distinct("elem_id").alias("elements"), F.sum(F.size("nodes")).alias("corners"))
+    zero = F.lit(0).cast("long")
+    both = pairs.select("pairs", zero.alias("elements"), zero.alias("corners")).unionByName(held.select(zero.alias("pairs"), "elements", "corners"))
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
 
 
 # Matrix comparison
@@ -475,9 +508,14 @@ def matrix_compare(spark, sf):
 
 @query
 def matrix_same_structure(spark, sf):
+    """The pattern against the assembled matrix, and against that of the tets alone."""
     mesh = derived.order_mesh(spark, sf)
-    matrix = assemble(mesh, kernels.coupling())
-    return compare.same_structure(symbolic.pattern(mesh), matrix)
+    tets = MeshFrames(mesh.nodes, mesh.elements.filter("type = 'tet4'"))
+    out = None
+    for name, candidate in (("all", assemble(mesh, kernels.coupling())), ("tets", symbolic.pattern(tets))):
+        found = compare.same_structure(symbolic.pattern(mesh), candidate).select(F.lit(name).alias("pair"), "same_structure")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query

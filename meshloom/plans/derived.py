@@ -1,21 +1,17 @@
 """Meshes, decks and run logs derived from the analytics tables.
 
-The tables hold no meshes, so the registered queries build them: an order is an element
-whose nodes are its smallest distinct parts, an embedding is a chain of tets, an event is
-one timed repeat of a run.
+The tables hold no meshes, so the registered queries build them: a distinct pair of order and
+part is an element, an embedding is a chain of tets, an event is one timed repeat of a run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshloom.model import MeshFrames
 from meshloom.operators.runlog import derive_status, derived_metrics, repeat_statistics
 
-# Coordinate triples and tets per 64-value embedding.
-VECTOR_NODES = 21
-VECTOR_TETS = 18
 RUN_THREADS = [1, 2, 4, 8, 14]
 RUN_KEYS = ["case_name", "kernel", "algorithm", "threads"]
 RUN_ALGORITHMS = {
@@ -40,21 +36,28 @@ def cube_resolution(df: DataFrame) -> int:
     return n
 
 
+def part_count(spark: SparkSession, sf_dir: str) -> int:
+    """One above the largest part key."""
+    return (table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] or 0) + 1
+
+
 def order_mesh(spark: SparkSession, sf_dir: str) -> MeshFrames:
-    """Orders with 4 to 7 distinct parts are tets on their 4 smallest, others hexes on 8.
+    """Every distinct (order, part) pair is one element, and every part is a node.
 
-    The rank filter keeps at most 8 parts per order and task before the shuffle, so an
-    order with very many lines never arrives whole in one place.
+    The pair's part is the first corner; the others follow in steps that depend on both keys,
+    modulo the part count. The pairs of every fifth order are hexes, the others tets. The
+    pairs need one distinct, no window and no list.
     """
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    smallest = Window.partitionBy("l_orderkey").orderBy("l_partkey")
-    top = lines.withColumn("rank", F.row_number().over(smallest)).filter("rank <= 8")
-    grouped = top.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_partkey")).alias("parts"))
-    wide = F.size("parts") >= 8
-    elements = grouped.filter(F.size("parts") >= 4).select(
-        F.col("l_orderkey").alias("elem_id"),
+    parts = part_count(spark, sf_dir)
+    order, part = F.col("l_orderkey"), F.col("l_partkey")
+    step = (order * 13 + part * 7) % max(parts // 8, 1) + 1
+    corner = lambda slot: (part + step * slot) % parts
+    wide = order % 5 == 0
+    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    elements = pairs.select(
+        (order * parts + part).alias("elem_id"),
         F.when(wide, "hex8").otherwise("tet4").alias("type"),
-        F.when(wide, F.col("parts")).otherwise(F.slice("parts", 1, 4)).alias("nodes"),
+        F.when(wide, F.array(*map(corner, range(8)))).otherwise(F.array(*map(corner, range(4)))).alias("nodes"),
     )
     nodes = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("node_id"),
@@ -66,17 +69,20 @@ def order_mesh(spark: SparkSession, sf_dir: str) -> MeshFrames:
 
 
 def vector_mesh(spark: SparkSession, sf_dir: str) -> MeshFrames:
-    """Each embedding is 21 points in space and the 18 tets of consecutive points."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    steps = F.array(*[F.lit(t).cast("long") for t in range(VECTOR_NODES)])
-    at = [F.col("embedding")[(F.col("t") * 3 + c).cast("int")].cast("double").alias(name) for c, name in enumerate("xyz")]
-    nodes = vectors.withColumn("t", F.explode(steps)).select((F.col("vec_id") * VECTOR_NODES + F.col("t")).alias("node_id"), *at)
-    first = (F.col("vec_id") * VECTOR_NODES + F.col("t")).alias("first")
-    elements = (
-        vectors.select("vec_id", F.explode(F.slice(steps, 1, VECTOR_TETS)).alias("t"))
-        .select((F.col("vec_id") * VECTOR_TETS + F.col("t")).alias("elem_id"), first)
-        .select("elem_id", F.lit("tet4").alias("type"), F.array(*[F.col("first") + s for s in range(4)]).alias("nodes"))
-    )
+    """Each embedding is a chain of points in space and the tets of consecutive points.
+
+    All values count: three make a point, and the last point is filled up with zeros. Ids
+    leave room for the longest vector.
+    """
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.size("embedding").alias("n"))
+    room = -(-(vectors.agg(F.max("n")).first()[0] or 0) // 3)
+    count = F.ceil(F.col("n") / 3).cast("int")
+    at = [F.coalesce(F.get("embedding", F.col("t") * 3 + c).cast("double"), F.lit(0.0)).alias(name) for c, name in enumerate("xyz")]
+    points = vectors.filter("n > 0").withColumn("t", F.explode(F.sequence(F.lit(0), count - 1)))
+    nodes = points.select((F.col("vec_id") * room + F.col("t")).alias("node_id"), *at)
+    chains = vectors.filter(count >= 4).withColumn("t", F.explode(F.sequence(F.lit(0), count - 4)))
+    first = F.col("vec_id") * room + F.col("t")
+    elements = chains.select(first.alias("elem_id"), F.lit("tet4").alias("type"), F.array(*[first + s for s in range(4)]).alias("nodes"))
     return MeshFrames(nodes, elements, "vectors")
 
 
@@ -87,8 +93,8 @@ def order_deck(spark: SparkSession, sf_dir: str) -> DataFrame:
     separates the two element sections.
     """
     mesh = order_mesh(spark, sf_dir)
-    n = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] + 1
-    m = table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] + 1
+    n = part_count(spark, sf_dir)
+    m = (table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey")).first()[0] + 1) * n
     tets, sets, hexes = 2 * n + 10, 2 * n + m + 20, 2 * n + 2 * m + 30
     headers = [
         (1, "*Heading"),

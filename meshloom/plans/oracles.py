@@ -2,28 +2,25 @@
 
 from __future__ import annotations
 
-from meshloom.functions.names import METHOD_LABELS
-from meshloom.functions.kernels import lame_constants
-from meshloom.plans.catalog import COST_LIMIT, COST_THREADS, OWNERS, YOUNG_GPA
+from meshloom.plans.catalog import COST_LIMIT, COST_THREADS, OWNERS
 
 ORACLES: dict[str, str] = {}
 
-LAM, MU = lame_constants(YOUNG_GPA, 0.30)
+# Lame constants of 210 GPa and Poisson ratio 0.3.
+LAM, MU = 210.0 * 0.30 / ((1.0 + 0.30) * (1.0 - 2.0 * 0.30)), 210.0 / (2.0 * (1.0 + 0.30))
 
 # One row per element corner of the order mesh, and the part nodes.
 ORDER = """
-picked AS (
-    SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS rk
-    FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
-),
+keys AS (SELECT max(p_partkey) + 1 AS n FROM part),
 element AS (
-    SELECT l_orderkey AS elem_id, CASE WHEN count(*) >= 8 THEN 8 ELSE 4 END AS w,
-           CASE WHEN count(*) >= 8 THEN 'hex8' ELSE 'tet4' END AS type
-    FROM picked GROUP BY l_orderkey HAVING count(*) >= 4
+    SELECT DISTINCT l_orderkey * n + l_partkey AS elem_id, l_orderkey AS o, l_partkey AS p, n,
+           CASE WHEN l_orderkey % 5 = 0 THEN 8 ELSE 4 END AS w,
+           CASE WHEN l_orderkey % 5 = 0 THEN 'hex8' ELSE 'tet4' END AS type
+    FROM lineitem, keys
 ),
 corner AS (
-    SELECT elem_id, type, w, rk - 1 AS slot, l_partkey AS node
-    FROM element JOIN picked ON l_orderkey = elem_id WHERE rk <= w
+    SELECT elem_id, type, w, slot, (p + slot * ((o * 13 + p * 7) % greatest(n // 8, 1) + 1)) % n AS node
+    FROM element, range(8) AS r(slot) WHERE slot < w
 ),
 node AS (
     SELECT p_partkey AS node_id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 1e2 AS y,
@@ -165,14 +162,16 @@ entry AS (
 
 
 VECTOR = """
+sized AS (SELECT vec_id, embedding, len(embedding) AS n, (max(len(embedding)) OVER () + 2) // 3 AS room FROM embeddings),
 node AS (
-    SELECT vec_id * 21 + t AS node_id, CAST(embedding[3 * t + 1] AS DOUBLE) AS x,
-           CAST(embedding[3 * t + 2] AS DOUBLE) AS y, CAST(embedding[3 * t + 3] AS DOUBLE) AS z
-    FROM embeddings, range(21) AS r(t)
+    SELECT vec_id * room + t AS node_id, coalesce(CAST(embedding[3 * t + 1] AS DOUBLE), 0e0) AS x,
+           coalesce(CAST(embedding[3 * t + 2] AS DOUBLE), 0e0) AS y, coalesce(CAST(embedding[3 * t + 3] AS DOUBLE), 0e0) AS z
+    FROM (SELECT *, unnest(range((n + 2) // 3)) AS t FROM sized)
 ),
+chain AS (SELECT vec_id, room, unnest(range((n + 2) // 3 - 3)) AS t FROM sized),
 corner AS (
-    SELECT vec_id * 18 + t AS elem_id, 'tet4' AS type, 4 AS w, slot, vec_id * 21 + t + slot AS node
-    FROM embeddings, range(18) AS r(t), range(4) AS s(slot)
+    SELECT vec_id * room + t AS elem_id, 'tet4' AS type, 4 AS w, slot, vec_id * room + t + slot AS node
+    FROM chain, range(4) AS s(slot)
 )"""
 LOCATED = "located AS (SELECT elem_id, slot, x, y, z FROM corner JOIN node ON node_id = node)"
 
@@ -261,7 +260,11 @@ FROM part"""
 
 ALGORITHM = """CASE event_type WHEN 'click' THEN 'cpu_serial' WHEN 'view' THEN 'cpu_atomic' WHEN 'purchase' THEN 'cpu_private_csr'
                   WHEN 'signup' THEN 'cpu_row_owner' WHEN 'error' THEN 'cpu_graph_coloring' ELSE '' END"""
-LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in METHOD_LABELS.items())
+# The display labels of the methods that the events name.
+LABELS = """
+    WHEN 'cpu_serial' THEN '串行基线' || chr(10) || 'Serial' WHEN 'cpu_atomic' THEN '原子直接累加' || chr(10) || 'Atomic'
+    WHEN 'cpu_private_csr' THEN '线程私有 CSR' || chr(10) || 'Private CSR'
+    WHEN 'cpu_row_owner' THEN '行拥有者' || chr(10) || 'Row Owner' WHEN 'cpu_graph_coloring' THEN '图着色' || chr(10) || 'Coloring'"""
 ORACLES["algorithm_labels"] = f"""WITH
 both_names AS (SELECT {ALGORITHM} AS algorithm FROM events UNION ALL SELECT event_type FROM events)
 SELECT algorithm, CASE algorithm {LABELS} ELSE algorithm END AS label, count(*) AS n FROM both_names GROUP BY ALL"""
@@ -348,10 +351,12 @@ ORACLES["order_row_offsets"] = f"""WITH {STRUCTURE}, {LENGTHS} SELECT "row", row
 ORACLES["order_csr"] = f"""WITH {STRUCTURE}, {LENGTHS}, {ENTRY}, {matrix("1e9")},
 packed AS (SELECT "row", count(*) AS length, md5(string_agg(CAST(col AS VARCHAR), ',' ORDER BY col)) AS cols_md5,
                   CAST(sum({whole("value", "1e9")}) AS BIGINT) AS total FROM matrix GROUP BY "row")
-SELECT o."row", CAST(0 AS BIGINT) AS band, row_offset AS "offset", CAST(coalesce(length, 0) AS INTEGER) AS length,
+SELECT o."row", CAST(0 AS BIGINT) AS piece, row_offset AS "offset", CAST(coalesce(length, 0) AS INTEGER) AS length,
        coalesce(cols_md5, md5('')) AS cols_md5, coalesce(total, 0) AS total
 FROM offsets o LEFT JOIN packed p ON p."row" = o."row" """
-ORACLES["order_csr_valid"] = "SELECT count(*) AS problems FROM part WHERE p_partkey IS NULL"
+ORACLES["order_csr_valid"] = f"""WITH {STRUCTURE}, filled AS (SELECT DISTINCT "row" FROM pattern)
+SELECT 'whole' AS matrix, CAST(0 AS BIGINT) AS problems
+UNION ALL SELECT 'damaged', count(*) FROM filled WHERE "row" % 5 = 0"""
 ORACLES["order_matrix_bytes"] = f"""WITH {STRUCTURE}, widths AS (SELECT elem_id, w * 3 AS d FROM element)
 SELECT 3 * (SELECT count(*) FROM part) AS n_rows, (SELECT count(*) FROM pattern) AS nnz,
        4 * (3 * (SELECT count(*) FROM part) + 1) + 12 * (SELECT count(*) FROM pattern) AS bytes,
@@ -367,14 +372,23 @@ ORACLES["order_valence"] = f"""WITH {ORDER},
 valence AS (SELECT node_id, count(elem_id) AS valence FROM node LEFT JOIN corner ON node = node_id GROUP BY node_id)
 SELECT valence, count(*) AS nodes FROM valence GROUP BY valence"""
 ORACLES["order_incidence"] = f"""WITH {ORDER}
-SELECT node AS node_id, elem_id // 65536 AS band, CAST(count(*) AS INTEGER) AS n,
+SELECT node AS node_id, CAST(0 AS BIGINT) AS piece, CAST(count(*) AS INTEGER) AS n,
        md5(string_agg(CAST(elem_id AS VARCHAR), ',' ORDER BY elem_id)) AS elements_md5
-FROM corner GROUP BY node, elem_id // 65536"""
+FROM corner GROUP BY node"""
 ORACLES["order_conflict_degree"] = f"""WITH {ORDER}
 SELECT p.elem_id, count(DISTINCT q.elem_id) - 1 AS degree FROM corner p JOIN corner q ON p.node = q.node GROUP BY p.elem_id"""
 
 METHOD_ORACLE = f"""WITH {ORDER}, {DOF}, {ENTRY}, {matrix("1e9")} {rows("1e9")}"""
-for _name in ("serial", "atomic", "private_csr", "coo_sort_reduce", "row_owner", "graph_coloring"):
+# Sums of whole multiples of two quanta that follow from the largest value: any order gives the same double.
+ORACLES["assemble_serial"] = f"""WITH {ORDER}, {DOF}, {ENTRY},
+quanta AS (SELECT pow(2e0, floor(log2(max(abs(value)))) - 29) AS q1, pow(2e0, floor(log2(max(abs(value)))) - 59) AS q2 FROM entry),
+split AS (SELECT "row", col, value, q1, q2, CAST(floor(value / q1) AS BIGINT) AS hi FROM entry, quanta),
+matrix AS (
+    SELECT "row", col, CAST(sum(hi) AS DOUBLE) * q1 + CAST(sum(CAST(floor((value - hi * q1) / q2) AS BIGINT)) AS DOUBLE) * q2 AS value
+    FROM split GROUP BY "row", col, q1, q2)
+SELECT "row", count(*) AS entries, max(value) AS largest, min(value) AS smallest, CAST(sum(col) AS BIGINT) AS col_sum
+FROM matrix GROUP BY "row" """
+for _name in ("atomic", "private_csr", "coo_sort_reduce", "row_owner", "graph_coloring"):
     ORACLES[f"assemble_{_name}"] = METHOD_ORACLE
 
 OWNED = f"""
@@ -403,10 +417,13 @@ FROM judged"""
 ORACLES["batch_check"] = f"""WITH {ORDER}
 SELECT count(*) AS elements, count(*) FILTER (elem_id IS NULL) AS conflicts FROM element"""
 # In a chain of consecutive tets the first fit repeats every four elements.
-ORACLES["vector_first_fit"] = """
-SELECT vec_id * 18 + t AS elem_id, t % 4 AS batch FROM embeddings, range(18) AS r(t)"""
-ORACLES["vector_batch_sizes"] = """
-SELECT t % 4 AS batch, count(*) AS elements FROM embeddings, range(18) AS r(t) GROUP BY t % 4"""
+ORACLES["vector_first_fit"] = f"""WITH {VECTOR} SELECT vec_id * room + t AS elem_id, t % 4 AS batch FROM chain"""
+ORACLES["vector_batch_sizes"] = f"""WITH {VECTOR} SELECT t % 4 AS batch, count(*) AS elements FROM chain GROUP BY t % 4"""
+# The batches follow hashes that SQL does not see; only what must hold is compared.
+ORACLES["order_batch_summary"] = f"WITH {ORDER} SELECT count(*) AS elements, true AS enough FROM element"
+ORACLES["mesh_coverage"] = f"""WITH {ORDER}
+SELECT count(*) AS pairs, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) AS elements,
+       CAST(sum(w) AS BIGINT) AS corners FROM element"""
 
 ORACLES["matrix_compare"] = f"""WITH {ORDER}, {DOF}, {ENTRY}, {matrix("1e9")},
 sums AS (SELECT sqrt(sum((value * 1.0009765625e0 - value) * (value * 1.0009765625e0 - value)) / sum(value * value)) AS rel,
@@ -415,7 +432,10 @@ hexes AS (SELECT count(*) AS n FROM element WHERE type = 'hex8')
 SELECT 'same' AS pair, true AS same_structure, 0e0 AS rel_l2, 0e0 AS max_abs, true AS passed FROM sums
 UNION ALL SELECT 'scaled', true, round(rel, 9), round(top, 9), false FROM sums
 UNION ALL SELECT 'tets', n = 0, CASE WHEN n = 0 THEN 0e0 END, CASE WHEN n = 0 THEN 0e0 END, n = 0 FROM hexes"""
-ORACLES["matrix_same_structure"] = f"WITH {ORDER} SELECT count(*) > 0 AS same_structure FROM element"
+ORACLES["matrix_same_structure"] = f"""WITH {STRUCTURE}, tets AS (
+    SELECT DISTINCT p.dof AS "row", q.dof AS col FROM dof p JOIN dof q ON p.elem_id = q.elem_id WHERE p.type = 'tet4')
+SELECT 'all' AS pair, true AS same_structure
+UNION ALL SELECT 'tets', (SELECT count(*) FROM tets) = (SELECT count(*) FROM pattern)"""
 ORACLES["matrix_frobenius"] = f"""WITH {ORDER}, {DOF}, {ENTRY}, {matrix("1e9")}
 SELECT round(sqrt(sum(value * value)), 6) AS frobenius FROM matrix"""
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshloom.session import cut_lineage
+
 # The run-log columns in file order with their types.
 RUN_COLUMNS = {
     "case_name": "string",
@@ -99,20 +101,56 @@ def normalize_runs(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_runs_csv(spark: SparkSession, paths: list[str], multiline: bool = False) -> DataFrame:
-    """Run logs of all ``paths`` in order. A file without rows is an error.
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path and rank of every file: in the order of ``paths``, inside a folder by name."""
+    listed = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"))
+    context = spark.sparkContext
+    named = [(at, context._jvm.org.apache.hadoop.fs.Path(p)) for at, p in enumerate(paths)]
+    conf = context._jsc.hadoopConfiguration()
+    given = [(at, p.getFileSystem(conf).makeQualified(p).toUri().toString()) for at, p in named]
+    plain = F.regexp_replace("path", "^file:/+", "file:/")
+    keyed = listed.select("path", F.explode(F.array(plain, F.regexp_replace(plain, "/[^/]*$", ""))).alias("key"))
+    given = spark.createDataFrame(given, "at long, key string").withColumn("key", F.regexp_replace("key", "^file:/+", "file:/"))
+    placed = keyed.join(given, "key").groupBy("path").agg(F.min("at").alias("at"))
+    # One row per file.
+    return placed.select("path", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at", "path")).cast("long").alias("rank"))
+
 
-    ``multiline`` accepts line breaks inside quoted fields, at the price of one task per file.
+def read_runs_csv(spark: SparkSession, paths: list[str], multiline: bool = True) -> DataFrame:
+    """Run logs of all ``paths`` (files or folders) in file and row order. A file without rows is an error.
+
+    All files are read in one scan, columns are found by each file's own header. Quoted fields
+    may hold line breaks; ``multiline=False`` gives that up, so that large files can be split.
+    A row whose status is not PASS, SKIP or FAIL is an error: it is no row of a run log.
     """
-    out = None
-    for path in paths:
-        part = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multiline)
-        if part.isEmpty():
-            raise ValueError(f"CSV contains no data: {path}")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    if not paths:
         raise ValueError("no run logs given")
-    return normalize_runs(out.withColumn("ordinal", F.monotonically_increasing_id()))
+    files = cut_lineage(_files(spark, paths))
+    path, at = F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at")
+    lines = spark.read.text(paths).select(path, F.col("_metadata.file_block_start").alias("block"), "value", at)
+    heads = lines.filter("block = 0").groupBy("path").agg(F.min_by("value", "at").alias("head"))
+    width = heads.agg(F.max(F.size(F.split("head", ",")))).first()[0] or 1
+    names = [f"c{i}" for i in range(width)]
+    schema = ", ".join(f"{n} string" for n in names)
+    rows = spark.read.schema(schema).csv(paths, header=False, quote='"', escape='"', multiLine=multiline).select(path, at, F.array(*names).alias("v"))
+    # A file is read in order inside its partitions, so its first row is its header.
+    headers = cut_lineage(rows.groupBy("path").agg(F.min_by("v", "at").alias("header"), F.min("at").alias("first"), F.count(F.lit(1)).alias("rows")))
+    empty = files.join(headers.filter("rows > 1"), "path", "left_anti").orderBy("rank").select("path").first()
+    present = {r[0] for r in headers.select(F.explode("header")).distinct().filter("col is not null").collect()}
+    absent = [c for c in REQUIRED if c not in present]
+    if empty is not None and not absent:
+        raise ValueError(f"CSV contains no data: {empty['path']}")
+    # The low 33 bits count a partition's rows; a file's own partitions follow each other.
+    body = rows.join(headers, "path").join(files, "path").filter("at > first")
+    fields = F.map_from_arrays(F.transform("header", lambda h: F.coalesce(h, F.lit(""))), "v")
+    order = Window.partitionBy("path").orderBy("at")
+    body = body.select(
+        *[F.try_element_at(fields, F.lit(n)).alias(n) for n in RUN_COLUMNS if n in present],
+        (F.col("rank") * (1 << 33) + F.row_number().over(order)).alias("ordinal"),
+    )
+    runs = normalize_runs(body)
+    wrong = F.raise_error(F.concat(F.lit("not a run-log row, status: "), "status")).cast("string")
+    return runs.withColumn("status", F.when(F.col("status").isin("PASS", "SKIP", "FAIL"), F.col("status")).otherwise(wrong))
 
 
 def read_runs_json(spark: SparkSession, paths: list[str], lines: bool = False) -> DataFrame:

@@ -75,6 +75,19 @@ def test_csv_round_trip(spark, runs, tmp_path):
     assert again.columns[:-1] == list(RUN_COLUMNS)
 
 
+def test_csv_file_order_and_line_breaks(spark, tmp_path):
+    """A small and a large part of one folder keep their order; quoted fields hold line breaks."""
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    write_csv(folder / "part-0.csv", [run(case_name="first", diagnostics='two\nlines, "quoted"')])
+    write_csv(folder / "part-1.csv", [run(case_name=f"next {i}") for i in range(40)])
+    got = read_runs_csv(spark, [str(folder)]).orderBy("ordinal").collect()
+    assert [r["case_name"] for r in got] == ["first", *[f"next {i}" for i in range(40)]]
+    assert got[0]["diagnostics"] == 'two\nlines, "quoted"'
+    with pytest.raises(Exception, match="not a run-log row"):
+        read_runs_csv(spark, [write_csv(tmp_path / "odd.csv", [run(status="line2")])]).collect()
+
+
 def test_json_round_trip(spark, runs, tmp_path):
     writers.write_runs_json(runs, str(tmp_path / "json"))
     again = read_runs_json(spark, [str(tmp_path / "json")], lines=True)
