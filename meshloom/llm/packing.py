@@ -20,6 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,65 +28,98 @@ from meshloom.llm.shared import cut_lineage, table
 
 WINDOW = 1024
 END_ID = 0
-# Characters of text that are split at once and pieces that a task remembers.
-SLICE_CHARS = 1_000_000
-PIECES = 600_000
-# Python's white space has these four where the tokenizer's has not.
-_ODD = re.compile("[\x1c-\x1f]")
-_PIECE = re.compile(r"\s*\S+|\s+")
+# Characters of text that are encoded at once.
+SLICE_CHARS = 8_000_000
+# Fixed value: how this vocabulary splits text before it merges bytes.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable bytes for
+    themselves, the others in turn from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
 class PieceEncoder:
-    """Encodes texts by distinct pieces: white space and the run of other characters after it.
+    """Encodes many texts by their distinct pieces.
 
-    The tokenizer never joins a character with white space behind it, so the ids of a text
-    are those of its pieces in turn; equal pieces are encoded once. Texts where the two ideas
-    of white space differ are encoded whole.
+    A byte-level tokenizer never joins a space with the character before it, unless that is
+    white space too. So a text is cut before every space, equal pieces are encoded once, and
+    ids are put together by position. Texts with white space before a space, or with a special
+    token's string, are encoded whole.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
+        import json
 
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.pools: list[np.ndarray] = []
-        self.lengths: list[np.ndarray] = []
-        self.flat = np.zeros(0, np.uint32)
-        self.start = self.length = np.zeros(0, np.int64)
+        import tiktoken
+        from tokenizers import Tokenizer
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)
+        alphabet = _byte_alphabet()
+        special = [t["content"] for t in model["added_tokens"]]
+        tokens = {bytes(map(alphabet.__getitem__, t)): i for t, i in model["model"]["vocab"].items() if t not in special}
+        self.whole = Tokenizer.from_file(path)
+        # The same vocabulary by rank; its ids are the tokenizer's, as the tests check.
+        self.fast = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=tokens, special_tokens={})
+        self.width = np.zeros(max(tokens.values()) + 1, np.int64)
+        for token, i in tokens.items():
+            self.width[i] = len(token)
+        self.odd = re.compile("|".join([r"[\s\x1c-\x1f\x85] ", *map(re.escape, special)]))
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of " " + piece for all pieces, one after the other, and their numbers."""
+        # Pieces that are empty or end in white space cannot stand before another one.
+        joins = pc.match_substring_regex(pieces, r"[^\s\x0b\x1c-\x1f\x{85}\pZ]$").to_numpy(zero_copy_only=False)
+        where, apart = np.flatnonzero(joins), np.flatnonzero(~joins)
+        together = pieces.take(pa.array(where)) if len(apart) else pieces
+        flat = self._ids("".join([" ", " ".join(together.to_pylist())])) if len(where) else np.zeros(0, np.uint32)
+        sizes = pc.binary_length(together).to_numpy().astype(np.int64) + 1
+        lengths = np.zeros(len(pieces), np.int64)
+        bounds = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(sizes)) + 1
+        lengths[where] = np.diff(bounds, prepend=0)
+        if len(apart):
+            alone = [self._ids(" " + t) for t in pieces.take(pa.array(apart)).to_pylist()]
+            lengths[apart] = [len(x) for x in alone]
+            start = np.cumsum(lengths) - lengths
+            ids, flat = flat, np.zeros(int(lengths.sum()), np.uint32)
+            flat[_spread(start[where], lengths[where])] = ids
+            flat[_spread(start[apart], lengths[apart])] = np.concatenate(alone)
+        return flat, lengths
+
+    def _ids(self, text: str) -> np.ndarray:
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [[] if _ODD.search(t) else _PIECE.findall(t) for t in texts]
-        pieces = [p for s in split for p in s]
-        if len(self.at) > PIECES:
-            self._clear()
-        new = list(dict.fromkeys(p for p in set(pieces) if p not in self.at))
-        if new:
-            ids = self._ids(new)
-            first = len(self.at)
-            self.at.update(zip(new, range(first, first + len(new))))
-            self.length = np.concatenate([self.length, np.fromiter(map(len, ids), np.int64, len(ids))])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
-            self.start = np.cumsum(self.length) - self.length
-        found = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
-        lengths = self.length[found]
-        ends = np.cumsum(lengths)
-        steps = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[found] - (ends - lengths), lengths)
-        stream = self.flat[steps]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
-        out = [stream[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
-        for i, t in enumerate(texts):
-            if _ODD.search(t):
-                out[i] = np.array(self._ids([t])[0], np.uint32)
+        odd = [bool(self.odd.search(t)) for t in texts]
+        split = pc.split_pattern(pa.array(["" if o else t for o, t in zip(odd, texts)], pa.string()), " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        values = split.values.dictionary_encode()
+        flat, lengths = self._pieces(values.dictionary)
+        found = values.indices.to_numpy().astype(np.int64)
+        n = lengths[found]
+        # The first piece of a text has no space before it.
+        heads = [self._ids(t) for t in split.values.take(pa.array(offsets[:-1])).to_pylist()]
+        n[offsets[:-1]] = 0
+        stream = flat[_spread((np.cumsum(lengths) - lengths)[found], n)]
+        bounds = np.concatenate([[0], np.cumsum(n)])[offsets]
+        out = [np.concatenate([h, stream[a:b]]) for h, a, b in zip(heads, bounds[:-1].tolist(), bounds[1:].tolist())]
+        for i, o in enumerate(odd):
+            if o:
+                out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return out
 
 
+def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every run, one run after the other."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
+
+
 def _slices(texts: list[str]):
     """Ranges of texts with about SLICE_CHARS characters each."""
     first = size = 0
