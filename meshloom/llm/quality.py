@@ -140,7 +140,8 @@ def chosen_cutoffs(features: DataFrame, labels: DataFrame, limit: float = LIMIT,
     )
     # Base failures are rejected anyway: they count as neither gain nor harm of a cutoff.
     good, open_ = F.col("_good") > 0, ~F.col("_base")
-    at = lambda j: F.col("x.level") > j
+    # The cutoffs fall, so whoever passes one passes all after it.
+    at = lambda j: F.col("x.level") >= len(CUTOFFS) - j
     tests = rows.groupBy("_stratum", F.col("x.m").alias("m")).agg(
         F.sum(F.when(good & open_, F.col("_rows")).otherwise(F.lit(0))).alias("n"),
         F.array(*[F.sum(F.when(good & open_ & at(j), F.col("_rows")).otherwise(F.lit(0))) for j in range(len(CUTOFFS))]).alias("k"),
@@ -219,8 +220,8 @@ WITH w AS (
 ), y AS (
   SELECT stratum, m, good, {_PASSED} AS passed FROM x
 ), t AS (
-  SELECT stratum, m, j, count(*) FILTER (good > 0) AS n, count(*) FILTER (good > 0 AND passed > j) AS k,
-         count(*) FILTER (good <= 0 AND passed > j) AS gain
+  SELECT stratum, m, j, count(*) FILTER (good > 0) AS n, count(*) FILTER (good > 0 AND passed >= {len(CUTOFFS)} - j) AS k,
+         count(*) FILTER (good <= 0 AND passed >= {len(CUTOFFS)} - j) AS gain
   FROM y, range({len(CUTOFFS)}) r(j) GROUP BY 1, 2, 3
 ), q AS (
   SELECT t.*, k <= n * {LIMIT} / 4 AND list_sum(list_transform(range(0, k + 1),
