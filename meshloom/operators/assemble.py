@@ -149,7 +149,7 @@ def _sorted(mesh, kernel, partitions=None, **options):
     return sort_matrix(blocks_to_matrix(assemble_blocks(mesh, kernel, **options)), partitions)
 
 
-def _owner(mesh, kernel, owners=8, **options):
+def _owner(mesh, kernel, owners=None, **options):
     from meshloom.operators.owners import assemble_by_owner
 
     return assemble_by_owner(mesh, kernel, owners, **options).select("row", "col", "value")

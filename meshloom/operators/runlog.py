@@ -212,19 +212,19 @@ def thread_matrix(runs: DataFrame, metric: str, threads: list[int] | None = None
 def cross_best(runs: DataFrame, label: str, algorithms: list[str] | None = None) -> DataFrame:
     """(label, algorithm, best_speedup) over PASS rows; a missing combination is 0.
 
-    ``algorithms`` defaults to those with a PASS row. One aggregate per label holds all
-    algorithms side by side, so no label x algorithm product is joined.
+    ``algorithms`` defaults to those with a PASS row. They meet each label as one list, so
+    neither names nor rows reach the driver.
     """
-    passed = F.col("status") == "PASS"
+    passed = pass_runs(runs)
+    names = runs.select(F.col(label).alias("label")).distinct()
     if algorithms is None:
-        algorithms = sorted(r[0] for r in pass_runs(runs).select("algorithm").distinct().collect())
-    best = [
-        F.coalesce(F.max(F.when(passed & (F.col("algorithm") == a), F.col("speedup"))), F.lit(0.0)).alias(a)
-        for a in algorithms
-    ]
-    wide = runs.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("_runs"), *best)
-    rows = [F.struct(F.lit(a).alias("algorithm"), F.col(a).alias("best_speedup")) for a in algorithms]
-    return wide.select("label", F.inline(F.array(*rows)))
+        listed = passed.select("algorithm").distinct().groupBy(F.lit(0).alias("_all")).agg(F.collect_set("algorithm").alias("_names"))
+        wanted = names.withColumn("_all", F.lit(0)).join(listed, "_all").select("label", F.explode("_names").alias("algorithm"))
+    else:
+        wanted = names.select("label", F.explode(F.array(*[F.lit(a) for a in algorithms])).alias("algorithm"))
+    best = passed.groupBy(F.col(label).alias("label"), "algorithm").agg(F.max("speedup").alias("best_speedup"))
+    found = wanted.join(best, ["label", "algorithm"], "left")
+    return found.select("label", "algorithm", F.coalesce("best_speedup", F.lit(0.0)).alias("best_speedup"))
 
 
 def comparison_gate(runs: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Tables written by cut_lineage, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
@@ -41,5 +44,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         context.setCheckpointDir(folder)
     path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(context.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_cuts(spark: SparkSession) -> int:
+    """Delete the tables that `cut_lineage` wrote for this application; call it once their results are stored."""
+    context = spark.sparkContext
+    paths = _WRITTEN.pop(context.applicationId, [])
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

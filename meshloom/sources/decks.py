@@ -186,8 +186,11 @@ def _fail_on_first(rejects: DataFrame, unknown: DataFrame) -> None:
         raise ValueError(f"{bad['reason']} at line {bad['line_no']}")
 
 
-def read_deck(spark: SparkSession, path: str, on_error: str = "raise", numbers: str = "strict") -> MeshFrames:
-    """Read a deck into a mesh. ``on_error`` is ``raise`` or ``skip`` (drop bad lines)."""
+def read_deck(spark: SparkSession, path: str, on_error: str = "raise", numbers: str = "strict"):
+    """Read a deck into a mesh. ``on_error`` is ``raise``, ``skip`` (drop bad lines) or ``list``.
+
+    ``list`` drops them too and returns the mesh with the dropped lines, (line_no, reason).
+    """
     lines = deck_lines(spark, path)
     if pointer_check(lines).first()[0]:
         raise ValueError(f"{path} is a Git LFS pointer, not the deck itself")
@@ -197,4 +200,8 @@ def read_deck(spark: SparkSession, path: str, on_error: str = "raise", numbers:
         _fail_on_first(deck.rejects, unknown)
     if mesh.nodes.isEmpty() or mesh.elements.isEmpty():
         raise ValueError(f"no supported nodes or elements in {path}")
-    return MeshFrames(mesh.nodes, mesh.elements, path)
+    mesh = MeshFrames(mesh.nodes, mesh.elements, path)
+    if on_error != "list":
+        return mesh
+    lost = unknown.select("line_no", F.lit("element references unknown node").alias("reason")).distinct()
+    return mesh, deck.rejects.select("line_no", "reason").unionByName(lost)

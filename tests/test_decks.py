@@ -165,3 +165,10 @@ def test_pointer_and_empty_input(spark, tmp_path):
     assert not pointer_check(lines_frame(spark, GAP_LABELS)).first()[0]
     with pytest.raises(ValueError, match="no supported nodes or elements"):
         read_deck(spark, deck(tmp_path, "*Node\n1,0,0,0\n", "nodes_only.inp"))
+
+
+def test_dropped_lines_are_returned(spark, tmp_path):
+    text = CUBE_NODES + "9, 1, oops, 0\n*Element, type=C3D4\n1, 1, 2, 3, 5\n2, 1, 2, 3, 99\n"
+    mesh, lost = read_deck(spark, deck(tmp_path, text), on_error="list")
+    assert mesh.nodes.count() == 8 and mesh.elements.count() == 1
+    assert sorted(r["line_no"] for r in lost.collect()) == [10, 13]
