@@ -14,8 +14,10 @@ same or another document. Strings never cross documents.
    leftmost-smaller ones are sorted by their substrings, named, ordered, and induce all
    others. Every start is compared with its predecessor in that order (the permuted common
    prefix, as far as LENGTH); two that agree are both repeats.
-3. A core with more than SHARD_RUNS distinct neighbourhoods is spread over several shards,
-   which then also pass on one hash per distinct string, counted across its shards.
+3. A core with more than SHARD_RUNS distinct neighbourhoods would not fit a shard. Its runs are
+   cut into blocks of BLOCK starts, placed by their distance from the anchor; a block goes on
+   only if the bytes that all of its strings share are found in another block at the same
+   distance, and what is left is told apart by one hash per string. These are counts again.
 
 Equal suffixes are only told apart to a depth of LENGTH, which is all that the answer needs.
 A null text is an empty one. Rows are told apart by id and text, so repeated rows repeat each
@@ -37,8 +39,9 @@ LENGTH = 400
 WINDOW = 192
 GRAM = 16
 CORE = LENGTH - WINDOW
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 SHARD_RUNS = 2_000
+BLOCK = 8
 SLICE_BYTES = 4_000_000
 SYMBOLS = 258
 
@@ -85,7 +88,7 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def document_runs(docs: DataFrame) -> DataFrame:
-    """rid, first, last, core, whole: the runs of every row, with the hashes of core and neighbourhood."""
+    """rid, first, last, anchor, core, whole: the runs of every row, with the hashes of core and neighbourhood."""
 
     def scan(batches):
         for batch in batches:
@@ -106,13 +109,14 @@ def document_runs(docs: DataFrame) -> DataFrame:
                         pa.array(rids[a + doc]),
                         pa.array((first - begin).astype(np.int32)),
                         pa.array((last - begin).astype(np.int32)),
+                        pa.array((anchor - begin).astype(np.int32)),
                         pa.array(core.view(np.int64)),
                         pa.array(whole.view(np.int64)),
                     ],
-                    names=["rid", "first", "last", "core", "whole"],
+                    names=["rid", "first", "last", "anchor", "core", "whole"],
                 )
 
-    return docs.select("rid", "text").mapInArrow(scan, "rid long, first int, last int, core long, whole long")
+    return docs.select("rid", "text").mapInArrow(scan, "rid long, first int, last int, anchor int, core long, whole long")
 
 
 def _slices(texts: list[bytes]):
@@ -259,52 +263,91 @@ def _intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def _shard(keys: list, rids, firsts, salted, parts: list[bytes]):
-    """Repeats of one shard: rid, first, last (of starts) and, where salted, hashes to be counted further."""
-    begin, group, several = repeated_starts(parts)
-    out: list[tuple] = []
-    passed: set[tuple[int, int]] = set()
-    for k in range(len(parts)):
-        at, size = int(begin[k]), len(parts[k])
-        a, b = _intervals(several[at : at + size])
-        out.extend((rids[k], firsts[k] + int(i), firsts[k] + int(j), None) for i, j in zip(a, b))
-        if salted[k]:
-            # One hash per distinct string; strings that are single here wait for the others.
-            for i in range(size - LENGTH + 1):
-                single = not several[at + i]
-                if single or (keys[k], int(group[at + i])) not in passed:
-                    passed.add((keys[k], int(group[at + i])))
-                    code = xxhash.xxh3_64_intdigest(parts[k][i : i + LENGTH]) - (1 << 63)
-                    out.append((rids[k] if single else None, firsts[k] + i, firsts[k] + i, code))
-    return out
-
-
 def _shards(rows: DataFrame) -> DataFrame:
-    """Runs of (core, salt, hot, rid, first, part), sorted by core and salt, as repeats."""
+    """Runs (core, rid, first, part), sorted by core, as repeats: rid, first, last (of starts)."""
+
+    def solve(held):
+        rids, firsts, parts = map(list, zip(*held))
+        begin, _, several = repeated_starts(parts)
+        out: list[tuple] = []
+        for rid, first, part, at in zip(rids, firsts, parts, begin.tolist()):
+            a, b = _intervals(several[at : at + len(part)])
+            out.extend((rid, first + int(i), first + int(j)) for i, j in zip(a, b))
+        types = (pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["rid", "first", "last"])
 
     def build(batches):
         held, size, key = [], 0, None
-        names = ["rid", "first", "last", "code"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-
-        def flush(held):
-            out = _shard(*map(list, zip(*held)))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
-
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for core, salt, hot, rid, first, part in zip(*columns):
-                # A shard ends between two groups.
-                if (core, salt) != key and size >= SHARD_BYTES:
-                    yield flush(held)
+            for core, rid, first, part in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                # A shard ends between two cores.
+                if core != key and size >= SHARD_BYTES:
+                    yield solve(held)
                     held, size = [], 0
-                key = (core, salt)
-                held.append((key, rid, first, hot, part))
+                key = core
+                held.append((rid, first, part))
                 size += len(part)
         if held:
-            yield flush(held)
+            yield solve(held)
+
+    return rows.mapInArrow(build, "rid long, first int, last int")
+
+
+def _run_texts(runs: DataFrame, docs: DataFrame) -> DataFrame:
+    """core, rid, first, last, anchor and the bytes of each run's neighbourhood."""
+    wanted = runs.groupBy("rid").agg(F.collect_list(F.struct("core", "first", "last", "anchor")).alias("runs"))
+    texts = wanted.join(docs, "rid").select("rid", "text", "runs")
+
+    def extract(batches):
+        for batch in batches:
+            rows = [[] for _ in range(6)]
+            for rid, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                data = (text or "").encode()
+                for run in wanted:
+                    values = (run["core"], rid, run["first"], run["last"], run["anchor"], data[run["first"] : run["last"] + LENGTH])
+                    for column, value in zip(rows, values):
+                        column.append(value)
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            names = ["core", "rid", "first", "last", "anchor", "part"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=names)
+
+    return texts.mapInArrow(extract, "core long, rid long, first int, last int, anchor int, part binary")
 
-    return rows.mapInArrow(build, "rid long, first int, last int, code long")
+
+def _hot_repeats(runs: DataFrame) -> DataFrame:
+    """Repeats of runs with their texts, by counts alone: blocks of starts first, then single strings."""
+
+    def blocks(batches):
+        names = ["core", "distance", "shared", "rid", "first", "last", "part"]
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        for batch in batches:
+            rows = [[] for _ in names]
+            for core, rid, first, last, anchor, part in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                for q in range((anchor - last) // BLOCK, (anchor - first) // BLOCK + 1):
+                    # Starts at distances q * BLOCK to q * BLOCK + BLOCK - 1; their strings share these bytes.
+                    at = anchor - q * BLOCK - first
+                    shared = xxhash.xxh3_64_intdigest(part[at : at + LENGTH - BLOCK + 1]) - (1 << 63)
+                    a, b = max(0, at - BLOCK + 1), min(at, last - first)
+                    for column, value in zip(rows, (core, q, shared, rid, first + a, first + b, part[a : b + LENGTH])):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=names)
+
+    def strings(batches):
+        for batch in batches:
+            rows = [[], [], []]
+            for rid, first, last, part in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                for i in range(last - first + 1):
+                    for column, value in zip(rows, (rid, first + i, xxhash.xxh3_64_intdigest(part[i : i + LENGTH]) - (1 << 63))):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64()))], names=["rid", "first", "code"])
+
+    cut = cut_lineage(runs.mapInArrow(blocks, "core long, distance int, shared long, rid long, first int, last int, part binary"))
+    key = ["core", "distance", "shared"]
+    again = cut.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
+    left = cut.join(again, key, "left_semi").select("rid", "first", "last", "part")
+    codes = cut_lineage(left.mapInArrow(strings, "rid long, first int, code long"))
+    several = codes.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("code")
+    return codes.join(several, "code", "left_semi").select("rid", "first", F.col("first").alias("last"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -313,40 +356,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = runs.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
     runs = cut_lineage(runs.join(found, "core"))
     kinds = cut_lineage(
-        runs.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first", "last")).alias("at"))
+        runs.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first", "last", "anchor")).alias("at"))
     )
     several = kinds.filter("n > 1").select("core", "whole")
     sure = runs.join(several, ["core", "whole"], "left_semi").select("rid", "first", "last")
     groups = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("single"))
-    groups = groups.filter("kinds > 1 and single > 0").select("core", "kinds")
-    left = kinds.join(groups, "core").select(
-        "core",
-        F.pmod(F.xxhash64("whole"), F.ceil(F.col("kinds") / SHARD_RUNS)).alias("salt"),
-        (F.col("kinds") > SHARD_RUNS).alias("hot"),
-        F.col("at.rid").alias("rid"),
-        F.col("at.first").alias("first"),
-        F.col("at.last").alias("last"),
-    )
-    wanted = left.groupBy("rid").agg(F.collect_list(F.struct("core", "salt", "hot", "first", "last")).alias("runs"))
-    texts = wanted.join(docs, "rid").select("rid", "text", "runs")
-
-    def extract(batches):
-        for batch in batches:
-            rows = [[] for _ in range(6)]
-            for rid, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                data = (text or "").encode()
-                for run in wanted:
-                    for column, value in zip(rows, (run["core"], run["salt"], run["hot"], rid, run["first"], data[run["first"] : run["last"] + LENGTH])):
-                        column.append(value)
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["core", "salt", "hot", "rid", "first", "part"])
-
-    parts = texts.mapInArrow(extract, "core long, salt long, hot boolean, rid long, first int, part binary")
-    parts = parts.repartition("core", "salt").sortWithinPartitions("core", "salt")
-    solved = cut_lineage(_shards(parts))
-    codes = solved.filter("code is not null").groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("code")
-    across = solved.filter("code is not null and rid is not null").join(codes, "code", "left_semi").select("rid", "first", "last")
-    return sure.unionByName(solved.filter("code is null").select("rid", "first", "last")).unionByName(across)
+    groups = groups.filter("kinds > 1 and single > 0").select("core", (F.col("kinds") > SHARD_RUNS).alias("hot"))
+    left = cut_lineage(kinds.join(groups, "core").select("core", "hot", "at.rid", "at.first", "at.last", "at.anchor"))
+    cold = _run_texts(left.filter("not hot"), docs).select("core", "rid", "first", "part")
+    solved = cut_lineage(_shards(cold.repartition("core").sortWithinPartitions("core")))
+    if left.filter("hot").isEmpty():
+        return sure.unionByName(solved)
+    return sure.unionByName(solved).unionByName(_hot_repeats(_run_texts(left.filter("hot"), docs)))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
