@@ -1,14 +1,14 @@
 """Scoring texts with a probabilistic suffix tree over words.
 
 Tokens are the lower-cased words (A-Z only) of a text and one end. The tree's symbols are the
-tokens with MIN_SYMBOL occurrences in training; all others, unknown ones too, are one rare
+tokens that are SYMBOL_SHARE of the training tokens; all others, unknown ones too, are one rare
 symbol, whose probability is split among its words as the unigram distribution does. States are
 contexts of 0 to 2 symbols (no rare ones); the longest suffix of the history that is a state is
 used, and no context reaches over the start of a text.
 
 * The root is the unigram distribution with one added count, unknown words being one more.
-* A context of one symbol is a candidate with MIN_CONTEXT occurrences before another token in
-  training; one of two likewise, if its last symbol is a state. A candidate is retained if its
+* A context of one symbol is a candidate if it precedes CONTEXT_SHARE of the training tokens;
+  one of two likewise, if its last symbol is a state. A candidate is retained if its
   next-symbol distribution diverges from its parent's: n * KL(context || parent) must reach
   DIVERGENCE for each distinct next symbol (by chance it is about a half).
 * A state's counts are smoothed towards its parent's distribution with the weight of PRIOR
@@ -16,9 +16,9 @@ used, and no context reaches over the start of a text.
 
 Counts cover all training rows. Texts are written in chunks of CHUNK_TOKENS tokens, each with its
 own dictionary; only a chunk's distinct words, and its distinct (candidate context, next
-symbol) pairs, are exchanged, summed, and answered to the chunk. So a task holds a few chunks
-at most, hot words are summed before they move, and what is gathered grows with the input.
-Thresholds are absolute counts: more input means more states.
+symbol) pairs, are exchanged once, summed over the chunks that have them, and answered to the
+chunk. So a task holds a chunk or two, hot words are counted before they move, and what is
+gathered grows with the input. Thresholds are shares, so the model is alike at every size.
 
 A null text is an empty one (its only token is the end); a row without an id trains and is not
 held out. Repeated rows count as often as they appear. With nothing to train on all tokens
@@ -31,19 +31,22 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshloom.llm.neardup import mix64
 from meshloom.llm.shared import cut_lineage, table
 
-MIN_SYMBOL = 2048
-MIN_CONTEXT = 4096
+# Shares of the training tokens.
+SYMBOL_SHARE = 2.0**-15
+CONTEXT_SHARE = 2.0**-14
 DIVERGENCE = 1.0
 PRIOR = 256.0
 CHUNK_TOKENS = 1 << 20
-# The end is no word, as it holds white space.
-END = "\n"
+# The end is no word, as a word is not empty.
+END = b""
 FOLDS, HELD_FOLD = 7, 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,6 +55,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_FOLD, F.lit(False))
 
 
+def _pack(values: np.ndarray, kinds: str = "u2 i4 i8") -> bytes:
+    """Whole numbers from 0 up, in the narrowest of the kinds, compressed."""
+    top = int(values.max(initial=0))
+    kind = next(k for k in kinds.split() if top <= np.iinfo(k).max)
+    return kind.encode() + zstandard.ZstdCompressor(level=1).compress(values.astype("<" + kind).tobytes())
+
+
+def _unpack(cell: pa.Scalar) -> np.ndarray:
+    raw = cell.as_py()
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[2:]), "<" + raw[:2].decode()).astype(np.int64)
+
+
 def chunks(rows: DataFrame) -> DataFrame:
     """Rows (doc_id, text, held_out) as chunks: dictionary, training counts, token places, documents."""
 
@@ -64,14 +79,20 @@ def chunks(rows: DataFrame) -> DataFrame:
 
         def flush():
             at = np.concatenate(tokens)
+            # Frequent words first: small numbers compress well.
+            order = np.argsort(-np.bincount(at, minlength=len(names)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            at = rank[at]
             train = np.repeat(~np.array(held, bool), sizes)
-            counts = np.bincount(at[train], minlength=len(names))
+            words = list(names)
+            blob = zstandard.ZstdCompressor(level=1).compress(b"\n".join([words[i] for i in order.tolist()]))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part * (1 << 32) + number]),
-                    pa.array([[w.decode() for w in names]], pa.list_(pa.string())),
-                    pa.array([counts.tolist()], pa.list_(pa.int64())),
-                    pa.array([at.astype("<i4").tobytes()], pa.binary()),
+                    pa.array([blob], pa.binary()),
+                    pa.array([_pack(np.bincount(at[train], minlength=len(words)))], pa.binary()),
+                    pa.array([_pack(at)], pa.binary()),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([held], pa.list_(pa.bool_())),
                     pa.array([sizes], pa.list_(pa.int64())),
@@ -80,29 +101,80 @@ def chunks(rows: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            for i, text, out in zip(*(batch.column(j).to_pylist() for j in range(3))):
-                words = (text or "").encode().lower().split()
-                words.append(END.encode())
-                tokens.append(np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, len(words)))
-                ids.append(i)
-                held.append(out)
-                sizes.append(len(words))
-                size += len(words)
-                if size >= CHUNK_TOKENS:
-                    yield flush()
-                    names, number = {}, number + 1
-                    tokens, ids, held, sizes, size = [], [], [], [], 0
+            for first in range(0, batch.num_rows, 1000):
+                some = batch.slice(first, 1000)
+                for i, text, out in zip(*(some.column(j).to_pylist() for j in range(3))):
+                    words = (text or "").encode().lower().split()
+                    words.append(END)
+                    tokens.append(np.fromiter((names.setdefault(w, len(names)) for w in words), np.int32, len(words)))
+                    ids.append(i)
+                    held.append(out)
+                    sizes.append(len(words))
+                    size += len(words)
+                    if size >= CHUNK_TOKENS:
+                        yield flush()
+                        names, number = {}, number + 1
+                        tokens, ids, held, sizes, size = [], [], [], [], 0
         if ids:
             yield flush()
 
-    kind = "chunk long, words array<string>, counts array<long>, tokens binary, doc_ids array<long>, held array<boolean>, sizes array<long>"
-    return rows.mapInArrow(build, kind)
+    kind = "chunk long, words binary, counts binary, tokens binary, doc_ids array<long>, held array<boolean>, sizes array<long>"
+    return rows.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(build, kind)
+
+
+def _words(cell: pa.Scalar) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(cell.as_py()).split(b"\n")
+
+
+def dictionary_rows(parts: DataFrame) -> DataFrame:
+    """chunk, place, word, n (training) for every word of every chunk."""
+
+    def rows(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                words, n = _words(batch.column(1)[r]), _unpack(batch.column(2)[r])
+                chunk = np.full(len(words), batch.column(0)[r].as_py(), np.int64)
+                columns = [pa.array(chunk), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "place", "word", "n"])
+
+    return parts.select("chunk", "words", "counts").mapInArrow(rows, "chunk long, place int, word string, n long")
+
+
+def _summed(rows: DataFrame, key: str, total: str) -> DataFrame:
+    """``rows`` plus the sum of n over all rows of a key, and first: whether the row stands for its key.
+
+    A key has at most one row per chunk, so this takes one exchange and no list.
+    """
+    every = Window.partitionBy(key)
+    return rows.withColumns({total: F.sum("n").over(every), "first": F.col("chunk") == F.min("chunk").over(every)})
+
+
+def _by_chunk(rows: DataFrame, order: str, value: str, out: str, kind: str) -> DataFrame:
+    """chunk and its values in the order of ``order``, as the bytes of one array."""
+
+    def gather(batches):
+        key, held = None, []
+        dtype = "<i8" if kind == "long" else "<f8"
 
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([np.concatenate(held).astype(dtype).tobytes()], pa.binary())], names=["chunk", out])
 
-def _by_chunk(rows: DataFrame, value: Column, out: str) -> DataFrame:
-    """chunk and its values in the order of place."""
-    gathered = F.array_sort(F.collect_list(F.struct(F.col("place").alias("place"), value.alias("v"))))
-    return rows.groupBy("chunk").agg(F.transform(gathered, lambda x: x["v"]).alias(out))
+        for batch in batches:
+            chunk = batch.column(0).to_numpy()
+            values = batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if b > a:
+                    if held and chunk[a] != key:
+                        yield row()
+                        held = []
+                    key = int(chunk[a])
+                    held.append(values[a:b])
+        if held:
+            yield row()
+
+    placed = rows.select("chunk", order, value).repartition("chunk").sortWithinPartitions("chunk", order)
+    return placed.select("chunk", value).mapInArrow(gather, f"chunk long, {out} binary")
 
 
 def _list(column: pa.Array, row: int) -> np.ndarray:
@@ -111,6 +183,12 @@ def _list(column: pa.Array, row: int) -> np.ndarray:
     return cell.values.to_numpy(zero_copy_only=False) if cell.is_valid else np.zeros(0)
 
 
+def _array(column: pa.Array, row: int, kind: str) -> np.ndarray:
+    """One row of a column of bytes; no bytes are an empty array."""
+    cell = column[row]
+    return np.frombuffer(cell.as_py(), kind) if cell.is_valid else np.zeros(0, kind)
+
+
 def _sums(values: np.ndarray, sizes: np.ndarray) -> list[float]:
     """Sums over runs of the given sizes, none of them empty."""
     return np.add.reduceat(values, np.cumsum(sizes) - sizes).tolist()
@@ -124,16 +202,17 @@ def encoded(parts: DataFrame, known: DataFrame, root: dict, min_symbol: int) ->
     def encode(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                tokens = np.frombuffer(batch.column(1)[r].as_buffer(), "<i4")
+                tokens = _unpack(batch.column(1)[r])
                 sizes = _list(batch.column(4), r)
-                c = _list(batch.column(5), r).astype(np.int64)
-                code = _list(batch.column(6), r).astype(np.int64)
+                c = _array(batch.column(5), r, "<i8")
+                words = _words(batch.column(6)[r])
                 frequent = np.flatnonzero(c >= min_symbol)
+                # Odd, so that 0 can stand for no context.
+                code = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) | 1 for i in frequent.tolist()), np.uint64, len(frequent))
                 symbol = np.zeros(len(c), np.int64)
                 symbol[frequent] = np.arange(1, len(frequent) + 1)
                 single = np.log10(c + 1.0) - total
                 inner = np.where(symbol == 0, np.log10(c + 1.0) - rare, 0.0)
-                kind = "<u2" if len(frequent) < 65_535 else "<i4"
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(r, 1),
@@ -143,30 +222,29 @@ def encoded(parts: DataFrame, known: DataFrame, root: dict, min_symbol: int) ->
                         pa.array([_sums((c > 0).astype(np.int64)[tokens], sizes)], pa.list_(pa.int64())),
                         pa.array([_sums(single[tokens], sizes)], pa.list_(pa.float64())),
                         pa.array([_sums(inner[tokens], sizes)], pa.list_(pa.float64())),
-                        pa.array([symbol.astype(kind)[tokens].tobytes()], pa.binary()),
-                        pa.array([np.append(0, code[frequent]).astype("<i8").tobytes()], pa.binary()),
+                        pa.array([_pack(symbol[tokens])], pa.binary()),
+                        pa.array([np.append(np.uint64(0), code).astype("<u8").tobytes()], pa.binary()),
                         pa.array([np.append(root["rare"] - 1, c[frequent]).astype("<i8").tobytes()], pa.binary()),
                     ],
                     names=["chunk", "doc_ids", "held", "sizes", "known", "base", "inner", "symbols", "codes", "counts"],
                 )
 
-    wide = parts.select("chunk", "tokens", "doc_ids", "held", "sizes").join(known, "chunk")
+    wide = parts.select("chunk", "tokens", "doc_ids", "held", "sizes", "words").join(known, "chunk")
     kind = (
         "chunk long, doc_ids array<long>, held array<boolean>, sizes array<long>, known array<long>, base array<double>, "
         "inner array<double>, symbols binary, codes binary, counts binary"
     )
-    return wide.select("chunk", "tokens", "doc_ids", "held", "sizes", "c", "code").mapInArrow(encode, kind)
+    return wide.select("chunk", "tokens", "doc_ids", "held", "sizes", "c", "words").mapInArrow(encode, kind)
 
 
 class _Chunk:
     """The tokens of a chunk with their contexts. Columns: symbols, sizes, codes, counts."""
 
     def __init__(self, symbols, sizes, codes, counts):
-        codes = np.frombuffer(codes.as_buffer(), "<i8").view(np.uint64)
-        counts = np.frombuffer(counts.as_buffer(), "<i8")
-        raw = symbols.as_buffer()
-        n = int(sizes.sum())
-        at = np.frombuffer(raw, "<u2" if raw.size == 2 * n else "<i4").astype(np.int64)
+        codes = np.frombuffer(codes.as_py(), "<u8")
+        counts = np.frombuffer(counts.as_py(), "<i8")
+        at = _unpack(symbols)
+        n = len(at)
         begin = np.cumsum(sizes) - sizes
         code = codes[at]
         before = np.zeros(n, np.int64)
@@ -182,14 +260,15 @@ class _Chunk:
         self.code = code
 
     def level(self, which: int, least: int, open_: np.ndarray):
-        """Tokens with a candidate context, that context, and the distinct pairs: (tokens, pair of each, first token of each pair)."""
+        """Tokens with a candidate context, the pair of each, each pair's first token, all contexts, and the distinct pairs in order."""
         if which == 1:
             context, some = self.one, np.flatnonzero((self.one != 0) & (self.count_before >= least))
         else:
             context, some = self.two, np.flatnonzero((self.two != 0) & np.isin(self.two, open_))
-        key = mix64(context[some] * _STEP + self.code[some])
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        return some, back, some[first], context
+        # In the order of signed numbers, which is Spark's.
+        key = mix64(context[some] * _STEP + self.code[some]).view(np.int64)
+        pairs, first, back = np.unique(key, return_index=True, return_inverse=True)
+        return some, back, some[first], context, pairs
 
 
 def _open(column: pa.Array, row: int) -> np.ndarray:
@@ -197,9 +276,9 @@ def _open(column: pa.Array, row: int) -> np.ndarray:
 
 
 def _pair_rows(chunks_: DataFrame, which: int, least: int) -> DataFrame:
-    """chunk, place, context, pair, upper, n, c: a chunk's distinct pairs of candidate contexts.
+    """chunk, context, pair, n, and c, code (of the next symbol) or upper (the pair of the shorter context).
 
-    n counts training only; c is the next symbol's count, upper the pair of the shorter context.
+    One row per distinct pair of a chunk; n counts training only.
     """
 
     def emit(batches):
@@ -208,77 +287,72 @@ def _pair_rows(chunks_: DataFrame, which: int, least: int) -> DataFrame:
                 sizes = _list(batch.column(2), r)
                 chunk = _Chunk(batch.column(3)[r], sizes, batch.column(4)[r], batch.column(5)[r])
                 train = ~np.repeat(_list(batch.column(1), r).astype(bool), sizes)
-                some, back, first, context = chunk.level(which, least, _open(batch.column(6), r))
+                some, back, first, context, pairs = chunk.level(which, least, _open(batch.column(6), r))
                 n = np.bincount(back, weights=train[some], minlength=len(first)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(first), batch.column(0)[r].as_py(), np.int64)),
-                        pa.array(np.arange(len(first), dtype=np.int32)),
-                        pa.array(context[first].view(np.int64)),
-                        pa.array(mix64(context[first] * _STEP + chunk.code[first]).view(np.int64)),
-                        pa.array(chunk.pair[first].view(np.int64)),
-                        pa.array(n),
-                        pa.array(chunk.count[first]),
-                        pa.array(chunk.code[first].view(np.int64)),
-                    ],
-                    names=["chunk", "place", "context", "pair", "upper", "n", "c", "code"],
-                )
+                more = [chunk.count[first], chunk.code[first].view(np.int64)] if which == 1 else [chunk.pair[first].view(np.int64)]
+                columns = [np.full(len(first), batch.column(0)[r].as_py(), np.int64), context[first].view(np.int64), pairs, n, *more]
+                # Rows of one context together compress better on their way.
+                order = np.lexsort((chunk.code[first], context[first]))
+                yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in columns], names=names)
 
+    names = ["chunk", "context", "pair", "n", *(["c", "code"] if which == 1 else ["upper"])]
     columns = ["chunk", "held", "sizes", "symbols", "codes", "counts", "open"]
-    schema = "chunk long, place int, context long, pair long, upper long, n long, c long, code long"
-    return chunks_.select(*columns).mapInArrow(emit, schema)
+    return chunks_.select(*columns).mapInArrow(emit, ", ".join(f"{c} long" for c in names))
 
 
 def _states(pairs: DataFrame, prior: float, divergence: float, least: int) -> DataFrame:
-    """pair, n, code, context, probability and state for (context, pair, n, code, parent) rows."""
-    seen = F.col("n") > 0
-    totals = pairs.groupBy("context").agg(F.sum("n").alias("all"), F.count_if(seen).alias("kinds"), F.sum(F.when(seen, F.col("n") * F.log(F.col("n") / F.col("parent")))).alias("gain"))
+    """context, all and state by the test, for distinct (context, all_n, parent) pairs."""
+    seen = F.col("all_n") > 0
+    totals = pairs.groupBy("context").agg(
+        F.sum("all_n").alias("all"), F.count_if(seen).alias("kinds"), F.sum(F.when(seen, F.col("all_n") * F.log(F.col("all_n") / F.col("parent")))).alias("gain")
+    )
     # n * KL = sum of n(w) * log(n(w) / (n * parent(w))).
     far = F.col("gain") - F.col("all") * F.log("all") >= F.lit(divergence) * F.col("kinds")
-    totals = totals.select("context", "all", (far & (F.col("all") >= least)).alias("state"))
-    smooth = (F.col("n") + F.lit(prior) * F.col("parent")) / (F.col("all") + F.lit(prior))
-    return pairs.join(totals, "context").select("pair", "n", "code", "context", smooth.alias("probability"), F.coalesce("state", F.lit(False)).alias("state"))
+    return cut_lineage(totals.select("context", "all", F.coalesce(far & (F.col("all") >= least), F.lit(False)).alias("state")))
+
+
+def _probability(prior: float) -> Column:
+    return (F.col("all_n") + F.lit(prior) * F.col("parent")) / (F.col("all") + F.lit(prior))
 
 
 def score_texts(
-    rows: DataFrame, min_symbol: int = MIN_SYMBOL, min_context: int = MIN_CONTEXT, divergence: float = DIVERGENCE, prior: float = PRIOR
+    rows: DataFrame, min_symbol: int | None = None, min_context: int | None = None, divergence: float = DIVERGENCE, prior: float = PRIOR
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for rows (doc_id, text, held_out).
 
-    A tree is trained on the rows that are not held out and scores all rows.
+    A tree is trained on the rows that are not held out and scores all rows. Counts given for
+    symbols and contexts take the place of the shares.
     """
     parts = cut_lineage(chunks(rows))
-    words = parts.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
-    words = words.select("chunk", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    known = cut_lineage(words.groupBy("word").agg(F.sum("n").alias("c")))
-    rare = (F.col("c") > 0) & (F.col("c") < min_symbol)
-    sums = known.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum(F.when(rare, F.col("c") + 1)).alias("rare")).first()
+    words = cut_lineage(_summed(dictionary_rows(parts), "word", "c").select("chunk", "place", "c", "first"))
+    each = words.filter("first")
+    sums = each.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     tokens = sums["n"] or 0
-    root = {"total": tokens + (sums["v"] or 0) + 1, "rare": (sums["rare"] or 0) + 1}
-    told = words.join(known, "word").select("chunk", "place", "c", F.xxhash64("word").bitwiseOR(F.lit(1).cast("long")).alias("code"))
-    gathered = _by_chunk(told, F.struct("c", "code"), "k").select("chunk", F.col("k.c").alias("c"), F.col("k.code").alias("code"))
-    coded = cut_lineage(encoded(parts, gathered, root, min_symbol))
-
-    none = F.expr("cast(null as array<long>)")
-    first = cut_lineage(_pair_rows(coded.withColumn("open", none), 1, min_context))
-    root_probability = (F.col("c") + 1.0) / F.lit(float(root["total"]))
-    pairs = first.groupBy("context", "pair").agg(F.sum("n").alias("n"), F.min(root_probability).alias("parent"), F.min("code").alias("code"))
-    ones = cut_lineage(_states(pairs, prior, divergence, min_context))
+    min_symbol = min_symbol or max(1, math.ceil(SYMBOL_SHARE * tokens))
+    min_context = min_context or max(1, math.ceil(CONTEXT_SHARE * tokens))
+    rare = each.filter((F.col("c") > 0) & (F.col("c") < min_symbol)).agg(F.sum(F.col("c") + 1)).first()[0] or 0
+    root = {"total": tokens + (sums["v"] or 0) + 1, "rare": rare + 1}
+    coded = cut_lineage(encoded(parts, _by_chunk(words, "place", "c", "c", "long"), root, min_symbol))
+
+    first = cut_lineage(_summed(_pair_rows(coded.withColumn("open", F.expr("cast(null as array<long>)")), 1, min_context), "pair", "all_n").drop("n"))
+    first = first.withColumn("parent", (F.col("c") + 1.0) / F.lit(float(root["total"])))
+    states = _states(first.filter("first"), prior, divergence, min_context)
+    known = first.join(states, "context").withColumn("probability", _probability(prior))
     # Two symbols are a candidate if they are frequent and the last one is a state.
-    states = ones.filter("state").select(F.col("context").alias("code")).distinct()
-    open_ = ones.filter(F.col("n") >= min_context).join(states, "code", "left_semi").select("pair")
-    open_ = first.join(open_, "pair", "left_semi").groupBy("chunk").agg(F.collect_list("pair").alias("open"))
+    last = states.filter("state").select(F.col("context").alias("code"))
+    open_ = first.filter(F.col("all_n") >= min_context).join(last, "code", "left_semi").groupBy("chunk").agg(F.collect_list("pair").alias("open"))
+    open_ = cut_lineage(open_)
     opened = coded.join(open_, "chunk", "left")
-    second = cut_lineage(_pair_rows(opened, 2, min_context))
-    upper = ones.select(F.col("pair").alias("upper"), F.col("probability").alias("parent"))
-    pairs = second.groupBy("context", "pair").agg(F.sum("n").alias("n"), F.min("upper").alias("upper"), F.min("code").alias("code"))
-    twos = cut_lineage(_states(pairs.join(upper, "upper"), prior, divergence, min_context))
+    second = cut_lineage(_summed(_pair_rows(opened, 2, min_context), "pair", "all_n").drop("n"))
+    upper = known.filter("first and state").select(F.col("pair").alias("upper"), F.col("probability").alias("parent"))
+    second = cut_lineage(second.join(upper, "upper").drop("upper"))
+    longer = second.join(_states(second.filter("first"), prior, divergence, min_context), "context").withColumn("probability", _probability(prior))
 
-    def answers(pairs_: DataFrame, model: DataFrame, out: str) -> DataFrame:
-        value = F.when(F.col("state"), F.log10("probability"))
-        return _by_chunk(pairs_.select("chunk", "place", "pair").join(model.select("pair", "state", "probability"), "pair"), value, out)
+    def answers(pairs_: DataFrame, out: str) -> DataFrame:
+        value = F.when(F.col("state"), F.log10("probability")).otherwise(F.lit(float("nan")))
+        return _by_chunk(pairs_.withColumn("value", value), "pair", "value", out, "double")
 
-    asked = opened.join(answers(first, ones, "ones"), "chunk", "left").join(answers(second, twos, "twos"), "chunk", "left")
+    asked = opened.join(answers(known, "ones"), "chunk", "left").join(answers(longer, "twos"), "chunk", "left")
     total = math.log10(root["total"])
 
     def score(batches):
@@ -288,8 +362,8 @@ def score_texts(
                 chunk = _Chunk(batch.column(6)[r], sizes, batch.column(7)[r], batch.column(8)[r])
                 value = np.log10(chunk.count + 1.0) - total
                 for which, column in ((1, 10), (2, 11)):
-                    some, back, _, _ = chunk.level(which, min_context, _open(batch.column(9), r))
-                    answer = _list(batch.column(column), r).astype(np.float64)
+                    some, back, *_ = chunk.level(which, min_context, _open(batch.column(9), r))
+                    answer = _array(batch.column(column), r, "<f8")
                     if len(some):
                         better = answer[back]
                         value[some] = np.where(np.isnan(better), value[some], better)
