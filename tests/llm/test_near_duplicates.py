@@ -57,9 +57,8 @@ def test_against_all_pairs(spark, docs):
     assert result(neardup.near_duplicates(docs(rows).repartition(4))) == brute(rows)
 
 
-def test_rounds_of_hubs(spark, docs, monkeypatch):
-    """A large group of copies that are barely similar to each other, with rounds forced."""
-    monkeypatch.setattr(neardup, "FEW_PAIRS", 0)
+def test_barely_similar_group(spark, docs):
+    """A large group of copies that are barely similar to each other."""
     rng = random.Random(11)
     base = [f"w{i}" for i in range(150)]
     rows = [(i, family(rng, base, rng.choice([1, 2, 3, 4, 5])), "en", "s") for i in range(90)]
