@@ -1,14 +1,14 @@
 """Scoring texts with a probabilistic suffix tree over words.
 
 Tokens are the lower-cased words (A-Z only) of a text and one end. The tree's symbols are the
-tokens that are SYMBOL_SHARE of the training tokens; all others, unknown ones too, are one rare
+tokens with MIN_SYMBOL occurrences in training; all others, unknown ones too, are one rare
 symbol, whose probability is split among its words as the unigram distribution does. States are
 contexts of 0 to 2 symbols (no rare ones); the longest suffix of the history that is a state is
 used, and no context reaches over the start of a text.
 
 * The root is the unigram distribution with one added count, unknown words being one more.
-* A context of one symbol is a candidate if it precedes CONTEXT_SHARE of the training tokens;
-  one of two likewise, if its last symbol is a state. A candidate is retained if its
+* A context of one symbol is a candidate if it occurs MIN_CONTEXT times in training; one of two
+  likewise, if its last symbol is a state. A candidate is retained if its
   next-symbol distribution diverges from its parent's: n * KL(context || parent) must reach
   DIVERGENCE for each distinct next symbol (by chance it is about a half).
 * A state's counts are smoothed towards its parent's distribution with the weight of PRIOR
@@ -18,7 +18,8 @@ Counts cover all training rows. Texts are written in chunks of CHUNK_TOKENS toke
 own dictionary; only a chunk's distinct words, and its distinct (candidate context, next
 symbol) pairs, are exchanged once, summed over the chunks that have them, and answered to the
 chunk. So a task holds a chunk or two, hot words are counted before they move, and what is
-gathered grows with the input. Thresholds are shares, so the model is alike at every size.
+gathered grows with the input. Both minimum counts are absolute: a larger corpus has more symbols
+and more candidates, and only the divergence test prunes contexts that occur twice.
 
 A null text is an empty one (its only token is the end); a row without an id trains and is not
 held out. Repeated rows count as often as they appear. With nothing to train on all tokens
@@ -39,9 +40,9 @@ from pyspark.sql import functions as F
 from meshloom.llm.neardup import mix64
 from meshloom.llm.shared import cut_lineage, table
 
-# Shares of the training tokens.
-SYMBOL_SHARE = 2.0**-15
-CONTEXT_SHARE = 2.0**-14
+# Training counts. What occurs once has nothing to be compared with.
+MIN_SYMBOL = 2
+MIN_CONTEXT = 2
 DIVERGENCE = 1.0
 PRIOR = 256.0
 CHUNK_TOKENS = 1 << 20
@@ -316,20 +317,17 @@ def _probability(prior: float) -> Column:
 
 
 def score_texts(
-    rows: DataFrame, min_symbol: int | None = None, min_context: int | None = None, divergence: float = DIVERGENCE, prior: float = PRIOR
+    rows: DataFrame, min_symbol: int = MIN_SYMBOL, min_context: int = MIN_CONTEXT, divergence: float = DIVERGENCE, prior: float = PRIOR
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for rows (doc_id, text, held_out).
 
-    A tree is trained on the rows that are not held out and scores all rows. Counts given for
-    symbols and contexts take the place of the shares.
+    A tree is trained on the rows that are not held out and scores all rows.
     """
     parts = cut_lineage(chunks(rows))
     words = cut_lineage(_summed(dictionary_rows(parts), "word", "c").select("chunk", "place", "c", "first"))
     each = words.filter("first")
     sums = each.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     tokens = sums["n"] or 0
-    min_symbol = min_symbol or max(1, math.ceil(SYMBOL_SHARE * tokens))
-    min_context = min_context or max(1, math.ceil(CONTEXT_SHARE * tokens))
     rare = each.filter((F.col("c") > 0) & (F.col("c") < min_symbol)).agg(F.sum(F.col("c") + 1)).first()[0] or 0
     root = {"total": tokens + (sums["v"] or 0) + 1, "rare": rare + 1}
     coded = cut_lineage(encoded(parts, _by_chunk(words, "place", "c", "c", "long"), root, min_symbol))

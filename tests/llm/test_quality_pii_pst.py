@@ -171,3 +171,16 @@ def test_suffix_tree_awkward_rows(spark, docs, awkward):
     assert pst.score_texts(rows.filter("false")).isEmpty()
     unknown = pst.score_texts(rows.withColumn("held_out", F.lit(True))).collect()
     assert all(r["n_known"] == 0 and r["score"] == pytest.approx(0.0) for r in unknown)
+
+
+def test_suffix_tree_keeps_rare_contexts_of_a_large_corpus(spark, docs):
+    """Words and contexts that occur a few times in 250,000 tokens are symbols and states."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(5_000)) for _ in range(50)] + ["amber bronze cobalt"] * 3 + ["once amber bronze cobalt"]
+    held = [False] * 53 + [True]
+    rows = docs(texts).withColumn("held_out", F.col("doc_id") == 53)
+    got = {r["doc_id"]: r for r in pst.score_texts(rows).collect()}
+    want, _, pairs = brute_scores(texts, held, 2, 2)
+    assert pairs > 1
+    assert all(got[i]["score"] == pytest.approx(w[4]) for i, w in enumerate(want))
+    assert got[53]["score"] > got[53]["base_score"] + 1
