@@ -7,9 +7,13 @@ then bootstraps from them:
    and candidates are instances; the two words before an instance are its pattern.
 2. Distinct (pattern, instance) pairs form a graph. A pattern's confidence in a kind is the
    mean score of its instances, damped by a prior; an instance's score is 1 minus the product
-   of 1 - confidence over its patterns. Seeds keep score 1 for their kind. ROUNDS rounds.
-3. Patterns with MIN_SEEDS distinct seeds and MIN_CONFIDENCE mark their candidates, in every
-   text, as spans of their kind. Base spans always stay; an added span overlaps none of them.
+   of 1 - confidence over its patterns. Seeds keep score 1 for their kind. ROUNDS rounds make
+   a generation.
+3. Patterns with MIN_SEEDS distinct supporting instances and MIN_CONFIDENCE are trusted. Their
+   instances keep at least the score they have and support other patterns from the next
+   generation on, as seeds do. Generations follow each other until one adds no trusted pattern.
+4. Trusted patterns mark their candidates, in every text, as spans of their kind. Base spans
+   always stay; an added span overlaps none of them.
 
 Everything is built-in functions; texts are read once and never shuffled. Expressions avoid
 repeated groups and restarts inside a run, so long texts neither overflow the matcher nor take
@@ -117,33 +121,41 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return found.filter("base").unionByName(loose.filter(F.coalesce(apart, F.lit(True))).drop("spans"))
 
 
-def pattern_confidence(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, kind, confidence, seeds by rounds of scoring over the pattern-instance graph."""
+def pattern_confidence(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """pattern, kind, confidence, seeds of the trusted patterns, by generations of scoring over the pattern-instance graph."""
     edges = found.filter("pattern <> ''").groupBy("pattern", "instance").agg(F.max(F.when(F.col("base"), F.col("kind"))).alias("seed"))
     edges = cut_lineage(edges)
-    # Only patterns that a seed appears in can ever score, and only their edges move on.
-    seeded = edges.filter("seed is not null").select("pattern").distinct()
-    edges = cut_lineage(edges.join(seeded, "pattern", "left_semi"))
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
-    seeds = edges.filter("seed is not null").groupBy("instance", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("score"))
-    scores = cut_lineage(seeds)
-    patterns = None
-    for _ in range(rounds):
-        sums = edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"))
-        patterns = sums.join(sizes, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("size") + PRIOR)).alias("confidence"))
-        patterns = cut_lineage(patterns)
-        doubt = F.exp(F.sum(F.log(F.greatest(1.0 - F.col("confidence"), F.lit(1e-9)))))
-        open_ = edges.filter("seed is null").join(patterns, "pattern").groupBy("instance", "kind").agg((1.0 - doubt).alias("score"))
-        scores = cut_lineage(seeds.unionByName(open_.join(seeds, ["instance", "kind"], "left_anti")))
-    support = edges.groupBy("pattern", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("seeds"))
-    return patterns.join(support, ["pattern", "kind"]).select("pattern", "kind", "confidence", "seeds")
+    sizes = cut_lineage(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")))
+    open_ = edges.filter("seed is null")
+    held = cut_lineage(edges.filter("seed is not null").groupBy("instance", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("score")))
+    doubt = F.exp(F.sum(F.log(F.greatest(1.0 - F.col("confidence"), F.lit(1e-9)))))
+    best = F.max("score").alias("score")
+    known = 0
+    while True:
+        # Instances that are held when a generation begins are its support.
+        scores = held.withColumn("held", F.lit(1))
+        for last in (i == rounds - 1 for i in range(rounds)):
+            sums = edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.sum("held").alias("seeds"))
+            patterns = sums.join(sizes, "pattern").select("pattern", "kind", (F.col("sum") / (F.col("size") + PRIOR)).alias("confidence"), "seeds")
+            patterns = cut_lineage(patterns)
+            if not last:
+                scored = open_.join(patterns, "pattern").groupBy("instance", "kind").agg((1.0 - doubt).alias("score")).withColumn("held", F.lit(0))
+                both = held.withColumn("held", F.lit(1)).unionByName(scored)
+                scores = cut_lineage(both.groupBy("instance", "kind").agg(best, F.max("held").alias("held")))
+        trusted = cut_lineage(patterns.filter((F.col("seeds") >= min_seeds) & (F.col("confidence") >= min_confidence)))
+        # Scores only rise, so trusted patterns stay trusted.
+        before, known = known, trusted.count()
+        if known <= before:
+            return trusted
+        scored = open_.join(trusted, "pattern").groupBy("instance", "kind").agg((1.0 - doubt).alias("score"))
+        held = cut_lineage(held.unionByName(scored).groupBy("instance", "kind").agg(best))
 
 
 def personal_data(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """doc_id and spans: array of (kind, base, start, end), by kind as in KINDS and then by start."""
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
     found = cut_lineage(occurrences(keyed.select("rid", "text")))
-    trusted = pattern_confidence(found).filter((F.col("seeds") >= min_seeds) & (F.col("confidence") >= min_confidence))
+    trusted = pattern_confidence(found, ROUNDS, min_seeds, min_confidence)
     best = trusted.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("known"))
     added = found.filter("not base").join(best, "pattern").select("rid", F.col("known").alias("kind"), "base", "start", "end")
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))

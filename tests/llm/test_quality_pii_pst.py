@@ -101,6 +101,18 @@ def test_contexts_find_unseen_numbers(spark, docs):
     assert all(len(got[i]) == 1 and got[i][0]["base"] for i in range(30))
 
 
+def test_found_numbers_lead_to_further_contexts(spark, docs):
+    """Seeds prove 'call me', its local numbers prove 'reach via', and those found there prove 'dial only'."""
+    first, second = [f"555 020 {2000 + i}" for i in range(40)], [f"555 030 {3000 + i}" for i in range(20)]
+    rows = [f"please call me +1 555 010 {1000 + i} soon" for i in range(60)] + [f"please call me {x} soon" for x in first]
+    rows += [f"or reach via {x} today" for x in first + second] + [f"then dial only {x} now" for x in [*second, "555 040 4444"]]
+    rows += [f"in the year {x} soon" for x in (first[0], "555 050 5555")]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs(rows)).collect()}
+    added = {i: [(s["kind"], rows[i][s["start"] : s["end"]]) for s in spans if not s["base"]] for i, spans in got.items()}
+    want = {i: [("phone", " ".join(row.split()[3:6]))] if 60 <= i < len(rows) - 2 else [] for i, row in enumerate(rows)}
+    assert added == want
+
+
 def brute_scores(texts, held, least_symbol, least_context):
     tokens = [(t or "").encode().lower().split() + [b"\n"] for t in texts]
     c = Counter(w for ws, h in zip(tokens, held) if not h for w in ws)
