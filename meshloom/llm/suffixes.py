@@ -44,6 +44,8 @@ SHARD_RUNS = 2_000
 BLOCK = 8
 SLICE_BYTES = 4_000_000
 SYMBOLS = 258
+# Bits of a fingerprint that hold its place in a stretch of text.
+PLACE_BITS = 24
 
 
 def _loads(data: np.ndarray) -> np.ndarray:
@@ -63,18 +65,28 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(left[:n], right[width - 1 : width - 1 + n])
 
 
-def anchor_runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of starts (first, last) and their anchors, for documents that end at ``ends`` in ``data``."""
-    none = np.zeros(0, np.int64)
-    if len(data) < LENGTH:
-        return none, none, none
+def _anchors(data: np.ndarray) -> np.ndarray:
+    """The anchor of every start in ``data``, for at most 2^PLACE_BITS fingerprints."""
     loads = _loads(data)
     prints = mix64(loads[:-8] * np.uint64(0x9E3779B97F4A7C15) + loads[8:] * np.uint64(0xC2B2AE3D27D4EB4F))
     place = np.arange(len(prints), dtype=np.uint64)
     # Low bits prefer the rightmost of equal fingerprints.
-    low = np.uint64((1 << 24) - 1)
+    low = np.uint64((1 << PLACE_BITS) - 1)
     least = _sliding_min((prints & ~low) | (low - place), WINDOW)
-    anchor = (low - (least & low)).astype(np.int64)[: len(data) - LENGTH + 1]
+    return (low - (least & low)).astype(np.int64)[: len(data) - LENGTH + 1]
+
+
+def anchor_runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of starts (first, last) and their anchors, for documents that end at ``ends`` in ``data``.
+
+    Anchors are looked up in stretches whose places fit their bits, however long a document is.
+    A start's anchor depends on the LENGTH bytes from it on, so stretches overlap by those.
+    """
+    none = np.zeros(0, np.int64)
+    if len(data) < LENGTH:
+        return none, none, none
+    step = min(SLICE_BYTES, 1 << PLACE_BITS) - LENGTH + 1
+    anchor = np.concatenate([a + _anchors(data[a : a + step + LENGTH - 1]) for a in range(0, len(data) - LENGTH + 1, step)])
     starts = np.arange(len(anchor))
     limit = np.repeat(ends, np.diff(ends, prepend=0))[: len(anchor)]
     valid = starts + LENGTH <= limit

@@ -66,3 +66,22 @@ def test_awkward_rows(spark, docs, awkward):
     named = docs(rows).withColumns({"rid": F.lit("mine"), "first": F.lit(0)})
     assert result(suffixes.remove_repeats(named)) == brute(rows, 400)
     assert suffixes.remove_repeats(docs([])).isEmpty()
+
+
+@pytest.mark.parametrize("bits", [9, 10, 13])
+def test_anchors_do_not_depend_on_place_bits(monkeypatch, bits):
+    rng = random.Random(11)
+    data = np.frombuffer(rng.randbytes(20_000) + b"ab" * 4_000 + rng.randbytes(9_000), np.uint8)
+    ends = np.array([300, 21_000, 27_000, len(data)])
+    whole = suffixes.anchor_runs(data, ends)
+    monkeypatch.setattr(suffixes, "PLACE_BITS", bits)
+    for a, b in zip(suffixes.anchor_runs(data, ends), whole):
+        assert a.tolist() == b.tolist()
+
+
+def test_repeat_past_16_mib_of_a_document(spark, docs):
+    rng = random.Random(12)
+    head, passage = rng.randbytes(8_450_000).hex(), rng.randbytes(300).hex()
+    rows = docs([(1, head + "<" + passage + ">", "en", "s"), (2, "(" + passage + ")", "en", "s")])
+    got = {r["doc_id"]: [(s["first"], s["end"]) for s in r["spans"]] for r in suffixes.remove_repeats(rows).collect()}
+    assert got == {1: [(len(head) + 1, len(head) + 601)], 2: [(1, 601)]}
