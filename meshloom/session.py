@@ -5,11 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Tables written by cut_lineage, by application.
 _WRITTEN: dict[str, list[str]] = {}
+# The folder of each re-read table.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -26,9 +30,12 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, frees: Iterable[DataFrame | None] = ()) -> DataFrame:
     """Write ``df`` as a table below the checkpoint folder and return the re-read table.
 
+    ``frees`` names tables of earlier calls that nothing needs once this one is written; they
+    are deleted then.
+
     A Parquet table is computed once, is pruned by column when read again, and gives the
     optimizer real sizes. The folder is the cluster's ``spark.checkpoint.dir``. Only a local
     master may fall back to a private folder; a cluster without the setting is an error,
@@ -46,14 +53,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
     _WRITTEN.setdefault(context.applicationId, []).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[table] = path
+    for old in frees:
+        drop_cut(old)
+    return table
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_cut(table: DataFrame | None) -> bool:
+    """Delete a table that `cut_lineage` returned; frames built on it can't be read afterwards."""
+    path = _FOLDERS.pop(table, None) if table is not None else None
+    if path is None:
+        return False
+    _delete(table.sparkSession, path)
+    written = _WRITTEN.get(table.sparkSession.sparkContext.applicationId, [])
+    if path in written:
+        written.remove(path)
+    return True
 
 
 def remove_cuts(spark: SparkSession) -> int:
     """Delete the tables that `cut_lineage` wrote for this application; call it once their results are stored."""
-    context = spark.sparkContext
-    paths = _WRITTEN.pop(context.applicationId, [])
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     for name in paths:
-        path = context._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, name)
     return len(paths)
