@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meshloom.llm import chat, linededup, mixing, neardup, packing, pii, pst, quality, suffixes, topk
+from meshloom.llm import benchmatch, bitplanes, chat, linededup, mixing, neardup, packing, pii, pst, quality, suffixes, topk, transducer
 
 QUERIES = {
     "op1_suffix_tree": pst.op1_suffix_tree,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_line_dedup": linededup.op8_line_dedup,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_pack_tokens": packing.op10_pack_tokens,
+    "op11_benchmark_overlap": benchmatch.op11_benchmark_overlap,
+    "op12_source_audit": transducer.op12_source_audit,
+    "op13_centroid_clusters": bitplanes.op13_centroid_clusters,
 }
 ORACLES = {
     "op2_exact_top_k": topk.ORACLE,
@@ -23,4 +26,7 @@ ORACLES = {
     "op5_quality_rules": quality.ORACLE,
     "op6_near_duplicates": neardup.ORACLE,
     "op8_line_dedup": linededup.ORACLE,
+    "op11_benchmark_overlap": benchmatch.ORACLE,
+    "op12_source_audit": transducer.ORACLE,
+    "op13_centroid_clusters": bitplanes.ORACLE,
 }
