@@ -15,7 +15,8 @@ from meshloom.operators.assemble import assemble, assemble_blocks
 from meshloom.operators.contributions import scalar_contributions
 from meshloom.operators.corners import gather_corners, missing_nodes
 from meshloom.plans import derived
-from meshloom.sinks.writers import mesh_lines, run_documents
+from meshloom.session import scratch_folder
+from meshloom.sinks.writers import CSV_FORM, mesh_lines, run_documents, write_runs_csv, write_runs_json
 from meshloom.sources import decks, grids, runlogs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -550,6 +551,37 @@ def run_log_normalized(spark, sf):
     return typed.select(*derived.RUN_KEYS, "run_count", "assembly_ms", "total_ms", "speedup", "status", "skip_reason", "diagnostics")
 
 
+def _logged_runs(spark, sf):
+    """The finished runs with all columns of the log; texts hold quotes, commas and line breaks."""
+    runs = derived.event_runs(spark, sf)
+    said = F.concat(F.lit('said "'), "algorithm", F.lit('",\n'), "diagnostics", F.lit("\n"))
+    runs = runs.withColumns({"mesh": F.col("case_name"), "element_type": F.lit("Tet4"), "diagnostics": said})
+    absent = {n: F.lit("" if k == "string" else 0).cast(k) for n, k in runlogs.RUN_COLUMNS.items() if n not in runs.columns}
+    return runs.withColumns(absent)
+
+
+@query
+def run_csv_files(spark, sf):
+    """The runs written as CSV part files and read again, one file split off with other columns."""
+    runs = _logged_runs(spark, sf)
+    folder = scratch_folder(spark)
+    write_runs_csv(runs.filter("kernel = 'simplified'"), f"{folder}/full")
+    few = runs.filter("kernel <> 'simplified'").repartitionByRange("ordinal").sortWithinPartitions("ordinal")
+    short = few.select("diagnostics", "status", *derived.RUN_KEYS, "mesh", "run_count", F.col("assembly_min_ms").cast("long").alias("assembly_ms"))
+    short.write.csv(f"{folder}/short", header=True, **CSV_FORM)
+    back = runlogs.read_runs_csv(spark, [f"{folder}/full", f"{folder}/short"])
+    return back.select(*derived.RUN_KEYS, "mesh", "run_count", "assembly_min_ms", "assembly_ms", "extra_memory_bytes", "status", "skip_reason", "diagnostics")
+
+
+@query
+def run_json_files(spark, sf):
+    """The runs written as nested JSON documents and read again."""
+    folder = scratch_folder(spark)
+    write_runs_json(_logged_runs(spark, sf), folder)
+    back = runlogs.read_runs_json(spark, [folder], lines=True)
+    return back.select(*derived.RUN_KEYS, "mesh", "element_type", "run_count", "assembly_ms", "extra_memory_bytes", "status", "skip_reason", "diagnostics")
+
+
 @query
 def run_stats(spark, sf):
     stats = derived.event_statistics(spark, sf)

@@ -504,6 +504,17 @@ ORACLES["run_log_normalized"] = f"""WITH {RUNS}
 SELECT {KEYS}, CAST(CASE WHEN threads % 2 = 1 THEN 0 ELSE run_count END AS INTEGER) AS run_count,
        CASE WHEN threads % 2 = 1 THEN assembly_min_ms ELSE assembly_ms END AS assembly_ms, total_ms, 0e0 AS speedup,
        status, skip_reason, '' AS diagnostics FROM runs"""
+SAID = "'said \"' || algorithm || '\",' || chr(10) || diagnostics || chr(10)"
+ORACLES["run_csv_files"] = f"""WITH {RUNS}
+SELECT {KEYS}, case_name AS mesh, CAST(run_count AS INTEGER) AS run_count,
+       CASE WHEN kernel = 'simplified' THEN assembly_min_ms ELSE 0e0 END AS assembly_min_ms,
+       CASE WHEN kernel <> 'simplified' THEN assembly_min_ms
+            WHEN assembly_ms = 0 THEN 0e0 ELSE CAST(printf('%.9e', assembly_ms) AS DOUBLE) END AS assembly_ms,
+       CAST(CASE WHEN kernel = 'simplified' THEN extra_memory_bytes ELSE 0 END AS BIGINT) AS extra_memory_bytes,
+       status, CASE WHEN kernel = 'simplified' THEN skip_reason ELSE '' END AS skip_reason, {SAID} AS diagnostics FROM runs"""
+ORACLES["run_json_files"] = f"""WITH {RUNS}
+SELECT {KEYS}, case_name AS mesh, 'Tet4' AS element_type, CAST(run_count AS INTEGER) AS run_count, assembly_ms,
+       CAST(extra_memory_bytes AS BIGINT) AS extra_memory_bytes, status, skip_reason, {SAID} AS diagnostics FROM runs"""
 ORACLES["run_stats"] = f"""WITH {SAMPLES}
 SELECT {KEYS}, CAST(run_count AS INTEGER) AS run_count,
        assembly_mean_ms, assembly_min_ms, assembly_max_ms, total_mean_ms, total_min_ms, total_max_ms,

@@ -41,7 +41,17 @@ def cut_lineage(df: DataFrame, frees: Iterable[DataFrame | None] = ()) -> DataFr
     master may fall back to a private folder; a cluster without the setting is an error,
     because executors could not see such a folder.
     """
-    spark = df.sparkSession
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[table] = path
+    for old in frees:
+        drop_cut(old)
+    return table
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path below the checkpoint folder; `remove_cuts` deletes what is written there."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -52,12 +62,7 @@ def cut_lineage(df: DataFrame, frees: Iterable[DataFrame | None] = ()) -> DataFr
         context.setCheckpointDir(folder)
     path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
     _WRITTEN.setdefault(context.applicationId, []).append(path)
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    _FOLDERS[table] = path
-    for old in frees:
-        drop_cut(old)
-    return table
+    return path
 
 
 def _delete(spark: SparkSession, name: str) -> None:

@@ -84,15 +84,15 @@ def _typed(name: str, kind: str, present: list[str]) -> Column:
     return F.coalesce(value, F.lit(0).cast(kind)).alias(name)
 
 
-def normalize_runs(raw: DataFrame) -> DataFrame:
-    """Text columns, found by name, as the typed run log plus ``ordinal`` (row order).
+def normalize_runs(raw: DataFrame, *keep: str) -> DataFrame:
+    """Text columns, found by name, as the typed run log plus ``ordinal`` (row order) and the columns ``keep``.
 
     A zero mean falls through to the single-run time of the same row.
     """
     absent = [c for c in REQUIRED if c not in raw.columns]
     if absent:
         raise ValueError(f"run log lacks columns: {', '.join(absent)}")
-    typed = raw.select(*[_typed(n, k, raw.columns) for n, k in RUN_COLUMNS.items()], "ordinal")
+    typed = raw.select(*[_typed(n, k, raw.columns) for n, k in RUN_COLUMNS.items()], "ordinal", *keep)
     return typed.withColumns(
         {
             f"{part}_ms": F.when(F.col(f"{part}_mean_ms") != 0, F.col(f"{part}_mean_ms")).otherwise(F.col(f"{part}_ms"))
@@ -116,41 +116,87 @@ def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return placed.select("path", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at", "path")).cast("long").alias("rank"))
 
 
+def csv_records(spark: SparkSession, paths: list[str], multiline: bool = True) -> DataFrame:
+    """path, number (from 1 in every file) and text of the CSV records of all files.
+
+    Files are split into blocks as any text is. A line begins a record if the quotes before it
+    in its file are even in number. Each block counts its quotes, and its beginnings for
+    either case, so exclusive sums over a file's blocks tell which case holds and the number
+    of its first record. Only lines of records with line breaks are brought together. Quotes
+    must be doubled inside quoted fields and appear in no others.
+    """
+    at = F.monotonically_increasing_id().alias("at")
+    where = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.option("lineSep", "\n").text(paths).select(*where, at, "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'))) if multiline else F.lit(0)
+    lines = lines.withColumn("quotes", quotes)
+    # A block's lines follow each other in one task, whose running number orders them.
+    block = Window.partitionBy("path", "block").orderBy("at")
+    before = F.coalesce(F.sum("quotes").over(block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.withColumn("odd", before % 2)
+    running = {f"begun{case}": F.count_if(F.col("odd") == case).over(block) for case in (0, 1)}
+    lines = lines.withColumns(running)
+    totals = lines.groupBy("path", "block").agg(
+        F.sum("quotes").alias("quotes"), F.count_if(F.col("odd") == 0).alias("all0"), F.count_if(F.col("odd") == 1).alias("all1")
+    )
+    # One row per block.
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    carried = totals.withColumn("carry", F.coalesce(F.sum("quotes").over(earlier), zero) % 2)
+    begun = F.when(F.col("carry") == 0, F.col("all0")).otherwise(F.col("all1"))
+    carried = carried.withColumn("base", F.coalesce(F.sum(begun).over(earlier), zero)).select("path", "block", "carry", "base")
+    own = F.when(F.col("carry") == 0, F.col("begun0")).otherwise(F.col("begun1"))
+    lines = lines.join(carried, ["path", "block"]).withColumns({"number": F.col("base") + own, "inside": F.col("odd") != F.col("carry")})
+    alone = ~F.col("inside") & (F.col("quotes") % 2 == 0)
+    lines = lines.select("path", "number", "block", "at", "value", alone.alias("alone"))
+    whole = lines.filter("alone").select("path", "number", F.col("value").alias("text"))
+    parts = F.sort_array(F.collect_list(F.struct("block", "at", "value")))
+    joined = lines.filter("not alone").groupBy("path", "number").agg(F.array_join(F.transform(parts, lambda x: x["value"]), "\n").alias("text"))
+    return whole.unionByName(joined).withColumn("text", F.regexp_replace("text", "\r$", ""))
+
+
 def read_runs_csv(spark: SparkSession, paths: list[str], multiline: bool = True) -> DataFrame:
     """Run logs of all ``paths`` (files or folders) in file and row order. A file without rows is an error.
 
-    All files are read in one scan, columns are found by each file's own header. Quoted fields
-    may hold line breaks; ``multiline=False`` gives that up, so that large files can be split.
-    A row whose status is not PASS, SKIP or FAIL is an error: it is no row of a run log.
+    Columns are found by each file's own header; of columns with the same name the last counts,
+    columns without a name are not read. Quoted fields may hold line breaks, also in files
+    that are split (see `csv_records`); with ``multiline=False`` a line is a record. Blank
+    records are skipped. The typed rows are written once, and a row whose status is not PASS,
+    SKIP or FAIL is an error: it is no row of a run log.
     """
     if not paths:
         raise ValueError("no run logs given")
     files = cut_lineage(_files(spark, paths))
-    path, at = F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at")
-    lines = spark.read.text(paths).select(path, F.col("_metadata.file_block_start").alias("block"), "value", at)
-    heads = lines.filter("block = 0").groupBy("path").agg(F.min_by("value", "at").alias("head"))
-    width = heads.agg(F.max(F.size(F.split("head", ",")))).first()[0] or 1
-    names = [f"c{i}" for i in range(width)]
-    schema = ", ".join(f"{n} string" for n in names)
-    rows = spark.read.schema(schema).csv(paths, header=False, quote='"', escape='"', multiLine=multiline).select(path, at, F.array(*names).alias("v"))
-    # A file is read in order inside its partitions, so its first row is its header.
-    headers = cut_lineage(rows.groupBy("path").agg(F.min_by("v", "at").alias("header"), F.min("at").alias("first"), F.count(F.lit(1)).alias("rows")))
-    empty = files.join(headers.filter("rows > 1"), "path", "left_anti").orderBy("rank").select("path").first()
-    present = {r[0] for r in headers.select(F.explode("header")).distinct().filter("col is not null").collect()}
+    records = cut_lineage(csv_records(spark, paths, multiline).filter("text <> ''"))
+    heads = records.join(records.groupBy("path").agg(F.min("number").alias("number")), ["path", "number"])
+    heads = heads.withColumn("text", F.ltrim(F.col("text"), F.lit("\ufeff")))
+    # Every comma of a header ends one name at most.
+    width = heads.agg(F.max(F.length("text") - F.length(F.replace("text", F.lit(","))) + 1)).first()[0] or 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+
+    parsed = F.from_csv("text", schema, {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"})
+    values = F.array(*[F.col(f"fields.c{i}") for i in range(width)])
+    heads = cut_lineage(heads.withColumn("fields", parsed).select("path", F.col("number").alias("head"), values.alias("header")))
+    present = {r[0] for r in heads.select(F.explode("header").alias("name")).distinct().filter("name is not null").collect()}
     absent = [c for c in REQUIRED if c not in present]
-    if empty is not None and not absent:
-        raise ValueError(f"CSV contains no data: {empty['path']}")
-    # The low 33 bits count a partition's rows; a file's own partitions follow each other.
-    body = rows.join(headers, "path").join(files, "path").filter("at > first")
-    fields = F.map_from_arrays(F.transform("header", lambda h: F.coalesce(h, F.lit(""))), "v")
-    order = Window.partitionBy("path").orderBy("at")
-    body = body.select(
-        *[F.try_element_at(fields, F.lit(n)).alias(n) for n in RUN_COLUMNS if n in present],
-        (F.col("rank") * (1 << 33) + F.row_number().over(order)).alias("ordinal"),
-    )
-    runs = normalize_runs(body)
-    wrong = F.raise_error(F.concat(F.lit("not a run-log row, status: "), "status")).cast("string")
-    return runs.withColumn("status", F.when(F.col("status").isin("PASS", "SKIP", "FAIL"), F.col("status")).otherwise(wrong))
+    if absent:
+        raise ValueError(f"run log lacks columns: {', '.join(absent)}")
+    names = [n for n in RUN_COLUMNS if n in present]
+    # Place of each column in its file, from 0; an absent one is past the end.
+    places = [(F.lit(width) - F.array_position(F.reverse("header"), n)).cast("int") for n in names]
+    heads = heads.select("path", "head", F.array(*places).alias("places")).join(files, "path")
+    body = records.join(heads, "path").filter("number > head").withColumn("fields", parsed)
+    body = body.select("path", (F.col("rank") * (1 << 33) + F.col("number")).alias("ordinal"), "places", values.alias("v"))
+    body = body.select("path", "ordinal", *[F.get("v", F.col("places")[i]).alias(n) for i, n in enumerate(names)])
+    typed = cut_lineage(normalize_runs(body, "path"), frees=[records])
+    found = typed.groupBy("path").agg(F.min(F.when(~F.col("status").isin("PASS", "SKIP", "FAIL"), F.col("status"))).alias("wrong"))
+    checked = files.join(found.withColumn("rows", F.lit(True)), "path", "left")
+    problem = checked.filter("rows is null or wrong is not null").orderBy("rank").first()
+    if problem is not None and problem["rows"] is None:
+        raise ValueError(f"CSV contains no data: {problem['path']}")
+    if problem is not None:
+        raise ValueError(f"not a run-log row, status: {problem['wrong']} in {problem['path']}")
+    return typed.drop("path")
 
 
 def read_runs_json(spark: SparkSession, paths: list[str], lines: bool = False) -> DataFrame:

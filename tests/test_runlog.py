@@ -1,4 +1,5 @@
 import json
+import random
 import statistics
 
 import pytest
@@ -8,7 +9,7 @@ from meshloom.functions import names, text
 from meshloom.operators import runlog
 from meshloom.sinks import writers
 from meshloom.sources.grids import cube_hex8, cube_tet4
-from meshloom.sources.runlogs import RUN_COLUMNS, read_runs_csv, read_runs_json
+from meshloom.sources.runlogs import RUN_COLUMNS, csv_records, read_runs_csv, read_runs_json
 from meshloom.operators import symbolic
 from meshloom.operators.assemble import assemble
 
@@ -88,6 +89,40 @@ def test_csv_file_order_and_line_breaks(spark, tmp_path):
         read_runs_csv(spark, [write_csv(tmp_path / "odd.csv", [run(status="line2")])]).collect()
 
 
+def test_records_over_many_blocks(spark, tmp_path):
+    """Blocks of a few bytes: records with line breaks and quotes run over several of them."""
+    rng = random.Random(5)
+    parts = ["plain", 'q"q', "two\nlines", '\n"\n', "", "a,b", "é\r\nx", "\n\n\n"]
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    want = []
+    for at in range(3):
+        rows = [run(case_name=f"{at}-{i}", diagnostics="".join(rng.choices(parts, k=rng.randint(0, 6)))) for i in range(60)]
+        few = ["diagnostics", "status", "case_name", "mesh", "kernel", "algorithm"]
+        write_csv(folder / f"{at}.csv", rows, few[at:] + few[:at])
+        want += [(r["case_name"], r["diagnostics"]) for r in rows]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "211b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        records = csv_records(spark, [str(folder)])
+        assert records.groupBy("path").agg(F.max("number")).select("max(number)").distinct().collect()[0][0] == 61
+        got = read_runs_csv(spark, [str(folder)]).orderBy("ordinal").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r["case_name"], r["diagnostics"]) for r in got] == want
+
+
+def test_headers_of_odd_files(spark, tmp_path):
+    odd = tmp_path / "odd.csv"
+    odd.write_text("\ufeffcase_name,mesh,,kernel,algorithm,status,,status\r\nc,m,x,k,a,FAIL,y,PASS\r\n\r\nd,m,,k,a,,,SKIP,z,z\r\n", newline="")
+    got = read_runs_csv(spark, [str(odd), write_csv(tmp_path / "b.csv", [run()])]).orderBy("ordinal").collect()
+    assert [(r["case_name"], r["status"]) for r in got] == [("c", "PASS"), ("d", "SKIP"), ("cube", "PASS")]
+    lines = read_runs_csv(spark, [write_csv(tmp_path / "c.csv", [run(), run(case_name="x")])], multiline=False)
+    assert [r["case_name"] for r in lines.orderBy("ordinal").collect()] == ["cube", "x"]
+
+
 def test_json_round_trip(spark, runs, tmp_path):
     writers.write_runs_json(runs, str(tmp_path / "json"))
     again = read_runs_json(spark, [str(tmp_path / "json")], lines=True)
