@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.model import MeshFrames
 from meshloom.session import cut_lineage
 
+# Elements that one task of the exact colouring takes in order.
+RANGE_ELEMENTS = 16_384
+
+
 def conflict_free_batches(mesh: MeshFrames, order: str = "random") -> DataFrame:
     """(elem_id, batch).
 
     ``random`` scales: a handful of rounds, each touching only what is left.
     ``element`` gives the first-fit result in element order, the smallest batch not used
-    by a lower-numbered neighbour. Its rounds are as many as the longest chain of rising
-    neighbours, so it suits many short chains, not one connected mesh.
+    by a lower-numbered neighbour, by repairing what ranges of elements found on their own.
     """
     elements = mesh.elements.select("elem_id", F.array_distinct("nodes").alias("nodes"))
     if order == "random":
@@ -83,30 +87,133 @@ def _union(parts: list[DataFrame], elements: DataFrame) -> DataFrame:
     return out
 
 
-def _first_fit_batches(elements: DataFrame) -> DataFrame:
-    """Exact element-order first fit: a round decides every element that is the lowest left at all of its nodes.
+def _lowest_free(mask: int) -> int:
+    return (~mask & (mask + 1)).bit_length() - 1
+
+
+def _to_runs(mask: int) -> list[int]:
+    """The set bits of a mask as run starts and ends in turn."""
+    runs, at = [], 0
+    while mask:
+        skip = (mask & -mask).bit_length() - 1
+        mask >>= skip
+        long = _lowest_free(mask)
+        runs += [at + skip, at + skip + long]
+        mask >>= long
+        at += skip + long
+    return runs
+
+
+def _to_mask(runs: list[int]) -> int:
+    mask = 0
+    for start, end in zip(runs[::2], runs[1::2]):
+        mask |= ((1 << (end - start)) - 1) << start
+    return mask
+
 
-    Such elements share no node, so a round is one parallel step. The smallest free batch is
-    the number of used ones that, sorted, stand at their own place.
+def _fit_range(elements: list[dict], outside: list[dict], edge: set[int]) -> tuple[list[int], dict[int, list[int]]]:
+    """First fit over one range's elements in order, and what it uses at the nodes of ``edge``.
+
+    ``outside`` has what lower ranges use at a node. Sets of batches are bit masks.
     """
-    remaining = cut_lineage(elements)
-    taken = remaining.sparkSession.createDataFrame([], "node_id long, batch long")
-    done: list[DataFrame] = []
-    while not remaining.isEmpty():
-        touched = remaining.select("elem_id", F.size("nodes").alias("width"), F.explode("nodes").alias("node_id"))
-        lowest = touched.groupBy("node_id").agg(F.min("elem_id").alias("lowest"))
-        held = touched.join(lowest, "node_id").filter("elem_id = lowest")
-        ready = held.groupBy("elem_id", "width").agg(F.count(F.lit(1)).alias("n")).filter("n = width").select("elem_id")
-        ready = cut_lineage(remaining.join(ready, "elem_id", "left_semi"))
-        used = ready.select("elem_id", F.explode("nodes").alias("node_id")).join(taken, "node_id").select("elem_id", "batch").distinct()
-        placed = used.withColumn("at", F.row_number().over(Window.partitionBy("elem_id").orderBy("batch")) - 1)
-        free = placed.groupBy("elem_id").agg(F.count_if(F.col("batch") == F.col("at")).alias("batch"))
-        settled = ready.join(free, "elem_id", "left").select("elem_id", "nodes", F.coalesce("batch", F.lit(0).cast("long")).alias("batch"))
-        settled = cut_lineage(settled)
-        done.append(settled.select("elem_id", "batch"))
-        taken = cut_lineage(taken.unionByName(settled.select(F.explode("nodes").alias("node_id"), "batch")))
-        remaining = cut_lineage(remaining.join(settled, "elem_id", "left_anti"))
-    return _union(done, elements)
+    taken = {o["node_id"]: _to_mask(o["runs"]) for o in outside}
+    own: dict[int, int] = {}
+    found = []
+    for element in elements:
+        busy = 0
+        for node in element["nodes"]:
+            busy |= taken.get(node, 0)
+        batch = _lowest_free(busy)
+        found.append(batch)
+        for node in element["nodes"]:
+            taken[node] = taken.get(node, 0) | 1 << batch
+            if node in edge:
+                own[node] = own.get(node, 0) | 1 << batch
+    return found, {node: _to_runs(mask) for node, mask in own.items()}
+
+
+def _fit_ranges(work: DataFrame) -> DataFrame:
+    """Colours each row's range and says at which nodes others see a change."""
+
+    def fit(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                before = {m["node_id"]: m["runs"] for m in row["before"] or []}
+                found, after = _fit_range(row["elements"], row["outside"] or [], set(row["edge"] or []))
+                changed = [n for n in before.keys() | after.keys() if before.get(n) != after.get(n)]
+                yield pa.RecordBatch.from_pylist(
+                    [{"range": row["range"], "batches": found, "uses": [{"node_id": n, "runs": r} for n, r in after.items()], "changed": changed}], schema=done
+                )
+
+    uses = pa.list_(pa.struct([("node_id", pa.int64()), ("runs", pa.list_(pa.int64()))]))
+    done = pa.schema([("range", pa.int32()), ("batches", pa.list_(pa.int64())), ("uses", uses), ("changed", pa.list_(pa.int64()))])
+    return work.mapInArrow(fit, "range int, batches array<long>, uses array<struct<node_id: long, runs: array<long>>>, changed array<long>")
+
+
+def _seen_below(uses: DataFrame) -> DataFrame:
+    """range, node_id, runs: per node and range, what all lower ranges use there.
+
+    A node's ranges are passed in order with one growing set, so a node of many ranges gives
+    a row each, not one per pair of ranges.
+    """
+
+    def add_up(batches):
+        for batch in batches:
+            out = []
+            for node, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                mask = 0
+                for entry in entries:
+                    if mask:
+                        out.append({"range": entry["range"], "node_id": node, "runs": _to_runs(mask)})
+                    mask |= _to_mask(entry["runs"])
+            yield pa.RecordBatch.from_pylist(out, schema=seen)
+
+    seen = pa.schema([("range", pa.int32()), ("node_id", pa.int64()), ("runs", pa.list_(pa.int64()))])
+    grouped = uses.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("range", "runs"))).alias("entries"))
+    return grouped.mapInArrow(add_up, "range int, node_id long, runs array<long>")
+
+
+def _first_fit_batches(elements: DataFrame, range_elements: int = RANGE_ELEMENTS) -> DataFrame:
+    """Exact element-order first fit by speculation and repair.
+
+    Elements are cut into ranges of neighbouring ids. Every range is coloured in order on its
+    own, and then again whenever what lower ranges use at a shared node has changed, until
+    nothing does. A range is right once all ranges below it are, so the fixpoint is the
+    first-fit result; rounds follow how far changes travel from range to range, and only
+    the sets of shared nodes are exchanged.
+    """
+    count = elements.count()
+    ranges = max(1, -(-count // range_elements))
+    dealt = elements.repartitionByRange(ranges, "elem_id").withColumn("range", F.spark_partition_id())
+    dealt = cut_lineage(dealt.select("range", "elem_id", "nodes"))
+    touched = dealt.select("range", F.explode("nodes").alias("node_id")).distinct()
+    both = touched.groupBy("node_id").agg(F.min("range").alias("low"), F.max("range").alias("high")).filter("low < high")
+    edges = cut_lineage(touched.join(both, "node_id").select("node_id", "range"))
+    members = dealt.groupBy("range").agg(F.sort_array(F.collect_list(F.struct("elem_id", "nodes"))).alias("elements"))
+    members = members.join(edges.groupBy("range").agg(F.collect_list("node_id").alias("edge")), "range", "left")
+    members = cut_lineage(members, frees=[dealt])
+    use = "array<struct<node_id: bigint, runs: array<bigint>>>"
+    empty = F.lit(None).cast(use)
+    state = cut_lineage(_fit_ranges(members.withColumns({"outside": empty, "before": empty})))
+    news = state
+    while True:
+        changed = news.select(F.col("range").alias("from"), F.explode("changed").alias("node_id"))
+        active = cut_lineage(edges.join(changed, "node_id").filter("range > from").select("range").distinct())
+        if active.isEmpty():
+            return state.join(members, "range").select(F.inline(F.arrays_zip(F.col("elements.elem_id").alias("elem_id"), F.col("batches").alias("batch"))))
+        # Only nodes of active ranges matter.
+        near = edges.join(active, "range", "left_semi").select("node_id").distinct()
+        uses = state.select("range", F.inline("uses")).join(near, "node_id", "left_semi")
+        # A range that uses nothing at a node yet still wants to see those below it.
+        uses = edges.join(near, "node_id", "left_semi").join(uses, ["node_id", "range"], "left")
+        uses = uses.withColumn("runs", F.coalesce("runs", F.array().cast("array<bigint>")))
+        seen = _seen_below(uses).join(active, "range", "left_semi")
+        inbox = seen.groupBy("range").agg(F.collect_list(F.struct("node_id", "runs")).alias("outside"))
+        work = members.join(active, "range", "left_semi").join(inbox, "range", "left")
+        work = work.join(state.select("range", F.col("uses").alias("before")), "range")
+        news = cut_lineage(_fit_ranges(work), frees=[active, news if news is not state else None])
+        state = cut_lineage(state.join(news, "range", "left_anti").unionByName(news), frees=[state])
 
 
 def batch_sizes(batches: DataFrame) -> DataFrame:

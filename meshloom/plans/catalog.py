@@ -15,7 +15,7 @@ from meshloom.operators.assemble import assemble, assemble_blocks
 from meshloom.operators.contributions import scalar_contributions
 from meshloom.operators.corners import gather_corners, missing_nodes
 from meshloom.plans import derived
-from meshloom.session import scratch_folder
+from meshloom.session import cut_lineage, scratch_folder
 from meshloom.sinks.writers import CSV_FORM, mesh_lines, run_documents, write_runs_csv, write_runs_json
 from meshloom.sources import decks, grids, runlogs
 
@@ -460,6 +460,26 @@ def vector_batch_sizes(spark, sf):
     return batches.batch_sizes(batches.conflict_free_batches(derived.vector_mesh(spark, sf), order="element"))
 
 
+@query
+def order_first_fit(spark, sf):
+    """The exact colouring of the order mesh: no clash, and every batch above 0 is forced.
+
+    A batch is forced if lower elements at the element's nodes hold batch 0 and the batch below
+    it, which two joins on (node, batch) show without listing neighbours.
+    """
+    mesh = derived.order_mesh(spark, sf)
+    found = cut_lineage(batches.conflict_free_batches(mesh, order="element"))
+    at = mesh.elements.join(found, "elem_id").select("elem_id", "batch", F.explode(F.array_distinct("nodes")).alias("node_id"))
+    held = at.select("node_id", F.col("batch").alias("asked"), F.col("elem_id").alias("lower"))
+    asked = at.filter("batch > 0").withColumn("asked", F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.col("batch") - 1))))
+    met = asked.join(held, ["node_id", "asked"]).filter("lower < elem_id").groupBy("elem_id", "batch").agg(F.count_distinct("asked").alias("n"))
+    forced = met.filter(F.col("n") == F.least(F.col("batch"), F.lit(2))).select(F.lit(0).cast("long").alias("elements"), F.lit(0).cast("long").alias("clashes"), F.lit(-1).cast("long").alias("unforced"))
+    clashes = batches.batch_conflicts(mesh, found).selectExpr("0L AS elements", "1L AS clashes", "0L AS unforced")
+    each = found.select(F.lit(1).cast("long").alias("elements"), F.lit(0).cast("long").alias("clashes"), (F.col("batch") > 0).cast("long").alias("unforced"))
+    total = each.unionByName(clashes).unionByName(forced)
+    return total.agg(*[F.sum(c).alias(c) for c in total.columns])
+
+
 @query
 def order_batch_summary(spark, sf):
     """Random batches hold every element once, in no fewer batches than the fullest node needs."""

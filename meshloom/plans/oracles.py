@@ -418,6 +418,8 @@ ORACLES["batch_check"] = f"""WITH {ORDER}
 SELECT count(*) AS elements, count(*) FILTER (elem_id IS NULL) AS conflicts FROM element"""
 # In a chain of consecutive tets the first fit repeats every four elements.
 ORACLES["vector_first_fit"] = f"""WITH {VECTOR} SELECT vec_id * room + t AS elem_id, t % 4 AS batch FROM chain"""
+ORACLES["order_first_fit"] = f"""WITH {ORDER}
+SELECT count(*) AS elements, CAST(0 AS BIGINT) AS clashes, CAST(0 AS BIGINT) AS unforced FROM element"""
 ORACLES["vector_batch_sizes"] = f"""WITH {VECTOR} SELECT t % 4 AS batch, count(*) AS elements FROM chain GROUP BY t % 4"""
 # The batches follow hashes that SQL does not see; only what must hold is compared.
 ORACLES["order_batch_summary"] = f"WITH {ORDER} SELECT count(*) AS elements, true AS enough FROM element"
