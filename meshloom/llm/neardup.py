@@ -1,7 +1,7 @@
 """Near-duplicate documents: b-bit minwise signatures, a multi-index Hamming join, exact links.
 
 A document's set holds the 64-bit hashes of its distinct word shingles. Equal sets are one
-class with the smallest id as representative; only representatives are compared.
+class with a number and one document that stands for it; only classes are compared.
 
 * Signature: the low 16 bits of 32 minwise hashes, one symbol each.
 * Multi-index join: the symbols are split into 8 chunks of 4. Two signatures that differ in at
@@ -9,11 +9,12 @@ class with the smallest id as representative; only representatives are compared.
   allowed chunk errors are enumerated: a chunk yields four keys, each with one symbol masked,
   so that every pair under that distance shares a key. (At similarity 0.8 a pair differs in
   6.4 symbols on average and shares no key once in a million.)
-* Links without pair lists: round one compares the members of a key with the key's smallest
-  member only, and confirms on full sets. In round two a key whose members are still in
-  several components compares those outside its largest component with all its members; pairs
-  within a component need no comparison. So no link between two components is lost, and a
-  group of thousands of near copies costs one comparison per member.
+* Links without pair lists: a key's members are compared with its hub only, the member with
+  the most company over all its keys, and confirmed on full sets. In a further round a new
+  hub, from outside a key's largest component, meets the members of other components. What
+  is then still apart is compared with all members of the key; pairs within a component need
+  no comparison. So no link between two components is lost, and a group of thousands of near
+  copies costs a comparison or two per member.
 
 Texts without words have an empty set and link with nothing. Rows without an id take part in
 nothing: their component is null and they are kept. Repeated rows share a class; different
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.llm.graph import components
-from meshloom.llm.shared import cut_lineage, table
+from meshloom.llm.shared import cut_lineage, numbered, table
 
 SHINGLE_WORDS = 4
 SIMILAR = (80, 100)
@@ -38,6 +39,8 @@ CHUNKS, CHUNK_SYMBOLS = 8, 4
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 # Signatures further apart are not compared; at similarity 0.8 one pair in a million is.
 MOST_DIFFERENT = 18
+# Further rounds with one hub a key before the members left apart are all compared.
+HUB_ROUNDS = 1
 SLICE_CHARS = 1_000_000
 CACHED_WORDS = 1_000_000
 
@@ -175,8 +178,8 @@ def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similar) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    wanted = classes.select("rep", "d1", "d2").join(wanted, "rep")
-    texts = wanted.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("rep", "text", "d1", "d2")
+    wanted = classes.select("rep", "doc", "d1", "d2").join(wanted, "rep")
+    texts = wanted.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").select("rep", "text", "d1", "d2")
 
     def build(batches):
         cache = WordHashes()
@@ -197,55 +200,75 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
     shared = both.withColumn("i", F.size(F.array_intersect("left", "right")))
     least, of = similar
-    return shared.filter(of * F.col("i") >= least * (F.size("left") + F.size("right") - F.col("i"))).select("a", "b")
+    found = shared.filter(of * F.col("i") >= least * (F.size("left") + F.size("right") - F.col("i"))).select("a", "b")
+    return cut_lineage(found, frees=[sets])
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, similar=SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     least, of = similar
-    rows = cut_lineage(document_signatures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = cut_lineage(document_signatures(docs, size))
     linkable = rows.filter("doc_id is not null and n_shingles > 0")
     same = ["n_shingles", "d1", "d2"]
-    classes = cut_lineage(
-        linkable.groupBy(*same)
-        .agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
-        .select("rep", F.col("n_shingles").alias("n"), "d1", "d2", "signature")
-    )
+    # Classes have numbers of their own: one id may stand over the texts of several.
+    classes = linkable.groupBy(*same).agg(F.min("doc_id").alias("doc"), F.min("signature").alias("signature"))
+    classes = numbered(classes, [F.col(c) for c in same], "rep")
+    classes = cut_lineage(classes.select("rep", "doc", F.col("n_shingles").alias("n"), "d1", "d2", "signature"))
     long_enough = lambda x, y: (of * F.col(x) >= least * F.col(y)) & (of * F.col(y) >= least * F.col(x))
 
+    # The hub of a key is its member with the most company over all its keys: of a group of
+    # copies, one near their common origin, which is closer to each than they are to each other.
     keys = chunk_keys(classes)
-    hubs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "n")).alias("hub")).filter("members > 1")
-    hubs = hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
-    shared = cut_lineage(keys.join(hubs, "key"))
-    star = shared.filter((F.col("rep") != F.col("hub")) & long_enough("n", "hub_n")).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    star = cut_lineage(_close(star.distinct(), classes))
-    links = cut_lineage(_confirmed(star, classes, docs, size, similar))
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    shared = cut_lineage(keys.join(sizes, "key"))
+    company = shared.groupBy("rep").agg(F.sum("members").alias("company"))
+    shared = cut_lineage(shared.join(company, "rep").select("key", "rep", "n", "company"), frees=[shared])
+
+    def hub_pairs(members: DataFrame, among: DataFrame) -> DataFrame:
+        """Pairs of each key's hub, chosen ``among`` some of its members, with the members outside its component."""
+        apart = "component" in members.columns
+        kept = ["rep", "n", *(["component"] if apart else [])]
+        hubs = among.groupBy("key").agg(F.max_by(F.struct(*kept), F.struct("company", -F.col("rep"))).alias("hub"))
+        met = members.join(hubs, "key").filter(F.col("component") != F.col("hub.component") if apart else F.col("rep") != F.col("hub.rep"))
+        met = met.filter(long_enough("n", "hub.n"))
+        return met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+
+    tried = cut_lineage(hub_pairs(shared, shared))
+    links = _confirmed(_close(tried, classes), classes, docs, size, similar)
 
     # An id over several texts links their classes.
     members = linkable.join(classes.select("rep", F.col("n").alias("n_shingles"), "d1", "d2"), same)
     several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
     own = members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b")
-    links = cut_lineage(links.unionByName(own))
-
+    links = cut_lineage(links.unionByName(own.distinct()), frees=[links])
+
+    there = shared
+    for last in [False] * HUB_ROUNDS + [True]:
+        found = components(links)
+        placed = there.select("key", "rep", "n", "company").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        placed = placed.withColumn("component", F.coalesce("component", "rep"))
+        parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+        split = parts.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+        # Keys within one component are done.
+        there = cut_lineage(placed.join(split.filter("parts > 1").select("key", "main"), "key"), frees=[there])
+        outside = there.filter("component <> main")
+        if last:
+            x = outside.select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
+            y = there.select("key", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"))
+            rest = x.join(y, "key").filter((F.col("xc") != F.col("yc")) & long_enough("xn", "yn"))
+            rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        else:
+            rest = hub_pairs(there, outside)
+        rest = cut_lineage(rest.join(tried, ["a", "b"], "left_anti"))
+        more = _confirmed(_close(rest, classes), classes, docs, size, similar)
+        tried = cut_lineage(tried.unionByName(rest), frees=[tried, rest]) if not last else tried
+        links = cut_lineage(links.unionByName(more), frees=[links, more])
     found = components(links)
-    placed = shared.select("key", "rep", "n").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    placed = cut_lineage(placed.select("key", "rep", "n", F.coalesce("component", "rep").alias("component")))
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
-    split = sizes.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    split = split.filter("parts > 1").select("key", "main")
-    there = cut_lineage(placed.join(split, "key"))
-    outside = there.filter("component <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    other = there.select("key", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"))
-    rest = outside.join(other, "key").filter((F.col("xc") != F.col("yc")) & long_enough("xn", "yn"))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = cut_lineage(_close(rest, classes))
-    more = cut_lineage(_confirmed(rest, classes, docs, size, similar))
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
-
-    labels = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    labels = labels.select(F.col("n").alias("n_shingles"), "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+
+    labels = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    lowest = labels.groupBy("component").agg(F.min("doc").alias("component_id"))
+    labels = labels.join(lowest, "component").select(F.col("n").alias("n_shingles"), "d1", "d2", "component_id")
     out = rows.join(labels, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -70,6 +70,15 @@ def test_awkward_rows(spark, docs, awkward):
     assert neardup.near_duplicates(docs([])).isEmpty()
 
 
+def test_one_id_over_two_classes(spark, docs):
+    """Id 1 is the smallest of two classes of unlike texts; near copies of each link with it."""
+    rng = random.Random(3)
+    first, second = ([f"{c}{i}" for i in range(80)] for c in "ab")
+    rows = [(1, " ".join(first), "en", "s"), (1, " ".join(second), "en", "s"), (5, " ".join(first), "en", "s"), (6, " ".join(second), "en", "s")]
+    rows += [(7 + i, family(rng, (first, second)[i % 2], 1), "en", "s") for i in range(8)]
+    assert {r[2] for r in result(neardup.near_duplicates(docs(rows)))} == {1}
+
+
 def test_guaranteed_distance():
     """Any two signatures that differ in 15 symbols share a chunk with at most one error."""
     rng = random.Random(1)
