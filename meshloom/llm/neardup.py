@@ -3,18 +3,19 @@
 A document's set holds the 64-bit hashes of its distinct word shingles. Equal sets are one
 class with a number and one document that stands for it; only classes are compared.
 
-* Signature: the low 16 bits of 32 minwise hashes, one symbol each.
-* Multi-index join: the symbols are split into 8 chunks of 4. Two signatures that differ in at
-  most 8 * 2 - 1 = 15 symbols have, by pigeonhole, a chunk that differs in at most one. The
-  allowed chunk errors are enumerated: a chunk yields four keys, each with one symbol masked,
-  so that every pair under that distance shares a key. (At similarity 0.8 a pair differs in
-  6.4 symbols on average and shares no key once in a million.)
-* Links without pair lists: a key's members are compared with its hub only, the member with
-  the most company over all its keys, and confirmed on full sets. In a further round a new
-  hub, from outside a key's largest component, meets the members of other components. What
-  is then still apart is compared with all members of the key; pairs within a component need
-  no comparison. So no link between two components is lost, and a group of thousands of near
-  copies costs a comparison or two per member.
+* Signature: the low 16 bits of 64 minwise hashes, one symbol each.
+* Multi-index join: the first 32 symbols are split into 8 chunks of 4. Two signatures that
+  differ in at most 8 * 2 - 1 = 15 of these have, by pigeonhole, a chunk that differs in at
+  most one. The allowed chunk errors are enumerated: a chunk yields four keys, each with one
+  symbol masked, so that every pair under that distance shares a key. (At similarity 0.8 a
+  pair differs in 6.4 symbols on average and shares no key once in a million.) Of pairs that
+  share a key, those that differ in more than 31 of all 64 symbols are passed over.
+* Links without pair lists: a key's members are compared with its hub, the member with the
+  most company over all its keys, and confirmed on full sets. Where a key's members are in
+  several components after that, those outside the largest are compared with all others by
+  signature, block against block inside tasks; pairs within a component need no comparison,
+  and only close pairs become rows. So no link between two components is lost, and a group
+  of thousands of near copies costs one row per member.
 
 Texts without words have an empty set and link with nothing. Rows without an id take part in
 nothing: their component is null and they are kept. Repeated rows share a class; different
@@ -36,16 +37,20 @@ from meshloom.llm.shared import cut_lineage, numbered, table
 SHINGLE_WORDS = 4
 SIMILAR = (80, 100)
 CHUNKS, CHUNK_SYMBOLS = 8, 4
-SYMBOLS = CHUNKS * CHUNK_SYMBOLS
-# Signatures further apart are not compared; at similarity 0.8 one pair in a million is.
-MOST_DIFFERENT = 18
-# Further rounds with one hub a key before the members left apart are all compared.
-HUB_ROUNDS = 1
+INDEXED = CHUNKS * CHUNK_SYMBOLS
+# Symbols of a signature; the first INDEXED make the keys, all of them the distance.
+SYMBOLS = 64
+# Signatures further apart are not confirmed; at similarity 0.8 less than one pair in a million is.
+MOST_DIFFERENT = 31
+# Members of a block where a key's members are compared with each other.
+BLOCK_MEMBERS = 2048
 SLICE_CHARS = 1_000_000
 CACHED_WORDS = 1_000_000
 
 _RANDOM = np.random.default_rng(20240229)
 _ODD = _RANDOM.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TIMES = _RANDOM.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RANDOM.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -93,7 +98,7 @@ def signatures(sets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     starts = (np.cumsum(lengths) - lengths)[filled]
     if len(filled):
         for k in range(SYMBOLS):
-            least = np.minimum.reduceat(sets * _ODD[8 + k] + _ODD[63 - k % 8], starts)
+            least = np.minimum.reduceat(sets * _TIMES[k] + _PLUS[k], starts)
             out[filled, k] = (mix64(least) & np.uint64(0xFFFF)).astype(np.uint16)
     return out
 
@@ -144,8 +149,9 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
     def emit(batches):
         for batch in batches:
             rows = batch.num_rows
-            symbols = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(rows, CHUNKS, CHUNK_SYMBOLS).astype(np.uint64)
-            keys = np.empty((rows, SYMBOLS), np.uint64)
+            symbols = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(rows, SYMBOLS)
+            symbols = symbols[:, :INDEXED].reshape(rows, CHUNKS, CHUNK_SYMBOLS).astype(np.uint64)
+            keys = np.empty((rows, INDEXED), np.uint64)
             for c in range(CHUNKS):
                 for masked in range(CHUNK_SYMBOLS):
                     key = np.full(rows, c * CHUNK_SYMBOLS + masked, np.uint64)
@@ -154,7 +160,7 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
                             key = (key << np.uint64(16)) | symbols[:, c, s]
                     keys[:, c * CHUNK_SYMBOLS + masked] = key
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel().view(np.int64))] + [pa.array(np.repeat(batch.column(i).to_numpy(), SYMBOLS)) for i in (0, 1)],
+                [pa.array(keys.ravel().view(np.int64))] + [pa.array(np.repeat(batch.column(i).to_numpy(), INDEXED)) for i in (0, 1)],
                 names=["key", "rep", "n"],
             )
 
@@ -175,6 +181,51 @@ def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(near, "a long, b long")
 
 
+def _close_in_blocks(there: DataFrame, classes: DataFrame, similar) -> DataFrame:
+    """Close pairs (a, b) of different components among the members of each key of ``there``.
+
+    Members outside the key's main component, in blocks, meet all members, in blocks; every
+    pair of blocks is one row with its members' signatures, and only pairs that may be linked
+    leave it. A key of any size is spread over as many rows as it has pairs of blocks.
+    """
+    least, of = similar
+    outside = F.col("component") != F.col("main")
+    sizes = there.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.count_if(outside).alias("outside"))
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK_MEMBERS)).cast("int")
+    sizes = sizes.select("key", blocks("members").alias("columns"), blocks("outside").alias("rows"))
+    dealt = there.join(sizes, "key").join(classes.select("rep", "signature"), "rep").withColumn("hash", F.xxhash64("rep"))
+    entry = F.struct("rep", "n", "component", "signature").alias("entry")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    x = dealt.filter(outside).select("key", F.pmod("hash", "rows").cast("int").alias("row"), upto("columns").alias("column"), F.lit(True).alias("x"), entry)
+    y = dealt.select("key", F.pmod("hash", "columns").cast("int").alias("column"), upto("rows").alias("row"), F.lit(False).alias("x"), entry)
+    tiles = x.unionByName(y).groupBy("key", "row", "column")
+    tiles = tiles.agg(F.collect_list(F.when(F.col("x"), F.col("entry"))).alias("xs"), F.collect_list(F.when(~F.col("x"), F.col("entry"))).alias("ys")).select("xs", "ys")
+
+    def parts(lists):
+        flat = lists.flatten()
+        rep, n, component = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        signature = np.frombuffer(b"".join(flat.field(3).to_pylist()), "<u2").reshape(-1, SYMBOLS)
+        return np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))], rep, n, component, signature
+
+    def compare(batches):
+        for batch in batches:
+            (x_at, xr, xn, xc, xs), (y_at, yr, yn, yc, ys) = parts(batch.column(0)), parts(batch.column(1))
+            found_a, found_b = [], []
+            for tile in range(batch.num_rows):
+                high = slice(y_at[tile], y_at[tile + 1])
+                for low in range(x_at[tile], x_at[tile + 1]):
+                    fits = (yc[high] != xc[low]) & (of * yn[high] >= least * xn[low]) & (of * xn[low] >= least * yn[high])
+                    some = np.flatnonzero(fits) + y_at[tile]
+                    near = some[(ys[some] != xs[low]).sum(axis=1) <= MOST_DIFFERENT]
+                    found_a.append(np.minimum(yr[near], xr[low]))
+                    found_b.append(np.maximum(yr[near], xr[low]))
+            a, b = (np.concatenate([np.zeros(0, np.int64), *f]) for f in (found_a, found_b))
+            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return tiles.mapInArrow(compare, "a long, b long").distinct()
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similar) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
@@ -225,17 +276,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, similar=SIMILAR)
     company = shared.groupBy("rep").agg(F.sum("members").alias("company"))
     shared = cut_lineage(shared.join(company, "rep").select("key", "rep", "n", "company"), frees=[shared])
 
-    def hub_pairs(members: DataFrame, among: DataFrame) -> DataFrame:
-        """Pairs of each key's hub, chosen ``among`` some of its members, with the members outside its component."""
-        apart = "component" in members.columns
-        kept = ["rep", "n", *(["component"] if apart else [])]
-        hubs = among.groupBy("key").agg(F.max_by(F.struct(*kept), F.struct("company", -F.col("rep"))).alias("hub"))
-        met = members.join(hubs, "key").filter(F.col("component") != F.col("hub.component") if apart else F.col("rep") != F.col("hub.rep"))
-        met = met.filter(long_enough("n", "hub.n"))
-        return met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-
-    tried = cut_lineage(hub_pairs(shared, shared))
-    links = _confirmed(_close(tried, classes), classes, docs, size, similar)
+    hubs = shared.groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct("company", -F.col("rep"))).alias("hub"))
+    star = shared.join(hubs, "key").filter((F.col("rep") != F.col("hub.rep")) & long_enough("n", "hub.n"))
+    star = star.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+    star = cut_lineage(_close(star, classes))
+    links = _confirmed(star, classes, docs, size, similar)
 
     # An id over several texts links their classes.
     members = linkable.join(classes.select("rep", F.col("n").alias("n_shingles"), "d1", "d2"), same)
@@ -243,28 +288,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, similar=SIMILAR)
     own = members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b")
     links = cut_lineage(links.unionByName(own.distinct()), frees=[links])
 
-    there = shared
-    for last in [False] * HUB_ROUNDS + [True]:
-        found = components(links)
-        placed = there.select("key", "rep", "n", "company").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        placed = placed.withColumn("component", F.coalesce("component", "rep"))
-        parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
-        split = parts.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-        # Keys within one component are done.
-        there = cut_lineage(placed.join(split.filter("parts > 1").select("key", "main"), "key"), frees=[there])
-        outside = there.filter("component <> main")
-        if last:
-            x = outside.select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-            y = there.select("key", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"))
-            rest = x.join(y, "key").filter((F.col("xc") != F.col("yc")) & long_enough("xn", "yn"))
-            rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        else:
-            rest = hub_pairs(there, outside)
-        rest = cut_lineage(rest.join(tried, ["a", "b"], "left_anti"))
-        more = _confirmed(_close(rest, classes), classes, docs, size, similar)
-        tried = cut_lineage(tried.unionByName(rest), frees=[tried, rest]) if not last else tried
-        links = cut_lineage(links.unionByName(more), frees=[links, more])
     found = components(links)
+    placed = shared.select("key", "rep", "n").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    placed = cut_lineage(placed.select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), frees=[shared])
+    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+    split = parts.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    # Keys within one component are done.
+    there = cut_lineage(placed.join(split.filter("parts > 1").select("key", "main"), "key"), frees=[placed])
+    rest = cut_lineage(_close_in_blocks(there, classes, similar), frees=[there])
+    rest = cut_lineage(rest.join(star, ["a", "b"], "left_anti"), frees=[rest, star])
+    more = _confirmed(rest, classes, docs, size, similar)
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
 
     labels = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     lowest = labels.groupBy("component").agg(F.min("doc").alias("component_id"))

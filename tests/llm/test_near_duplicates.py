@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from meshloom.llm import graph, neardup
@@ -57,8 +58,10 @@ def test_against_all_pairs(spark, docs):
     assert result(neardup.near_duplicates(docs(rows).repartition(4))) == brute(rows)
 
 
-def test_barely_similar_group(spark, docs):
-    """A large group of copies that are barely similar to each other."""
+@pytest.mark.parametrize("block", [7, 2048])
+def test_barely_similar_group(spark, docs, monkeypatch, block):
+    """A large group of copies that are barely similar to each other, in one block and in many."""
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", block)
     rng = random.Random(11)
     base = [f"w{i}" for i in range(150)]
     rows = [(i, family(rng, base, rng.choice([1, 2, 3, 4, 5])), "en", "s") for i in range(90)]
@@ -83,7 +86,7 @@ def test_guaranteed_distance():
     """Any two signatures that differ in 15 symbols share a chunk with at most one error."""
     rng = random.Random(1)
     for _ in range(2000):
-        wrong = rng.sample(range(neardup.SYMBOLS), 2 * neardup.CHUNKS - 1)
+        wrong = rng.sample(range(neardup.INDEXED), 2 * neardup.CHUNKS - 1)
         errors = [sum(w // neardup.CHUNK_SYMBOLS == c for w in wrong) for c in range(neardup.CHUNKS)]
         assert min(errors) <= 1
 
