@@ -12,9 +12,9 @@ class with a number and one document that stands for it; only classes are compar
   share a key, those that differ in more than 31 of all 64 symbols are passed over.
 * Links without pair lists: a key's members are compared with its hub, the member with the
   most company over all its keys, and confirmed on full sets. Where a key's members are in
-  several components after that, those outside the largest are compared with all others by
-  signature, block against block inside tasks; pairs within a component need no comparison,
-  and only close pairs become rows. So no link between two components is lost, and a group
+  several components after that, those outside the largest are compared with all others,
+  block against block inside tasks; pairs within a component need no comparison, and only
+  pairs that look linked become rows and are confirmed. So no link between two components is lost, and a group
   of thousands of near copies costs one row per member.
 
 Texts without words have an empty set and link with nothing. Rows without an id take part in
@@ -181,54 +181,76 @@ def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(near, "a long, b long")
 
 
-def _close_in_blocks(there: DataFrame, classes: DataFrame, similar) -> DataFrame:
-    """Close pairs (a, b) of different components among the members of each key of ``there``.
+def _close_in_blocks(there: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similar) -> DataFrame:
+    """Pairs (a, b) of different components, among the members of each key of ``there``, that look linked.
 
     Members outside the key's main component, in blocks, meet all members, in blocks; every
-    pair of blocks is one row with its members' signatures, and only pairs that may be linked
-    leave it. A key of any size is spread over as many rows as it has pairs of blocks.
+    pair of blocks is one row with its members' signatures and folded sets. A pair is looked
+    at under the first key that it shares, and leaves the task only if its folded sets are
+    similar enough, a little less at most. A key of any size is spread over as many rows as
+    it has pairs of blocks.
     """
     least, of = similar
     outside = F.col("component") != F.col("main")
     sizes = there.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.count_if(outside).alias("outside"))
     blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK_MEMBERS)).cast("int")
     sizes = sizes.select("key", blocks("members").alias("columns"), blocks("outside").alias("rows"))
-    dealt = there.join(sizes, "key").join(classes.select("rep", "signature"), "rep").withColumn("hash", F.xxhash64("rep"))
-    entry = F.struct("rep", "n", "component", "signature").alias("entry")
+    sets = _sets(there.select("rep").distinct(), classes, docs, size, folded=True)
+    known = classes.select("rep", "signature").join(sets, "rep")
+    dealt = there.join(sizes, "key").join(known, "rep").withColumn("hash", F.xxhash64("rep"))
+    entry = F.struct("rep", "n", "component", outside.cast("int").alias("outside"), "signature", "set").alias("entry")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     x = dealt.filter(outside).select("key", F.pmod("hash", "rows").cast("int").alias("row"), upto("columns").alias("column"), F.lit(True).alias("x"), entry)
     y = dealt.select("key", F.pmod("hash", "columns").cast("int").alias("column"), upto("rows").alias("row"), F.lit(False).alias("x"), entry)
     tiles = x.unionByName(y).groupBy("key", "row", "column")
-    tiles = tiles.agg(F.collect_list(F.when(F.col("x"), F.col("entry"))).alias("xs"), F.collect_list(F.when(~F.col("x"), F.col("entry"))).alias("ys")).select("xs", "ys")
+    tiles = tiles.agg(F.collect_list(F.when(F.col("x"), F.col("entry"))).alias("xs"), F.collect_list(F.when(~F.col("x"), F.col("entry"))).alias("ys"))
 
     def parts(lists):
         flat = lists.flatten()
-        rep, n, component = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        signature = np.frombuffer(b"".join(flat.field(3).to_pylist()), "<u2").reshape(-1, SYMBOLS)
-        return np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))], rep, n, component, signature
+        rep, n, component, out = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+        signature = np.frombuffer(b"".join(flat.field(4).to_pylist()), "<u2").reshape(-1, SYMBOLS)
+        return np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))], rep, n, component, out == 1, signature, flat.field(5)
+
+    def first_keys(equal: np.ndarray) -> np.ndarray:
+        """The number of the first key that rows of equal symbols stand for."""
+        chunks = equal[:, :INDEXED].reshape(-1, CHUNKS, CHUNK_SYMBOLS)
+        chunk = (chunks.sum(axis=2) >= CHUNK_SYMBOLS - 1).argmax(axis=1)
+        own = chunks[np.arange(len(chunks)), chunk]
+        return chunk * CHUNK_SYMBOLS + np.where(own.all(axis=1), 0, own.argmin(axis=1))
 
     def compare(batches):
         for batch in batches:
-            (x_at, xr, xn, xc, xs), (y_at, yr, yn, yc, ys) = parts(batch.column(0)), parts(batch.column(1))
-            found_a, found_b = [], []
+            number = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(16 * (CHUNK_SYMBOLS - 1))
+            (x_at, xr, xn, xc, _, xs, x_sets), (y_at, yr, yn, yc, y_out, ys, y_sets) = parts(batch.column(3)), parts(batch.column(4))
+            found = [], []
             for tile in range(batch.num_rows):
                 high = slice(y_at[tile], y_at[tile + 1])
                 for low in range(x_at[tile], x_at[tile + 1]):
                     fits = (yc[high] != xc[low]) & (of * yn[high] >= least * xn[low]) & (of * xn[low] >= least * yn[high])
-                    some = np.flatnonzero(fits) + y_at[tile]
-                    near = some[(ys[some] != xs[low]).sum(axis=1) <= MOST_DIFFERENT]
-                    found_a.append(np.minimum(yr[near], xr[low]))
-                    found_b.append(np.maximum(yr[near], xr[low]))
-            a, b = (np.concatenate([np.zeros(0, np.int64), *f]) for f in (found_a, found_b))
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return tiles.mapInArrow(compare, "a long, b long").distinct()
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similar) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+                    # Of two members outside, the pair comes up twice.
+                    some = np.flatnonzero(fits & (~y_out[high] | (xr[low] < yr[high]))) + y_at[tile]
+                    equal = ys[some] == xs[low]
+                    near = equal.sum(axis=1) >= SYMBOLS - MOST_DIFFERENT
+                    some, equal = some[near], equal[near]
+                    if not len(some):
+                        continue
+                    some = some[first_keys(equal) == number[tile]]
+                    own = np.frombuffer(x_sets[low].as_py(), np.uint32)
+                    for at in some.tolist():
+                        other = np.frombuffer(y_sets[at].as_py(), np.uint32)
+                        common = len(np.intersect1d(own, other, assume_unique=True))
+                        # Folding makes a few hashes of a long set equal.
+                        common += 2 + (len(own) + len(other)) // 512
+                        if of * common >= least * (xn[low] + yn[at] - common):
+                            found[0].append(min(xr[low], yr[at]))
+                            found[1].append(max(xr[low], yr[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(f, np.int64)) for f in found], names=["a", "b"])
+
+    return cut_lineage(tiles.mapInArrow(compare, "a long, b long").distinct(), frees=[sets])
+
+
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int, folded: bool = False) -> DataFrame:
+    """rep and set (64-bit hashes, or their sorted low 32 bits as bytes) of the wanted classes."""
     wanted = classes.select("rep", "doc", "d1", "d2").join(wanted, "rep")
     texts = wanted.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").select("rep", "text", "d1", "d2")
 
@@ -241,13 +263,22 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
                 sets, lengths = shingle_sets(texts[a:b], size, cache)
                 d1, d2 = digests(sets, lengths)
                 # An id may stand over several texts; only the class's own one counts.
-                own = (d1 == w1[a:b]) & (d2 == w2[a:b])
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.view(np.int64)))
-                keep = pa.array(own)
+                keep = pa.array((d1 == w1[a:b]) & (d2 == w2[a:b]))
+                ends = np.cumsum(lengths)
+                if folded:
+                    lists = pa.array([np.unique(sets[e - n : e].astype(np.uint32)).tobytes() for e, n in zip(ends, lengths)], pa.binary())
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([reps.slice(a, b - a).filter(keep), lists.filter(keep)], names=["rep", "set"])
 
-    sets = cut_lineage(texts.mapInArrow(build, "rep long, set array<long>").dropDuplicates(["rep"]))
+    kind = "binary" if folded else "array<long>"
+    return cut_lineage(texts.mapInArrow(build, f"rep long, set {kind}").dropDuplicates(["rep"]))
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similar) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    sets = _sets(wanted, classes, docs, size)
     both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
     shared = both.withColumn("i", F.size(F.array_intersect("left", "right")))
     least, of = similar
@@ -295,8 +326,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, similar=SIMILAR)
     split = parts.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
     # Keys within one component are done.
     there = cut_lineage(placed.join(split.filter("parts > 1").select("key", "main"), "key"), frees=[placed])
-    rest = cut_lineage(_close_in_blocks(there, classes, similar), frees=[there])
-    rest = cut_lineage(rest.join(star, ["a", "b"], "left_anti"), frees=[rest, star])
+    rest = _close_in_blocks(there, classes, docs, size, similar)
     more = _confirmed(rest, classes, docs, size, similar)
     if not more.isEmpty():
         found = components(links.unionByName(more))
