@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meshloom.functions import kernels, names, text
 from meshloom.functions.dofs import dofs_per_element, element_dofs, nodes_per_element
 from meshloom.model import MeshFrames
-from meshloom.operators import batches, compare, cost, owners, runlog, symbolic, topology
+from meshloom.operators import arrowkernels, batches, compare, cost, owners, runlog, symbolic, topology
 from meshloom.operators.assemble import assemble, assemble_blocks
 from meshloom.operators.contributions import scalar_contributions
 from meshloom.operators.corners import gather_corners, missing_nodes
@@ -256,6 +256,12 @@ def vector_physics(spark, sf):
     return _rows(matrix, MIDDLE)
 
 
+@query
+def vector_physics_arrow(spark, sf):
+    matrix = arrowkernels.assemble_batched(derived.vector_mesh(spark, sf), arrowkernels.physics_matrices(YOUNG_GPA), MIDDLE)
+    return _rows(matrix, MIDDLE)
+
+
 @query
 def physics_fallback(spark, sf):
     located = gather_corners(derived.order_mesh(spark, sf), (0, 1, 2, 3))
@@ -397,6 +403,12 @@ def assemble_serial(spark, sf):
     )
 
 
+@query
+def assemble_arrow(spark, sf):
+    """The batch form of the synthetic kernel, summed in each task before the exchange."""
+    return _rows(arrowkernels.assemble_batched(derived.order_mesh(spark, sf), "simplified", FINE), FINE)
+
+
 @query
 def assemble_atomic(spark, sf):
     return _rows(assemble(derived.order_mesh(spark, sf), method="atomic", quanta=FINE), FINE)

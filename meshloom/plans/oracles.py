@@ -587,3 +587,5 @@ UNION ALL SELECT case_name, kernel, 6, algorithm, threads, ordinal, NULL FROM ru
 ORACLES["run_json_documents"] = f"""WITH {RUNS}
 SELECT case_name, kernel, CAST(count(*) AS INTEGER) AS records, string_agg(algorithm || '@' || threads, ',' ORDER BY ordinal) AS runs
 FROM runs GROUP BY case_name, kernel"""
+ORACLES["assemble_arrow"] = METHOD_ORACLE
+ORACLES["vector_physics_arrow"] = ORACLES["vector_physics"]
