@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,24 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+# Spark's own switch for deleting the shuffle files of a query at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffle_files_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files: their result is a table, so nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def cut_lineage(df: DataFrame, frees: Iterable[DataFrame | None] = ()) -> DataFrame:
     """Write ``df`` as a table below the checkpoint folder and return the re-read table.
 
@@ -42,7 +61,8 @@ def cut_lineage(df: DataFrame, frees: Iterable[DataFrame | None] = ()) -> DataFr
     because executors could not see such a folder.
     """
     path = scratch_folder(df.sparkSession)
-    df.write.parquet(path)
+    with _shuffle_files_freed(df.sparkSession):
+        df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _FOLDERS[table] = path
     for old in frees:
