@@ -81,14 +81,15 @@ def branch_paths(messages: DataFrame, top: int | None = None) -> DataFrame:
         best = Window.partitionBy("tree_id").orderBy(F.col("total").desc(), "depth", "leaf")
         ranked = ranked.join(trees, "leaf").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top)
     # One row per path node, moved up from the leaf by the binary digits of its distance.
-    paths = cut_lineage(ranked).select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), "depth")).alias("up_steps"))
+    ranked = cut_lineage(ranked, frees=[links])
+    paths = ranked.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), "depth")).alias("up_steps"))
     paths = paths.withColumn("node", F.col("leaf"))
     for k, step in enumerate(steps):
         higher = step.select("node", "up", F.lit(True).alias("moves"))
         moving = paths.withColumn("moves", F.col("up_steps").bitwiseAND(F.lit(1 << k)) != 0)
         # Rows that stay keep their key, so that they stay spread out.
         paths = moving.join(higher, ["node", "moves"], "left").select("leaf", "up_steps", F.coalesce("up", "node").alias("node"))
-    return cut_lineage(paths)
+    return cut_lineage(paths, frees=[ranked, *steps])
 
 
 def format_branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
