@@ -357,7 +357,7 @@ def _hot_repeats(runs: DataFrame) -> DataFrame:
     key = ["core", "distance", "shared"]
     again = cut.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
     left = cut.join(again, key, "left_semi").select("rid", "first", "last", "part")
-    codes = cut_lineage(left.mapInArrow(strings, "rid long, first int, code long"))
+    codes = cut_lineage(left.mapInArrow(strings, "rid long, first int, code long"), frees=[cut])
     several = codes.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("code")
     return codes.join(several, "code", "left_semi").select("rid", "first", F.col("first").alias("last"))
 
@@ -366,15 +366,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """rid and its repeated starts (first, last) for ``docs`` (rid, text)."""
     runs = cut_lineage(document_runs(docs))
     found = runs.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
-    runs = cut_lineage(runs.join(found, "core"))
+    runs = cut_lineage(runs.join(found, "core"), frees=[runs])
     kinds = cut_lineage(
         runs.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first", "last", "anchor")).alias("at"))
     )
     several = kinds.filter("n > 1").select("core", "whole")
-    sure = runs.join(several, ["core", "whole"], "left_semi").select("rid", "first", "last")
+    sure = cut_lineage(runs.join(several, ["core", "whole"], "left_semi").select("rid", "first", "last"), frees=[runs])
     groups = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("single"))
     groups = groups.filter("kinds > 1 and single > 0").select("core", (F.col("kinds") > SHARD_RUNS).alias("hot"))
-    left = cut_lineage(kinds.join(groups, "core").select("core", "hot", "at.rid", "at.first", "at.last", "at.anchor"))
+    left = cut_lineage(kinds.join(groups, "core").select("core", "hot", "at.rid", "at.first", "at.last", "at.anchor"), frees=[kinds])
     cold = _run_texts(left.filter("not hot"), docs).select("core", "rid", "first", "part")
     solved = cut_lineage(_shards(cold.repartition("core").sortWithinPartitions("core")))
     if left.filter("hot").isEmpty():
