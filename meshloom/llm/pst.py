@@ -3,23 +3,25 @@
 Tokens are the lower-cased words (A-Z only) of a text and one end. The tree's symbols are the
 tokens with MIN_SYMBOL occurrences in training; all others, unknown ones too, are one rare
 symbol, whose probability is split among its words as the unigram distribution does. States are
-contexts of 0 to 2 symbols (no rare ones); the longest suffix of the history that is a state is
-used, and no context reaches over the start of a text.
+contexts of up to DEPTH symbols (no rare ones), the tree's memory length; the longest suffix of
+the history that is a state is used, and no context reaches over the start of a text.
 
 * The root is the unigram distribution with one added count, unknown words being one more.
-* A context of one symbol is a candidate if it occurs MIN_CONTEXT times in training; one of two
-  likewise, if its last symbol is a state. A candidate is retained if its
-  next-symbol distribution diverges from its parent's: n * KL(context || parent) must reach
-  DIVERGENCE for each distinct next symbol (by chance it is about a half).
-* A state's counts are smoothed towards its parent's distribution with the weight of PRIOR
-  counts: P(w | s) = (n(s, w) + PRIOR * P(w | parent)) / (n(s) + PRIOR). It sums to 1.
-
-Counts cover all training rows. Texts are written in chunks of CHUNK_TOKENS tokens, each with its
-own dictionary; only a chunk's distinct words, and its distinct (candidate context, next
-symbol) pairs, are exchanged once, summed over the chunks that have them, and answered to the
-chunk. So a task holds a chunk or two, hot words are counted before they move, and what is
-gathered grows with the input. Both minimum counts are absolute: a larger corpus has more symbols
-and more candidates, and only the divergence test prunes contexts that occur twice.
+* The tree grows level by level, until no context of a level is retained. A context is a
+  candidate if it occurs MIN_CONTEXT times in training and its suffix, the context without the
+  first symbol, is a state (or the root). A candidate is retained if its next-symbol distribution
+  diverges from its suffix's: n * KL(context || suffix) must reach DIVERGENCE for each distinct
+  next symbol (by chance it is about a half).
+* A state's counts are smoothed towards its suffix's distribution with the weight of PRIOR
+  counts: P(w | s) = (n(s, w) + PRIOR * P(w | suffix)) / (n(s) + PRIOR). It sums to 1.
+
+Counts cover all training rows. Texts are written in chunks of CHUNK_TOKENS tokens (a longer text
+is a chunk of its own), each with its own dictionary. Chunks send their distinct words, and per
+level their distinct (candidate context, next symbol) pairs, with counts; sums are made before and
+after the exchange, so a frequent pair is one row a task. Only pairs of retained contexts are
+answered, with what the longer context adds to the score; a chunk keeps sums per document and one
+bit a token: whether its next longer context may be a state. Tables are deleted once the next
+level is written. Both minimum counts are absolute: a larger corpus has more symbols and states.
 
 A null text is an empty one (its only token is the end); a row without an id trains and is not
 held out. Repeated rows count as often as they appear. With nothing to train on all tokens
@@ -34,17 +36,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.llm.neardup import mix64
 from meshloom.llm.shared import cut_lineage, table
+from meshloom.session import drop_cut
 
 # Training counts. What occurs once has nothing to be compared with.
 MIN_SYMBOL = 2
 MIN_CONTEXT = 2
 DIVERGENCE = 1.0
 PRIOR = 256.0
+# Symbols of the longest context: the memory length of the tree.
+DEPTH = 4
 CHUNK_TOKENS = 1 << 20
 # The end is no word, as a word is not empty.
 END = b""
@@ -141,28 +146,19 @@ def dictionary_rows(parts: DataFrame) -> DataFrame:
     return parts.select("chunk", "words", "counts").mapInArrow(rows, "chunk long, place int, word string, n long")
 
 
-def _summed(rows: DataFrame, key: str, total: str) -> DataFrame:
-    """``rows`` plus the sum of n over all rows of a key, and first: whether the row stands for its key.
-
-    A key has at most one row per chunk, so this takes one exchange and no list.
-    """
-    every = Window.partitionBy(key)
-    return rows.withColumns({total: F.sum("n").over(every), "first": F.col("chunk") == F.min("chunk").over(every)})
-
-
-def _by_chunk(rows: DataFrame, order: str, value: str, out: str, kind: str) -> DataFrame:
-    """chunk and its values in the order of ``order``, as the bytes of one array."""
+def _by_chunk(rows: DataFrame, order: str, values: dict[str, str]) -> DataFrame:
+    """chunk and its values in the order of ``order``: the bytes of one array for each column (name: numpy type)."""
 
     def gather(batches):
         key, held = None, []
-        dtype = "<i8" if kind == "long" else "<f8"
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([np.concatenate(held).astype(dtype).tobytes()], pa.binary())], names=["chunk", out])
+            cells = [pa.array([b"".join(part[i].astype(kind).tobytes() for part in held)], pa.binary()) for i, kind in enumerate(values.values())]
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *cells], names=["chunk", *values])
 
         for batch in batches:
             chunk = batch.column(0).to_numpy()
-            values = batch.column(1).to_numpy(zero_copy_only=False)
+            columns = [batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(values))]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if b > a:
@@ -170,23 +166,22 @@ def _by_chunk(rows: DataFrame, order: str, value: str, out: str, kind: str) -> D
                         yield row()
                         held = []
                     key = int(chunk[a])
-                    held.append(values[a:b])
+                    held.append([c[a:b] for c in columns])
         if held:
             yield row()
 
-    placed = rows.select("chunk", order, value).repartition("chunk").sortWithinPartitions("chunk", order)
-    return placed.select("chunk", value).mapInArrow(gather, f"chunk long, {out} binary")
+    wanted = list(dict.fromkeys(["chunk", order, *values]))
+    placed = rows.select(*wanted).repartition("chunk").sortWithinPartitions("chunk", order)
+    return placed.select("chunk", *values).mapInArrow(gather, ", ".join(["chunk long", *(f"{name} binary" for name in values)]))
 
 
-def _list(column: pa.Array, row: int) -> np.ndarray:
-    """One row of an array column; no array is an empty one."""
-    cell = column[row]
+def _list(cell: pa.Scalar) -> np.ndarray:
+    """A cell of an array column; no array is an empty one."""
     return cell.values.to_numpy(zero_copy_only=False) if cell.is_valid else np.zeros(0)
 
 
-def _array(column: pa.Array, row: int, kind: str) -> np.ndarray:
-    """One row of a column of bytes; no bytes are an empty array."""
-    cell = column[row]
+def _array(cell: pa.Scalar, kind: str) -> np.ndarray:
+    """A cell of a column of bytes; no bytes are an empty array."""
     return np.frombuffer(cell.as_py(), kind) if cell.is_valid else np.zeros(0, kind)
 
 
@@ -195,17 +190,18 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> list[float]:
     return np.add.reduceat(values, np.cumsum(sizes) - sizes).tolist()
 
 
-def encoded(parts: DataFrame, known: DataFrame, root: dict, min_symbol: int) -> DataFrame:
+def encoded(parts: DataFrame, known: DataFrame, root: dict, min_symbol: int, min_context: int) -> DataFrame:
     """Chunks by symbol: symbols (0: rare), codes and counts of the chunk's symbols, and what each
-    document owes to single words: n_known, base, and inner, the split of the rare symbol."""
+    document owes to single words: n_known, base, and score, that of the root. live has a bit a
+    token: whether the symbol before it may be a state."""
     total, rare = math.log10(root["total"]), math.log10(root["rare"])
 
     def encode(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 tokens = _unpack(batch.column(1)[r])
-                sizes = _list(batch.column(4), r)
-                c = _array(batch.column(5), r, "<i8")
+                sizes = _list(batch.column(4)[r])
+                c = _array(batch.column(5)[r], "<i8")
                 words = _words(batch.column(6)[r])
                 frequent = np.flatnonzero(c >= min_symbol)
                 # Odd, so that 0 can stand for no context.
@@ -213,7 +209,13 @@ def encoded(parts: DataFrame, known: DataFrame, root: dict, min_symbol: int) ->
                 symbol = np.zeros(len(c), np.int64)
                 symbol[frequent] = np.arange(1, len(frequent) + 1)
                 single = np.log10(c + 1.0) - total
-                inner = np.where(symbol == 0, np.log10(c + 1.0) - rare, 0.0)
+                # The root's probability of a rare symbol, split among the rare words.
+                count = np.where(symbol == 0, root["rare"] - 1, c)
+                whole = np.log10(count + 1.0) - total + np.where(symbol == 0, np.log10(c + 1.0) - rare, 0.0)
+                at = symbol[tokens]
+                live = np.zeros(len(at), bool)
+                live[1:] = (at[:-1] > 0) & (count[tokens[:-1]] >= min_context)
+                live[np.cumsum(sizes) - sizes] = False
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(r, 1),
@@ -222,159 +224,193 @@ def encoded(parts: DataFrame, known: DataFrame, root: dict, min_symbol: int) ->
                         batch.column(4).slice(r, 1),
                         pa.array([_sums((c > 0).astype(np.int64)[tokens], sizes)], pa.list_(pa.int64())),
                         pa.array([_sums(single[tokens], sizes)], pa.list_(pa.float64())),
-                        pa.array([_sums(inner[tokens], sizes)], pa.list_(pa.float64())),
-                        pa.array([_pack(symbol[tokens])], pa.binary()),
+                        pa.array([_sums(whole[tokens], sizes)], pa.list_(pa.float64())),
+                        pa.array([np.packbits(live).tobytes()], pa.binary()),
+                        pa.array([_pack(at)], pa.binary()),
                         pa.array([np.append(np.uint64(0), code).astype("<u8").tobytes()], pa.binary()),
                         pa.array([np.append(root["rare"] - 1, c[frequent]).astype("<i8").tobytes()], pa.binary()),
                     ],
-                    names=["chunk", "doc_ids", "held", "sizes", "known", "base", "inner", "symbols", "codes", "counts"],
+                    names=["chunk", "doc_ids", "held", "sizes", "known", "base", "score", "live", "symbols", "codes", "counts"],
                 )
 
     wide = parts.select("chunk", "tokens", "doc_ids", "held", "sizes", "words").join(known, "chunk")
     kind = (
         "chunk long, doc_ids array<long>, held array<boolean>, sizes array<long>, known array<long>, base array<double>, "
-        "inner array<double>, symbols binary, codes binary, counts binary"
+        "score array<double>, live binary, symbols binary, codes binary, counts binary"
     )
     return wide.select("chunk", "tokens", "doc_ids", "held", "sizes", "c", "words").mapInArrow(encode, kind)
 
 
 class _Chunk:
-    """The tokens of a chunk with their contexts. Columns: symbols, sizes, codes, counts."""
-
-    def __init__(self, symbols, sizes, codes, counts):
-        codes = np.frombuffer(codes.as_py(), "<u8")
-        counts = np.frombuffer(counts.as_py(), "<i8")
-        at = _unpack(symbols)
-        n = len(at)
-        begin = np.cumsum(sizes) - sizes
-        code = codes[at]
-        before = np.zeros(n, np.int64)
-        before[1:] = at[:-1]
-        before[begin] = 0
-        self.count, self.count_before = counts[at], np.where(before > 0, counts[before], 0)
-        self.one = np.where(before > 0, codes[before], np.uint64(0))
-        self.pair = mix64(self.one * _STEP + code)
-        # The context of two symbols is the pair that ended one token ago.
-        self.two = np.zeros(n, np.uint64)
-        self.two[1:] = np.where((self.one[:-1] != 0) & (at[:-1] > 0), self.pair[:-1], np.uint64(0))
-        self.two[begin] = 0
-        self.code = code
-
-    def level(self, which: int, least: int, open_: np.ndarray):
-        """Tokens with a candidate context, the pair of each, each pair's first token, all contexts, and the distinct pairs in order."""
-        if which == 1:
-            context, some = self.one, np.flatnonzero((self.one != 0) & (self.count_before >= least))
-        else:
-            context, some = self.two, np.flatnonzero((self.two != 0) & np.isin(self.two, open_))
-        # In the order of signed numbers, which is Spark's.
-        key = mix64(context[some] * _STEP + self.code[some]).view(np.int64)
-        pairs, first, back = np.unique(key, return_index=True, return_inverse=True)
-        return some, back, some[first], context, pairs
+    """The tokens of a chunk and their contexts of ``depth`` symbols (0: none)."""
+
+    def __init__(self, row: dict, depth: int):
+        self.sizes = row["sizes"].values.to_numpy().astype(np.int64)
+        self.at = _unpack(row["symbols"])
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.code = np.frombuffer(row["codes"].as_py(), "<u8")[self.at]
+        self.live = np.unpackbits(np.frombuffer(row["live"].as_py(), np.uint8), count=len(self.at)).astype(bool)
+        # A context is named by the pair of its first symbols and its last one.
+        self.context, self.upper = np.ones(len(self.at), np.uint64), self.code
+        self.pair = self.code
+        for _ in range(depth):
+            self.context, self.upper = self.longer(), self.pair
+            self.pair = mix64(self.context * _STEP + self.code)
 
+    def longer(self) -> np.ndarray:
+        """Each token's context of one more symbol."""
+        out = np.zeros(len(self.at), np.uint64)
+        out[1:] = np.where((self.context[:-1] != 0) & (self.at[:-1] > 0), self.pair[:-1], np.uint64(0))
+        out[self.begin] = 0
+        return out
 
-def _open(column: pa.Array, row: int) -> np.ndarray:
-    return _list(column, row).astype(np.int64).view(np.uint64)
 
+_STATE = ["chunk", "doc_ids", "held", "sizes", "known", "base", "score", "live", "symbols", "codes", "counts"]
 
-def _pair_rows(chunks_: DataFrame, which: int, least: int) -> DataFrame:
-    """chunk, context, pair, n, and c, code (of the next symbol) or upper (the pair of the shorter context).
+
+def _rows(batches, names: list[str]):
+    for batch in batches:
+        for r in range(batch.num_rows):
+            yield {name: batch.column(i)[r] for i, name in enumerate(names)}
+
+
+def _pair_rows(chunks_: DataFrame, depth: int) -> DataFrame:
+    """context, pair, n and upper (the pair of the shorter context), at depth 1 c (the next symbol's count) instead.
 
     One row per distinct pair of a chunk; n counts training only.
     """
+    columns = ["chunk", "held", "sizes", "live", "symbols", "codes", "counts"]
+    names = ["context", "pair", "n", "c" if depth == 1 else "upper"]
 
     def emit(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                sizes = _list(batch.column(2), r)
-                chunk = _Chunk(batch.column(3)[r], sizes, batch.column(4)[r], batch.column(5)[r])
-                train = ~np.repeat(_list(batch.column(1), r).astype(bool), sizes)
-                some, back, first, context, pairs = chunk.level(which, least, _open(batch.column(6), r))
-                n = np.bincount(back, weights=train[some], minlength=len(first)).astype(np.int64)
-                more = [chunk.count[first], chunk.code[first].view(np.int64)] if which == 1 else [chunk.pair[first].view(np.int64)]
-                columns = [np.full(len(first), batch.column(0)[r].as_py(), np.int64), context[first].view(np.int64), pairs, n, *more]
-                # Rows of one context together compress better on their way.
-                order = np.lexsort((chunk.code[first], context[first]))
-                yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in columns], names=names)
-
-    names = ["chunk", "context", "pair", "n", *(["c", "code"] if which == 1 else ["upper"])]
-    columns = ["chunk", "held", "sizes", "symbols", "codes", "counts", "open"]
+        for row in _rows(batches, columns):
+            chunk = _Chunk(row, depth)
+            some = np.flatnonzero(chunk.live)
+            train = ~np.repeat(_list(row["held"]).astype(bool), chunk.sizes)
+            pairs, first, back = np.unique(chunk.pair[some].view(np.int64), return_index=True, return_inverse=True)
+            n = np.bincount(back, weights=train[some], minlength=len(pairs)).astype(np.int64)
+            at = some[first]
+            counts = np.frombuffer(row["counts"].as_py(), "<i8")
+            last = counts[chunk.at[at]] if depth == 1 else chunk.upper[at].view(np.int64)
+            context = chunk.context[at].view(np.int64)
+            # Rows of one context together compress better on their way.
+            order = np.argsort(context, kind="stable")
+            yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in (context, pairs, n, last)], names=names)
+
     return chunks_.select(*columns).mapInArrow(emit, ", ".join(f"{c} long" for c in names))
 
 
-def _states(pairs: DataFrame, prior: float, divergence: float, least: int) -> DataFrame:
-    """context, all and state by the test, for distinct (context, all_n, parent) pairs."""
+def _asked(chunks_: DataFrame, depth: int) -> DataFrame:
+    """chunk, pair: the distinct pairs of each chunk."""
+    columns = ["chunk", "sizes", "live", "symbols", "codes"]
+
+    def ask(batches):
+        for row in _rows(batches, columns):
+            chunk = _Chunk(row, depth)
+            pairs = np.unique(chunk.pair[chunk.live].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), row["chunk"].as_py(), np.int64)), pa.array(pairs)], names=["chunk", "pair"])
+
+    return chunks_.select(*columns).mapInArrow(ask, "chunk long, pair long")
+
+
+def _answered(chunks_: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
+    """Chunks with the scores that the states of ``depth`` symbols give, and live for one symbol more."""
+    columns = [*_STATE, "pair", "more", "often"]
+
+    def update(batches):
+        for row in _rows(batches, columns):
+            chunk = _Chunk(row, depth)
+            some = np.flatnonzero(chunk.live)
+            pairs, more = _array(row["pair"], "<i8"), _array(row["more"], "<f8")
+            often = _array(row["often"], "i1").astype(bool)
+            score, live = _list(row["score"]), np.zeros(len(chunk.at), bool)
+            if len(pairs):
+                place = np.minimum(np.searchsorted(pairs, chunk.pair[some].view(np.int64)), len(pairs) - 1)
+                found = pairs[place] == chunk.pair[some].view(np.int64)
+                some, place = some[found], place[found]
+                value = np.zeros(len(chunk.at))
+                value[some] = more[place]
+                score = score + np.array(_sums(value, chunk.sizes))
+                # The next context is this one before the last symbol, and that symbol: too rare if that pair is.
+                live[some] = True
+                rare = some[~often[place]] + 1
+                live[rare[rare < len(live)]] = False
+                live &= chunk.longer() != 0
+            row["score"], row["live"] = score.tolist(), np.packbits(live).tobytes()
+            cells = [row[name].as_py() if isinstance(row[name], pa.Scalar) else row[name] for name in _STATE]
+            yield pa.RecordBatch.from_arrays([pa.array([cell], kind) for cell, kind in zip(cells, kinds)], names=_STATE)
+
+    lists = {"doc_ids": pa.int64(), "held": pa.bool_(), "sizes": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
+    kinds = [pa.int64() if name == "chunk" else pa.list_(lists[name]) if name in lists else pa.binary() for name in _STATE]
+    return chunks_.join(answers, "chunk", "left").select(*columns).mapInArrow(update, chunks_.select(*_STATE).schema)
+
+
+def _states(pairs: DataFrame, divergence: float, least: int) -> DataFrame:
+    """context, all: the retained ones, for distinct pairs (context, all_n, parent)."""
     seen = F.col("all_n") > 0
     totals = pairs.groupBy("context").agg(
         F.sum("all_n").alias("all"), F.count_if(seen).alias("kinds"), F.sum(F.when(seen, F.col("all_n") * F.log(F.col("all_n") / F.col("parent")))).alias("gain")
     )
     # n * KL = sum of n(w) * log(n(w) / (n * parent(w))).
     far = F.col("gain") - F.col("all") * F.log("all") >= F.lit(divergence) * F.col("kinds")
-    return cut_lineage(totals.select("context", "all", F.coalesce(far & (F.col("all") >= least), F.lit(False)).alias("state")))
-
-
-def _probability(prior: float) -> Column:
-    return (F.col("all_n") + F.lit(prior) * F.col("parent")) / (F.col("all") + F.lit(prior))
+    return totals.filter(far & (F.col("all") >= least)).select("context", "all")
 
 
 def score_texts(
-    rows: DataFrame, min_symbol: int = MIN_SYMBOL, min_context: int = MIN_CONTEXT, divergence: float = DIVERGENCE, prior: float = PRIOR
+    rows: DataFrame,
+    min_symbol: int = MIN_SYMBOL,
+    min_context: int = MIN_CONTEXT,
+    divergence: float = DIVERGENCE,
+    prior: float = PRIOR,
+    depth: int = DEPTH,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for rows (doc_id, text, held_out).
 
-    A tree is trained on the rows that are not held out and scores all rows.
+    A tree of contexts of up to ``depth`` symbols is trained on the rows that are not held out and scores all rows.
     """
     parts = cut_lineage(chunks(rows))
-    words = cut_lineage(_summed(dictionary_rows(parts), "word", "c").select("chunk", "place", "c", "first"))
-    each = words.filter("first")
-    sums = each.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    counts = cut_lineage(dictionary_rows(parts).groupBy("word").agg(F.sum("n").alias("c")))
+    rare_one = (F.col("c") > 0) & (F.col("c") < min_symbol)
+    sums = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum(F.when(rare_one, F.col("c") + 1)).alias("rare")).first()
     tokens = sums["n"] or 0
-    rare = each.filter((F.col("c") > 0) & (F.col("c") < min_symbol)).agg(F.sum(F.col("c") + 1)).first()[0] or 0
-    root = {"total": tokens + (sums["v"] or 0) + 1, "rare": rare + 1}
-    coded = cut_lineage(encoded(parts, _by_chunk(words, "place", "c", "c", "long"), root, min_symbol))
-
-    first = cut_lineage(_summed(_pair_rows(coded.withColumn("open", F.expr("cast(null as array<long>)")), 1, min_context), "pair", "all_n").drop("n"))
-    first = first.withColumn("parent", (F.col("c") + 1.0) / F.lit(float(root["total"])))
-    states = _states(first.filter("first"), prior, divergence, min_context)
-    known = first.join(states, "context").withColumn("probability", _probability(prior))
-    # Two symbols are a candidate if they are frequent and the last one is a state.
-    last = states.filter("state").select(F.col("context").alias("code"))
-    open_ = first.filter(F.col("all_n") >= min_context).join(last, "code", "left_semi").groupBy("chunk").agg(F.collect_list("pair").alias("open"))
-    open_ = cut_lineage(open_)
-    opened = coded.join(open_, "chunk", "left")
-    second = cut_lineage(_summed(_pair_rows(opened, 2, min_context), "pair", "all_n").drop("n"))
-    upper = known.filter("first and state").select(F.col("pair").alias("upper"), F.col("probability").alias("parent"))
-    second = cut_lineage(second.join(upper, "upper").drop("upper"))
-    longer = second.join(_states(second.filter("first"), prior, divergence, min_context), "context").withColumn("probability", _probability(prior))
-
-    def answers(pairs_: DataFrame, out: str) -> DataFrame:
-        value = F.when(F.col("state"), F.log10("probability")).otherwise(F.lit(float("nan")))
-        return _by_chunk(pairs_.withColumn("value", value), "pair", "value", out, "double")
-
-    asked = opened.join(answers(known, "ones"), "chunk", "left").join(answers(longer, "twos"), "chunk", "left")
-    total = math.log10(root["total"])
-
-    def score(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                sizes = _list(batch.column(2), r)
-                chunk = _Chunk(batch.column(6)[r], sizes, batch.column(7)[r], batch.column(8)[r])
-                value = np.log10(chunk.count + 1.0) - total
-                for which, column in ((1, 10), (2, 11)):
-                    some, back, *_ = chunk.level(which, min_context, _open(batch.column(9), r))
-                    answer = _array(batch.column(column), r, "<f8")
-                    if len(some):
-                        better = answer[back]
-                        value[some] = np.where(np.isnan(better), value[some], better)
-                whole = np.array(_sums(value, sizes)) + _list(batch.column(5), r)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[r].values, batch.column(1)[r].values, pa.array(sizes), batch.column(3)[r].values, batch.column(4)[r].values, pa.array(whole)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-                )
-
-    columns = ["doc_ids", "held", "sizes", "known", "base", "inner", "symbols", "codes", "counts", "open", "ones", "twos"]
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    done = asked.select(*columns).mapInArrow(score, schema)
-    return done.withColumn("train_tokens", F.lit(tokens).cast("long"))
+    root = {"total": tokens + (sums["v"] or 0) + 1, "rare": (sums["rare"] or 0) + 1}
+    known = _by_chunk(dictionary_rows(parts).join(counts, "word"), "place", {"c": "<i8"})
+    state = cut_lineage(encoded(parts, known, root, min_symbol, min_context), frees=[parts, counts])
+
+    shorter = None
+    for level in range(1, depth + 1):
+        last = "c" if level == 1 else "upper"
+        pairs = _pair_rows(state, level).groupBy("pair").agg(F.sum("n").alias("all_n"), F.first("context").alias("context"), F.first(last).alias(last))
+        if level == 1:
+            pairs = pairs.withColumn("parent", (F.col("c") + 1.0) / F.lit(float(root["total"])))
+        else:
+            # The suffix of a candidate is a state, so its pairs have answers.
+            pairs = pairs.join(shorter.select(F.col("pair").alias("upper"), F.col("probability").alias("parent")), "upper")
+        pairs = cut_lineage(pairs.select("context", "pair", "all_n", "parent"), frees=[shorter])
+        states = cut_lineage(_states(pairs, divergence, min_context))
+        if states.isEmpty():
+            drop_cut(pairs)
+            break
+        probability = (F.col("all_n") + F.lit(prior) * F.col("parent")) / (F.col("all") + F.lit(prior))
+        answers = pairs.join(states, "context").withColumn("probability", probability)
+        more = F.log10(F.col("probability") / F.col("parent")).alias("more")
+        shorter = cut_lineage(
+            answers.select("pair", "probability", more, (F.col("all_n") >= min_context).cast("int").alias("often")), frees=[pairs, states]
+        )
+        answers = _by_chunk(_asked(state, level).join(shorter.drop("probability"), "pair"), "pair", {"pair": "<i8", "more": "<f8", "often": "i1"})
+        state = cut_lineage(_answered(state, answers, level), frees=[state])
+
+    lists = F.arrays_zip("doc_ids", "held", "sizes", "known", "base", "score")
+    done = state.select(F.explode(lists).alias("d"))
+    return done.select(
+        F.col("d.doc_ids").alias("doc_id"),
+        F.col("d.held").alias("held_out"),
+        F.col("d.sizes").alias("n_tokens"),
+        F.col("d.known").alias("n_known"),
+        F.col("d.base").alias("base_score"),
+        F.col("d.score").alias("score"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
+    )
 
 
 def op1_suffix_tree(spark, sf_dir):

@@ -113,43 +113,56 @@ def test_found_numbers_lead_to_further_contexts(spark, docs):
     assert added == want
 
 
-def brute_scores(texts, held, least_symbol, least_context):
+def brute_scores(texts, held, least_symbol, least_context, depth=pst.DEPTH):
+    """Scores by a tree of nested contexts, and the number of states of each length."""
     tokens = [(t or "").encode().lower().split() + [b"\n"] for t in texts]
     c = Counter(w for ws, h in zip(tokens, held) if not h for w in ws)
     total = sum(c.values()) + len(c) + 1
     rare = sum(x + 1 for x in c.values() if x < least_symbol) + 1
     symbol = lambda w: w if c[w] >= least_symbol else None
-    root = lambda y: (c[y] + 1 if y is not None else rare) / total
 
-    def contexts(ws, j):
-        one = symbol(ws[j - 1]) if j else None
-        two = symbol(ws[j - 2]) if j > 1 and one is not None else None
-        return one, None if two is None else (two, one)
+    def histories(ws, j):
+        """The contexts of token j, shortest first."""
+        for k in range(1, min(depth, j) + 1):
+            found = tuple(symbol(w) for w in ws[j - k : j])
+            if None in found:
+                return
+            yield found
 
-    ones, twos = defaultdict(Counter), defaultdict(Counter)
+    after = defaultdict(Counter)
     for ws, h in zip(tokens, held):
         for j, w in enumerate(ws) if not h else ():
-            one, two = contexts(ws, j)
-            if one is not None and c[one] >= least_context:
-                ones[one][symbol(w)] += 1
-            if two is not None:
-                twos[two][symbol(w)] += 1
-    size = {s: sum(d.values()) for s, d in [*ones.items(), *twos.items()]}
-    smooth = lambda d, s, y, upper: (d[s][y] + pst.PRIOR * upper) / (size[s] + pst.PRIOR)
-    first = lambda s, y: smooth(ones, s, y, root(y))
-    far = lambda d, s, upper: size[s] >= least_context and sum(n * math.log(n / size[s] / upper(y)) for y, n in d[s].items()) >= pst.DIVERGENCE * len(d[s])
-    states = {s for s in ones if far(ones, s, root)}
-    pairs = {s for s in twos if s[1] in states and ones[s[0]][s[1]] >= least_context and far(twos, s, lambda y: first(s[1], y))}
+            for context in histories(ws, j):
+                after[context][symbol(w)] += 1
+    states = set()
+
+    def probability(context, y):
+        if not context:
+            return (c[y] + 1 if y is not None else rare) / total
+        n = after[context]
+        return (n[y] + pst.PRIOR * probability(context[1:], y)) / (sum(n.values()) + pst.PRIOR)
+
+    for context in sorted(after, key=len):
+        n = after[context]
+        size = sum(n.values())
+        # A context that ends texts or precedes nothing counts where a token follows it.
+        if size >= least_context and (len(context) == 1 or context[1:] in states):
+            far = sum(x * math.log(x / size / probability(context[1:], y)) for y, x in n.items())
+            if far >= pst.DIVERGENCE * len(n):
+                states.add(context)
     out = []
     for ws in tokens:
         score = 0.0
         for j, w in enumerate(ws):
-            one, two = contexts(ws, j)
+            used = ()
+            for context in histories(ws, j):
+                if context not in states:
+                    break
+                used = context
             y = symbol(w)
-            p = smooth(twos, two, y, first(one, y)) if two in pairs else first(one, y) if one in states else root(y)
-            score += math.log10(p * ((c[w] + 1) / rare if y is None else 1.0))
+            score += math.log10(probability(used, y) * ((c[w] + 1) / rare if y is None else 1.0))
         out.append((len(ws), sum(c[w] > 0 for w in ws), sum(c.values()), sum(math.log10((c[w] + 1) / total) for w in ws), score))
-    return out, len(states), len(pairs)
+    return out, Counter(map(len, states))
 
 
 def test_suffix_tree(spark, docs, monkeypatch):
@@ -167,8 +180,8 @@ def test_suffix_tree(spark, docs, monkeypatch):
     held = [i % 5 == 2 for i in range(150)]
     rows = docs(texts).withColumn("held_out", F.col("doc_id") % 5 == 2).repartition(3)
     got = {r["doc_id"]: r for r in pst.score_texts(rows, 20, 30).collect()}
-    want, states, pairs = brute_scores(texts, held, 20, 30)
-    assert states > 3 and pairs > 3
+    want, states = brute_scores(texts, held, 20, 30)
+    assert states[1] > 3 and states[2] > 3
     for i, (n, known, total, base_score, score) in enumerate(want):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (n, known, total, held[i])
@@ -192,7 +205,28 @@ def test_suffix_tree_keeps_rare_contexts_of_a_large_corpus(spark, docs):
     held = [False] * 53 + [True]
     rows = docs(texts).withColumn("held_out", F.col("doc_id") == 53)
     got = {r["doc_id"]: r for r in pst.score_texts(rows).collect()}
-    want, _, pairs = brute_scores(texts, held, 2, 2)
-    assert pairs > 1
+    want, states = brute_scores(texts, held, 2, 2)
+    assert states[2] > 1
     assert all(got[i]["score"] == pytest.approx(w[4]) for i, w in enumerate(want))
     assert got[53]["score"] > got[53]["base_score"] + 1
+
+
+def test_suffix_tree_grows_to_contexts_of_four_symbols(spark, docs, monkeypatch):
+    """What follows x or y depends on words three and four places back."""
+    monkeypatch.setattr(pst, "CHUNK_TOKENS", 900)
+    rng = random.Random(6)
+    texts = []
+    for _ in range(400):
+        a, b, filler = rng.choice("ab"), rng.choice("cd"), rng.choice(["m n", "n m"])
+        end = {"ac": "left", "ad": "right", "bc": "up", "bd": "down"}[a + b]
+        texts.append(f"{a} {b} {filler} {end} stop")
+    held = [i % 7 == 2 for i in range(400)]
+    rows = docs(texts).withColumn("held_out", F.col("doc_id") % 7 == 2)
+    scores = []
+    for depth in (2, 4, 6):
+        want, states = brute_scores(texts, held, 2, 2, depth)
+        got = {r["doc_id"]: r["score"] for r in pst.score_texts(rows, depth=depth).collect()}
+        assert max(states) == depth
+        assert all(got[i] == pytest.approx(w[4]) for i, w in enumerate(want))
+        scores.append(sum(got[i] for i in got if held[i]))
+    assert scores[0] < scores[1]
