@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from meshloom.functions import kernels, names, text
 from meshloom.functions.dofs import dofs_per_element, element_dofs, nodes_per_element
 from meshloom.model import MeshFrames
-from meshloom.operators import arrowkernels, batches, compare, cost, owners, runlog, symbolic, topology
+from meshloom.operators import arrowkernels, batches, compare, cost, owners, prepared, runlog, symbolic, topology
 from meshloom.operators.assemble import assemble, assemble_blocks
 from meshloom.operators.contributions import scalar_contributions
 from meshloom.operators.corners import gather_corners, missing_nodes
 from meshloom.plans import derived
 from meshloom.session import cut_lineage, scratch_folder
-from meshloom.sinks.writers import CSV_FORM, mesh_lines, run_documents, write_runs_csv, write_runs_json
-from meshloom.sources import decks, grids, runlogs
+from meshloom.sinks.writers import CSV_FORM, mesh_lines, run_documents, write_row_store, write_runs_csv, write_runs_json
+from meshloom.sources import decks, grids, matrices, runlogs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -262,6 +262,29 @@ def vector_physics_arrow(spark, sf):
     return _rows(matrix, MIDDLE)
 
 
+@query
+def vector_physics_prepared(spark, sf):
+    """A numeric run of the physics kernel over the stored structure."""
+    mesh = derived.vector_mesh(spark, sf)
+    return _rows(prepared.assemble_prepared(prepared.store_structure(mesh), mesh, kernels.physics_tet4(YOUNG_GPA), MIDDLE), MIDDLE)
+
+
+@query
+def assemble_prepared(spark, sf):
+    mesh = derived.order_mesh(spark, sf)
+    return _rows(prepared.assemble_prepared(prepared.store_structure(mesh), mesh, quanta=FINE), FINE)
+
+
+@query
+def matrix_row_slice(spark, sf):
+    """The middle rows of a written matrix, from the files that hold them."""
+    mesh = derived.order_mesh(spark, sf)
+    parts = derived.part_count(spark, sf)
+    folder = scratch_folder(spark)
+    write_row_store(assemble(mesh, quanta=FINE), folder)
+    return _rows(matrices.read_row_slice(spark, folder, parts, 2 * parts - 1), FINE)
+
+
 @query
 def physics_fallback(spark, sf):
     located = gather_corners(derived.order_mesh(spark, sf), (0, 1, 2, 3))
@@ -368,7 +391,7 @@ def order_scatter(spark, sf):
 def entry_lookup(spark, sf):
     """Positions of the entries (part, supplier key) asked for by lineitem rows."""
     asked = derived.table(spark, sf, "lineitem").select((F.col("l_partkey") * 3).alias("row"), (F.col("l_suppkey") * 3 + 1).alias("col"))
-    found = symbolic.locate(asked.distinct(), symbolic.entry_positions(derived.order_mesh(spark, sf)), strict=False)
+    found = symbolic.locate_in_pairs(asked.distinct(), symbolic.pair_positions(derived.order_mesh(spark, sf)), strict=False)
     return found.select("row", "col", "pos")
 
 

@@ -589,3 +589,7 @@ SELECT case_name, kernel, CAST(count(*) AS INTEGER) AS records, string_agg(algor
 FROM runs GROUP BY case_name, kernel"""
 ORACLES["assemble_arrow"] = METHOD_ORACLE
 ORACLES["vector_physics_arrow"] = ORACLES["vector_physics"]
+ORACLES["vector_physics_prepared"] = ORACLES["vector_physics"]
+ORACLES["assemble_prepared"] = METHOD_ORACLE
+ORACLES["matrix_row_slice"] = f"""WITH parts AS (SELECT coalesce(max(p_partkey), 0) + 1 AS n FROM part), whole AS ({METHOD_ORACLE})
+SELECT whole.* FROM whole, parts WHERE "row" >= n AND "row" < 2 * n"""
