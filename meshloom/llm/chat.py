@@ -80,16 +80,17 @@ def branch_paths(messages: DataFrame, top: int | None = None) -> DataFrame:
         trees = messages.select(F.col("message_id").alias("leaf"), "tree_id")
         best = Window.partitionBy("tree_id").orderBy(F.col("total").desc(), "depth", "leaf")
         ranked = ranked.join(trees, "leaf").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top)
-    # One row per path node, moved up from the leaf by the binary digits of its distance.
+    # Moved up by 2**k, the rows up to 2**k - 1 steps above their leaf give the next 2**k: each row
+    # is made by one join, and a short path takes no part in the joins of long ones.
     ranked = cut_lineage(ranked, frees=[links])
-    paths = ranked.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), "depth")).alias("up_steps"))
-    paths = paths.withColumn("node", F.col("leaf"))
+    paths = ranked.select("leaf", "depth", F.lit(0).cast("long").alias("up_steps"), F.col("leaf").alias("node"))
+    grown = []
     for k, step in enumerate(steps):
-        higher = step.select("node", "up", F.lit(True).alias("moves"))
-        moving = paths.withColumn("moves", F.col("up_steps").bitwiseAND(F.lit(1 << k)) != 0)
-        # Rows that stay keep their key, so that they stay spread out.
-        paths = moving.join(higher, ["node", "moves"], "left").select("leaf", "up_steps", F.coalesce("up", "node").alias("node"))
-    return cut_lineage(paths, frees=[ranked, *steps])
+        moving = paths.withColumn("up_steps", F.col("up_steps") + (1 << k)).filter("up_steps <= depth")
+        higher = moving.join(step.select("node", "up"), "node").select("leaf", "depth", "up_steps", F.col("up").alias("node"))
+        grown.append(cut_lineage(higher, frees=[step]))
+        paths = paths.unionByName(grown[-1])
+    return cut_lineage(paths.select("leaf", "up_steps", "node"), frees=[ranked, *grown])
 
 
 def format_branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
