@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.model import MIN_VOLUME, POISSON_RATIO, YOUNG_MODULUS
+from meshloom.model import MIN_PIVOT, MIN_VOLUME, POISSON_RATIO, YOUNG_MODULUS
 
 AXES = "xyz"
 
@@ -79,10 +79,31 @@ def _cross(out: int, p: int, q: int) -> list[str]:
 
 
 def tet_determinant(df: DataFrame) -> DataFrame:
-    """Cross products c1 = e2 x e3, c2 = e3 x e1, c3 = e1 x e2, their ``det``, and ``volume``."""
+    """Cross products c1 = e2 x e3, c2 = e3 x e1, c3 = e1 x e2, their ``det``, ``volume`` and ``pivot``."""
     df = df.selectExpr("*", *_cross(1, 2, 3), *_cross(2, 3, 1), *_cross(3, 1, 2))
     df = df.selectExpr("*", "e1x * c1x + e1y * c1y + e1z * c1z AS det")
-    return df.selectExpr("*", "abs(det) / 6.0D AS volume")
+    return smallest_pivot(df.selectExpr("*", "abs(det) / 6.0D AS volume"))
+
+
+def smallest_pivot(df: DataFrame) -> DataFrame:
+    """``pivot``: the smallest pivot of the system [1 x y z] over the corners, by partial pivoting.
+
+    Its first column is all ones: that step's pivot is one, is not counted, and leaves the three edges. A step takes the row
+    with the largest leading number, the earlier one of equals, in exchange for the row in its
+    place. A column of zeros gives the pivot 0.
+    """
+    df = df.selectExpr("*", "if(abs(e1x) >= abs(e2x) AND abs(e1x) >= abs(e3x), 1, if(abs(e2x) >= abs(e3x), 2, 3)) AS lead")
+    taken = {"p": "123", "q": "212", "r": "331"}
+    df = df.selectExpr(
+        "*", *[f"CASE lead WHEN 1 THEN e{one}{c} WHEN 2 THEN e{two}{c} ELSE e{three}{c} END AS {row}{c}" for row, (one, two, three) in taken.items() for c in AXES]
+    )
+    df = df.selectExpr("*", *[f"if(px <> 0, p{c} / px, NULL) AS ratio_{c}" for c in "yz"])
+    df = df.selectExpr("*", *[f"{row}{c} - {row}x * ratio_{c} AS {row}{c}_left" for row in "qr" for c in "yz"])
+    swapped = "abs(ry_left) > abs(qy_left)"
+    df = df.selectExpr("*", *[f"if({swapped}, r{c}_left, q{c}_left) AS upper_{c}" for c in "yz"], *[f"if({swapped}, q{c}_left, r{c}_left) AS lower_{c}" for c in "yz"])
+    df = df.selectExpr("*", "if(upper_y <> 0, lower_z - lower_y * (upper_z / upper_y), NULL) AS last_pivot")
+    # What a pivot of 0 leaves undefined is null, and least() passes over nulls.
+    return df.selectExpr("*", "least(abs(px), abs(upper_y), abs(last_pivot)) AS pivot")
 
 
 def shape_gradients(df: DataFrame) -> DataFrame:
@@ -97,7 +118,7 @@ TWIN_CORNERS = " OR ".join(
     f"(x{s} = x{t} AND y{s} = y{t} AND z{s} = z{t})" for s in range(4) for t in range(s + 1, 4)
 )
 FALLS_BACK = (
-    f"size(nodes) <> 4 OR coalesce(isnan(volume) OR NOT volume > {MIN_VOLUME!r}D OR {TWIN_CORNERS}, true)"
+    f"size(nodes) <> 4 OR coalesce(isnan(volume) OR NOT volume > {MIN_VOLUME!r}D OR pivot < {MIN_PIVOT!r}D OR {TWIN_CORNERS}, true)"
 )
 
 

@@ -22,6 +22,7 @@ NODES_PER_TYPE = {"tet4": 4, "hex8": 8}
 YOUNG_MODULUS = 210.0e9
 POISSON_RATIO = 0.30
 MIN_VOLUME = 1.0e-30
+MIN_PIVOT = 1.0e-30
 CHECK_REL_L2 = 1.0e-8
 NEAR_ZERO = 1.0e-15
 

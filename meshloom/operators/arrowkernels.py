@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.functions.kernels import lame_constants
-from meshloom.model import BLOCK, MIN_VOLUME, POISSON_RATIO, YOUNG_MODULUS, MeshFrames
+from meshloom.model import BLOCK, MIN_PIVOT, MIN_VOLUME, POISSON_RATIO, YOUNG_MODULUS, MeshFrames
 from meshloom.operators.assemble import blocks_to_matrix, restore, sum_blocks
 from meshloom.operators.corners import gather_corners
 
@@ -51,6 +51,21 @@ def simplified_matrices(ids: np.ndarray, nodes: np.ndarray, corners: np.ndarray)
     return out
 
 
+def smallest_pivots(edges: np.ndarray) -> np.ndarray:
+    """The smallest pivot of each (3, 3) table of edges by partial pivoting, as `kernels.smallest_pivot` has it."""
+    left, every = edges.copy(), np.arange(len(edges))
+    least = np.full(len(edges), np.inf)
+    for column in range(3):
+        top = np.abs(left[:, :, column]).argmax(axis=1)
+        row = left[every, top]
+        left[every, top] = left[:, 0]
+        left = left[:, 1:]
+        least = np.fmin(least, np.abs(row[:, column]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left = left - left[:, :, column, None] * (row / row[:, column, None])[:, None, :]
+    return least
+
+
 def physics_matrices(young: float = YOUNG_MODULUS, poisson: float = POISSON_RATIO) -> BatchKernel:
     """Linear elasticity on tet4; flat and singular elements and other types get the simplified kernel."""
     lam, mu = lame_constants(young, poisson)
@@ -67,7 +82,7 @@ def physics_matrices(young: float = YOUNG_MODULUS, poisson: float = POISSON_RATI
         for s in range(4):
             for t in range(s + 1, 4):
                 twin |= (corners[:, s] == corners[:, t]).all(axis=1)
-        good = (volume > MIN_VOLUME) & ~twin
+        good = (volume > MIN_VOLUME) & (smallest_pivots(edges) >= MIN_PIVOT) & ~twin
         grad = np.empty((good.sum(), 4, 3))
         grad[:, 1:] = normals[good] / det[good, None, None]
         grad[:, 0] = -grad[:, 1:].sum(axis=1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import kernels, names, text
 from meshloom.functions.dofs import dofs_per_element, element_dofs, nodes_per_element
-from meshloom.model import MeshFrames
+from meshloom.model import MIN_PIVOT, MIN_VOLUME, MeshFrames
 from meshloom.operators import arrowkernels, batches, compare, cost, owners, prepared, runlog, symbolic, topology
 from meshloom.operators.assemble import assemble, assemble_blocks
 from meshloom.operators.contributions import scalar_contributions
@@ -26,6 +26,8 @@ QUERIES: dict[str, Query] = {}
 FINE, MIDDLE, COARSE = 1.0e9, 1.0e6, 1.0e4
 # Young's modulus in GPa keeps quantised sums far from the 63-bit limit.
 YOUNG_GPA = 210.0
+# Halvings of z that bring the pivots of the vector mesh to the limit.
+FLATTENING = 98
 COST_THREADS, COST_LIMIT, OWNERS = 8, 16_000_000, 8
 
 
@@ -57,13 +59,13 @@ def _rows(matrix: DataFrame, quanta: float) -> DataFrame:
 
 @query
 def cube_tet4_assembly(spark, sf):
-    n = derived.cube_resolution(derived.table(spark, sf, "part"))
+    n = derived.total_edge(derived.table(spark, sf, "part"), "p_size", 10)
     return assemble(grids.cube_tet4(spark, n, n, n), quanta=FINE)
 
 
 @query
 def cube_stats(spark, sf):
-    n = derived.cube_resolution(derived.table(spark, sf, "lineitem"))
+    n = derived.total_edge(derived.table(spark, sf, "lineitem"), "l_quantity")
     out = None
     for mesh in (grids.cube_tet4(spark, n, n, n), grids.cube_hex8(spark, n, n, n)):
         row = topology.mesh_stats(mesh).select(F.lit(mesh.name).alias("mesh"), "*")
@@ -74,19 +76,20 @@ def cube_stats(spark, sf):
 @query
 def cube_node_coordinates(spark, sf):
     n = derived.cube_resolution(derived.table(spark, sf, "part"))
-    return grids.cube_hex8(spark, n, n, n, 2.0, 3.0, 5.0).nodes
+    return grids.graded_cube(spark, "hex8", (n, n, n), derived.part_spacing(spark, sf, n), (2.0, 3.0, 5.0)).nodes
 
 
 @query
 def cube_physics_profile(spark, sf):
     n = derived.cube_resolution(derived.table(spark, sf, "part"))
-    matrix = assemble(grids.cube_tet4(spark, n, n, n), kernels.physics_tet4(YOUNG_GPA), quanta=MIDDLE)
-    return _rows(matrix, MIDDLE)
+    mesh = grids.graded_cube(spark, "tet4", (n, n, n), derived.part_spacing(spark, sf, n))
+    return _rows(assemble(mesh, kernels.physics_tet4(YOUNG_GPA), quanta=MIDDLE), MIDDLE)
 
 
 @query
 def script_mesh_volumes(spark, sf):
-    mesh = grids.script_mesh(spark, "tet4", derived.table(spark, sf, "orders").count())
+    target_dof, lengths = derived.order_shares(spark, sf)
+    mesh = grids.script_mesh(spark, "tet4", target_dof, *lengths)
     located = kernels.tet_determinant(kernels.edge_vectors(gather_corners(mesh, (0, 1, 2, 3))))
     return located.groupBy((F.col("elem_id") % 6).alias("slot")).agg(
         F.count(F.lit(1)).alias("elements"),
@@ -295,6 +298,17 @@ def physics_fallback(spark, sf):
     )
 
 
+@query
+def physics_pivots(spark, sf):
+    """The vector mesh stretched along x and y and flattened along z, by powers of two: many elements fail by pivot only."""
+    mesh = derived.vector_mesh(spark, sf)
+    flat = mesh.nodes.selectExpr("node_id", "x * 1024.0D AS x", "y * 1024.0D AS y", f"z * {2.0**-FLATTENING!r}D AS z")
+    located = kernels.tet_determinant(kernels.edge_vectors(gather_corners(MeshFrames(flat, mesh.elements), (0, 1, 2, 3))))
+    return located.select(
+        "elem_id", (~(F.col("volume") > MIN_VOLUME)).alias("by_volume"), (F.col("pivot") < MIN_PIVOT).alias("by_pivot"), kernels.falls_back().alias("fallback")
+    )
+
+
 @query
 def coupling_assembly(spark, sf):
     return _rows(assemble(derived.order_mesh(spark, sf), kernels.coupling(), quanta=COARSE), COARSE)

@@ -27,15 +27,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cube_resolution(df: DataFrame) -> int:
-    """The largest n whose cube of 6 * n**3 tets has at most as many elements as ``df`` rows."""
-    rows = df.count()
+def cube_edge(tets: int) -> int:
+    """The largest n whose cube has at most ``tets`` elements, 6 * n**3, or 1."""
     n = 1
-    while 6 * (n + 1) ** 3 <= rows:
+    while 6 * (n + 1) ** 3 <= tets:
         n += 1
     return n
 
 
+def cube_resolution(df: DataFrame) -> int:
+    """The edge of a cube with a tet for each row of ``df``."""
+    return cube_edge(df.count())
+
+
+def total_edge(df: DataFrame, column: str, divisor: int = 1) -> int:
+    """The edge of a cube with a tet for every ``divisor`` of the sum of ``column`` (whole parts)."""
+    return cube_edge((df.agg(F.sum(F.floor(column))).first()[0] or 0) // divisor)
+
+
+def part_spacing(spark: SparkSession, sf_dir: str, cells: int) -> DataFrame:
+    """axis, cell, length: each part lengthens a cell by its size along x, its price along y and its type's name along z."""
+    parts = table(spark, sf_dir, "part")
+    lengths = F.array(F.col("p_size").cast("long"), F.floor("p_retailprice"), F.length("p_type").cast("long"))
+    rows = parts.select((F.col("p_partkey") % cells).alias("cell"), F.posexplode(lengths).alias("axis", "more"))
+    return rows.groupBy("axis", "cell").agg((F.sum("more") + 1).alias("length"))
+
+
+def order_shares(spark: SparkSession, sf_dir: str) -> tuple[int, tuple[float, float, float]]:
+    """The number of orders, and box lengths: 1 plus the share of orders per customer, fulfilled and urgent."""
+    row = (
+        table(spark, sf_dir, "orders")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_distinct("o_custkey").alias("customers"),
+            F.count_if(F.col("o_orderstatus") == "F").alias("fulfilled"),
+            F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
+        )
+        .first()
+    )
+    rows = row["n"]
+    return rows, tuple(1.0 + row[c] / (rows or 1) for c in ("customers", "fulfilled", "urgent"))
+
+
 def part_count(spark: SparkSession, sf_dir: str) -> int:
     """One above the largest part key."""
     return (table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] or 0) + 1

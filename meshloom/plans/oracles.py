@@ -66,10 +66,30 @@ FROM matrix GROUP BY "row"
 """
 
 
-def cube_size(source: str) -> str:
+def cube_size(source: str, tets: str = "count(*)") -> str:
     return f"""
 size AS (SELECT max(k) AS n FROM range(1, 3000) AS r(k)
-         WHERE k = 1 OR 6 * k * k * k <= (SELECT count(*) FROM {source}))"""
+         WHERE k = 1 OR 6 * k * k * k <= (SELECT {tets} FROM {source}))"""
+
+
+# Marks along the edges of a graded box: prefix sums of cell lengths.
+PART_MARKS = """
+more(axis, cell, length) AS (
+    SELECT 0, p_partkey % n, p_size FROM part, size
+    UNION ALL SELECT 1, p_partkey % n, floor(p_retailprice) FROM part, size
+    UNION ALL SELECT 2, p_partkey % n, length(p_type) FROM part, size),
+spacing AS (SELECT axis, cell, CAST(sum(length) AS BIGINT) + 1 AS length FROM more GROUP BY axis, cell),
+step AS (
+    SELECT r.axis, r.spot, CASE WHEN spot = 0 THEN 0 ELSE coalesce(length, 1) END AS step
+    FROM (SELECT a.axis, b.spot FROM size, range(3) AS a(axis), range(n + 1) AS b(spot)) AS r
+    LEFT JOIN spacing AS s ON s.axis = r.axis AND s.cell = r.spot - 1),
+mark AS (
+    SELECT axis, spot, CAST(sum(step) OVER (PARTITION BY axis ORDER BY spot) AS BIGINT) AS far,
+           CAST(sum(step) OVER (PARTITION BY axis) AS BIGINT) AS total FROM step)"""
+
+
+def graded(length: str, mark: str) -> str:
+    return f"{length} * {mark}.far / {mark}.total"
 
 
 CUBE_TETS = """
@@ -131,9 +151,24 @@ GRADIENT = "inner_gradient AS (SELECT *, " + ", ".join(
 ) + " FROM inner_gradient)"
 GEOMETRY = f"{WIDE}, {EDGES}, {CROSSES}, {VOLUME}"
 
+# Partial pivoting over the edges: each step takes the row with the largest number, the earlier of equals.
+PIVOTS = """
+side AS (
+    SELECT elem_id, 1 AS s, e1x AS x, e1y AS y, e1z AS z FROM measured UNION ALL SELECT elem_id, 2, e2x, e2y, e2z FROM measured
+    UNION ALL SELECT elem_id, 3, e3x, e3y, e3z FROM measured),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY elem_id ORDER BY abs(x) DESC, s) AS r FROM side),
+lead AS (SELECT elem_id, s AS lead, x AS px, y AS py, z AS pz FROM ranked WHERE r = 1),
+under AS (
+    SELECT elem_id, px, CASE WHEN s = 1 THEN lead ELSE s END AS s, y - x * CASE WHEN px <> 0 THEN py / px END AS y, z - x * CASE WHEN px <> 0 THEN pz / px END AS z
+    FROM ranked JOIN lead USING (elem_id) WHERE r > 1),
+again AS (SELECT *, row_number() OVER (PARTITION BY elem_id ORDER BY abs(y) DESC, s) AS r FROM under),
+pivots AS (
+    SELECT u.elem_id, least(abs(u.px), abs(u.y), abs(l.z - l.y * CASE WHEN u.y <> 0 THEN u.z / u.y END)) AS smallest
+    FROM again AS u JOIN again AS l ON l.elem_id = u.elem_id AND u.r = 1 AND l.r = 2)"""
+
 # Physics entries: per element and local node a vector, then all pairs of dofs.
-LONG_GRADIENT = "slope AS (" + " UNION ALL ".join(
-    f"SELECT elem_id, volume, {s} AS slot, g{s}x AS gx, g{s}y AS gy, g{s}z AS gz FROM gradient" for s in range(4)
+LONG_GRADIENT = PIVOTS + ", slope AS (" + " UNION ALL ".join(
+    f"SELECT elem_id, volume, smallest, {s} AS slot, g{s}x AS gx, g{s}y AS gy, g{s}z AS gz FROM gradient JOIN pivots USING (elem_id)" for s in range(4)
 ) + ")"
 
 
@@ -149,7 +184,7 @@ def physics_entry() -> str:
     return f"""
 entry AS (
     SELECT na.node * 3 + ci AS "row", nb.node * 3 + cj AS col,
-           CASE WHEN NOT a.volume > 1e-30 THEN
+           CASE WHEN NOT a.volume > 1e-30 OR a.smallest < 1e-30 THEN
                 (CASE WHEN a.slot * 3 + ci = b.slot * 3 + cj
                       THEN 2e0 * (1e0 + ((a.elem_id * 17) % 97) * 1e-4) + 1e-2 * ci
                       ELSE 2e-2 * (1e0 + ((a.elem_id * 17) % 97) * 1e-4) / (1 + abs(a.slot * 3 + ci - b.slot * 3 - cj)) END)
@@ -175,32 +210,38 @@ corner AS (
 )"""
 LOCATED = "located AS (SELECT elem_id, slot, x, y, z FROM corner JOIN node ON node_id = node)"
 
-ORACLES["cube_tet4_assembly"] = f"""WITH {cube_size("part")}, {CUBE_TETS}, {CUBE_CORNER}, {DOF}, {ENTRY}, {matrix("1e9")}
+ORACLES["cube_tet4_assembly"] = f"""WITH {cube_size("part", "sum(p_size) // 10")}, {CUBE_TETS}, {CUBE_CORNER}, {DOF}, {ENTRY}, {matrix("1e9")}
 SELECT "row", col, value FROM matrix"""
 
-ORACLES["cube_stats"] = f"""WITH {cube_size("lineitem")}
+ORACLES["cube_stats"] = f"""WITH {cube_size("lineitem", "CAST(sum(floor(l_quantity)) AS BIGINT)")}
 SELECT 'cube_tet4_' || n || 'x' || n || 'x' || n AS mesh, (n + 1) * (n + 1) * (n + 1) AS nodes, 6 * n * n * n AS elements,
        3 * (n + 1) * (n + 1) * (n + 1) AS dofs, 'tet4' AS dominant_type FROM size
 UNION ALL
 SELECT 'cube_hex8_' || n || 'x' || n || 'x' || n, (n + 1) * (n + 1) * (n + 1), n * n * n,
        3 * (n + 1) * (n + 1) * (n + 1), 'hex8' FROM size"""
 
-ORACLES["cube_node_coordinates"] = f"""WITH {cube_size("part")}
-SELECT (k * (n + 1) + j) * (n + 1) + i AS node_id, 2e0 * i / n AS x, 3e0 * j / n AS y, 5e0 * k / n AS z
-FROM size, range(n + 1) AS a(i), range(n + 1) AS b(j), range(n + 1) AS c(k)"""
+ORACLES["cube_node_coordinates"] = f"""WITH {cube_size("part")}, {PART_MARKS}
+SELECT (c.spot * (n + 1) + b.spot) * (n + 1) + a.spot AS node_id,
+       {graded("2e0", "a")} AS x, {graded("3e0", "b")} AS y, {graded("5e0", "c")} AS z
+FROM size, mark AS a, mark AS b, mark AS c WHERE a.axis = 0 AND b.axis = 1 AND c.axis = 2"""
 
-CUBE_LOCATED = """
-located AS (SELECT elem_id, slot, 1e0 * gi / n AS x, 1e0 * gj / n AS y, 1e0 * gk / n AS z FROM corner)"""
-ORACLES["cube_physics_profile"] = f"""WITH {cube_size("part")}, {CUBE_TETS}, {CUBE_CORNER}, {CUBE_LOCATED}, {GEOMETRY}, {GRADIENT},
+CUBE_LOCATED = f"""
+located AS (
+    SELECT elem_id, slot, {graded("1e0", "a")} AS x, {graded("1e0", "b")} AS y, {graded("1e0", "c")} AS z
+    FROM corner JOIN mark AS a ON a.axis = 0 AND a.spot = gi JOIN mark AS b ON b.axis = 1 AND b.spot = gj JOIN mark AS c ON c.axis = 2 AND c.spot = gk)"""
+ORACLES["cube_physics_profile"] = f"""WITH {cube_size("part")}, {PART_MARKS}, {CUBE_TETS}, {CUBE_CORNER}, {CUBE_LOCATED}, {GEOMETRY}, {GRADIENT},
 {LONG_GRADIENT}, {physics_entry()}, {matrix("1e6")} {rows("1e6")}"""
 
 ORACLES["script_mesh_volumes"] = f"""WITH
 size AS (SELECT CAST(floor(pow((SELECT count(*) FROM orders) / 3e0, 1e0 / 3e0)) AS BIGINT) AS n),
 {SCRIPT_TETS}, {CUBE_CORNER},
-located AS (SELECT elem_id, slot, gi * (1e0 / n) AS x, gj * (1e0 / n) AS y, gk * (1e0 / n) AS z FROM corner), {GEOMETRY}
-SELECT elem_id % 6 AS slot, count(*) AS elements, count(*) FILTER (NOT volume > 1e-30) AS degenerate,
+box AS (
+    SELECT 1e0 + CAST(count(DISTINCT o_custkey) AS DOUBLE) / count(*) AS lx, 1e0 + CAST(count(*) FILTER (o_orderstatus = 'F') AS DOUBLE) / count(*) AS ly,
+           1e0 + CAST(count(*) FILTER (o_orderpriority = '1-URGENT') AS DOUBLE) / count(*) AS lz FROM orders),
+located AS (SELECT elem_id, slot, gi * (lx / n) AS x, gj * (ly / n) AS y, gk * (lz / n) AS z FROM corner, box), {GEOMETRY}, {PIVOTS}
+SELECT elem_id % 6 AS slot, count(*) AS elements, count(*) FILTER (NOT volume > 1e-30 OR smallest < 1e-30) AS degenerate,
        CAST(sum({whole("volume", "1e12")}) AS BIGINT) AS volume_sum
-FROM measured GROUP BY elem_id % 6"""
+FROM measured JOIN pivots USING (elem_id) GROUP BY elem_id % 6"""
 
 ORACLES["deck_nodes"] = f"""WITH {ORDER}
 SELECT row_number() OVER (ORDER BY node_id) - 1 AS node_id, x, y, z FROM node"""
@@ -307,8 +348,13 @@ ORACLES["coupling_assembly"] = f"""WITH {ORDER_GEOMETRY}, {STIFF}, {DOF}, {COUPL
 ORACLES["coupling_stiffness"] = f"""WITH {ORDER_GEOMETRY}, {STIFF}
 SELECT elem_id, type, round(v, 6) AS volume, round(1e0 / v, 3) AS stiffness FROM stiff"""
 
-ORACLES["tet_volumes"] = f"""WITH {VECTOR}, {LOCATED}, {GEOMETRY}
-SELECT elem_id, round(volume, 12) AS volume, NOT volume > 1e-30 AS fallback FROM measured"""
+ORACLES["tet_volumes"] = f"""WITH {VECTOR}, {LOCATED}, {GEOMETRY}, {PIVOTS}
+SELECT elem_id, round(volume, 12) AS volume, NOT volume > 1e-30 OR smallest < 1e-30 AS fallback
+FROM measured JOIN pivots USING (elem_id)"""
+ORACLES["physics_pivots"] = f"""WITH {VECTOR},
+located AS (SELECT elem_id, slot, x * 1024e0 AS x, y * 1024e0 AS y, z * pow(2e0, -98) AS z FROM corner JOIN node ON node_id = node), {GEOMETRY}, {PIVOTS}
+SELECT elem_id, NOT volume > 1e-30 AS by_volume, smallest < 1e-30 AS by_pivot, NOT volume > 1e-30 OR smallest < 1e-30 AS fallback
+FROM measured JOIN pivots USING (elem_id)"""
 ORACLES["tet_gradients"] = f"""WITH {VECTOR}, {LOCATED}, {GEOMETRY}, {GRADIENT}
 SELECT elem_id, {", ".join(f"round(g{s}{c}, 6) AS g{s}{c}" for s in range(4) for c in "xyz")} FROM gradient"""
 ORACLES["vector_physics"] = f"""WITH {VECTOR}, {LOCATED}, {GEOMETRY}, {GRADIENT}, {LONG_GRADIENT}, {physics_entry()},
@@ -322,10 +368,10 @@ ORACLES["simplified_profile"] = f"""WITH {ORDER}, {DOF}, {ENTRY}
 SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, count(*) AS entries,
        CAST(sum({whole("value", "1e9")}) AS BIGINT) AS total
 FROM entry GROUP BY i, j"""
-ORACLES["physics_fallback"] = f"""WITH {ORDER_GEOMETRY}
-SELECT type, type = 'hex8' OR NOT volume > 1e-30 AS fallback, count(*) AS elements,
+ORACLES["physics_fallback"] = f"""WITH {ORDER_GEOMETRY}, {PIVOTS}
+SELECT type, type = 'hex8' OR NOT volume > 1e-30 OR smallest < 1e-30 AS fallback, count(*) AS elements,
        CAST(sum(CASE WHEN type = 'tet4' THEN {whole("volume", "1e6")} END) AS BIGINT) AS tet_volume
-FROM measured JOIN element USING (elem_id) GROUP BY ALL"""
+FROM measured JOIN element USING (elem_id) JOIN pivots USING (elem_id) GROUP BY ALL"""
 ORACLES["unknown_nodes"] = f"""WITH {ORDER}
 SELECT elem_id, count(DISTINCT node) AS missing FROM corner
 WHERE node NOT IN (SELECT s_suppkey FROM supplier) GROUP BY elem_id"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshloom.model import MeshFrames
@@ -103,6 +103,45 @@ def cube_hex8(spark: SparkSession, nx: int, ny: int, nz: int, lx=1.0, ly=1.0, lz
     return _cube(spark, "hex8", [CORNERS], (nx, ny, nz), (lx, ly, lz))
 
 
+# Marks along an edge of a graded box that are still broadcast to the nodes.
+BROADCAST_MARKS = 1_000_000
+
+
+def edge_marks(spark: SparkSession, dims: tuple[int, int, int], spacing: DataFrame) -> DataFrame:
+    """axis, at, offset, total: prefix sums of the cell lengths along the three edges of a box.
+
+    ``spacing`` holds (axis, cell, length): whole relative lengths of the cells of axis 0, 1 and 2,
+    one row per cell; a cell without a row, or with a null, has length 1. A length below 1 is an
+    error. The window sees one edge at a time, never the cells of the box.
+    """
+    places = None
+    for axis, cells in enumerate(dims):
+        one = _range(spark, cells + 1).select(F.lit(axis).alias("axis"), F.col("id").alias("at"))
+        places = one if places is None else places.unionByName(one)
+    lengths = spacing.select(F.col("axis").cast("int").alias("axis"), (F.col("cell") + 1).alias("at"), F.col("length").cast("long").alias("length"))
+    known = F.coalesce("length", F.lit(1).cast("long"))
+    checked = F.when(known >= 1, known).otherwise(F.raise_error(F.lit("cell lengths must be positive")).cast("long"))
+    step = F.when(F.col("at") == 0, F.lit(0).cast("long")).otherwise(checked)
+    edge = Window.partitionBy("axis")
+    return places.join(lengths, ["axis", "at"], "left").select(
+        "axis", "at", F.sum(step).over(edge.orderBy("at")).alias("offset"), F.sum(step).over(edge).alias("total")
+    )
+
+
+def graded_cube(spark: SparkSession, kind: str, dims: tuple[int, int, int], spacing: DataFrame, lengths=(1.0, 1.0, 1.0)) -> MeshFrames:
+    """A box like ``cube_tet4`` or ``cube_hex8`` whose cells have the relative lengths of ``spacing`` (see ``edge_marks``)."""
+    plain = {"tet4": cube_tet4, "hex8": cube_hex8}[kind](spark, *dims)
+    nx, ny, nz = dims
+    marks = edge_marks(spark, dims, spacing)
+    position = _grid_index(nx + 1, ny + 1)
+    nodes = _range(spark, (nx + 1) * (ny + 1) * (nz + 1)).select("id", *[p.alias(f"at_{c}") for p, c in zip(position, "xyz")])
+    for axis, c in enumerate("xyz"):
+        place = (F.lit(float(lengths[axis])) * F.col("offset") / F.col("total")).alias(c)
+        edge = marks.filter(F.col("axis") == axis).select(F.col("at").alias(f"at_{c}"), place)
+        nodes = nodes.join(F.broadcast(edge) if dims[axis] < BROADCAST_MARKS else edge, f"at_{c}")
+    return MeshFrames(nodes.select(F.col("id").alias("node_id"), *"xyz"), plain.elements, f"graded_{plain.name}")
+
+
 def script_resolution(target_dof: int) -> int:
     """Cells per edge for a wanted number of degrees of freedom."""
     return int((target_dof / 3) ** (1 / 3))

@@ -48,3 +48,13 @@ def test_own_kernel_and_rows_exchanged(spark):
     total = arrowkernels.assemble_batched(mesh, "ones").agg({"value": "sum"}).first()[0]
     assert total == 384 * 144
     assert arrowkernels.assemble_batched(type(mesh)(mesh.nodes, mesh.elements.filter("false")), "ones").isEmpty()
+
+
+def test_small_pivots_fall_back(spark):
+    coords = [(0.0, 0.0, 0.0), (1000.0, 0.0, 0.0), (0.0, 1000.0, 0.0), (0.0, 0.0, 1e-31), (0.0, 0.0, 1e-29)]
+    mesh = meshes.frames(spark, coords, [(0, [0, 1, 2, 3]), (1, [3, 2, 1, 0]), (2, [0, 1, 2, 4])])
+    native = meshes.as_dict(assemble(mesh, physics_tet4(210.0)))
+    batched = meshes.as_dict(arrowkernels.assemble_batched(mesh, arrowkernels.physics_matrices(210.0)))
+    # The first two give matrices of size one, the third one of 1e-24 / 1e-58.
+    assert batched[0, 0] == pytest.approx(native[0, 0], rel=1e-12)
+    assert batched[9, 9] == native[9, 9] == pytest.approx(4.0, abs=0.1)

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from meshloom.functions.kernels import coupling, kernel_by_name, physics_tet4, simplified
+from meshloom.functions.kernels import coupling, edge_vectors, falls_back, kernel_by_name, physics_tet4, simplified, tet_determinant
 from meshloom.operators import batches, compare
 from meshloom.operators.assemble import METHODS, assemble, assemble_blocks, assemble_by_batch, blocks_to_matrix
 from meshloom.operators.contributions import scalar_contributions
@@ -107,6 +107,36 @@ def test_fallbacks(spark):
     assert got == pytest.approx(want, rel=1e-14)
 
 
+def test_small_pivots_fall_back(spark):
+    """Volumes above the limit with a pivot below it, in either order of the corners; a pivot above stays."""
+    far = 1000.0
+    coords = [(0, 0, 0), (far, 0, 0), (0, far, 0), (0, 0, 1e-31), (0, 0, 1e-29), (0, 1e-31, 0), (0, 0, far)]
+    elements = [(0, [0, 1, 2, 3]), (1, [3, 2, 1, 0]), (2, [0, 1, 2, 4]), (3, [0, 1, 6, 5])]
+    mesh = meshes.frames(spark, [tuple(float(c) for c in p) for p in coords], elements)
+    rows = tet_determinant(edge_vectors(gather_corners(mesh, (0, 1, 2, 3)))).select("elem_id", "volume", falls_back().alias("out")).collect()
+    assert all(r["volume"] > 1e-30 for r in rows)
+    assert {r["elem_id"]: r["out"] for r in rows} == {0: True, 1: True, 2: False, 3: True}
+
+
+def test_pivots_equal_plain_elimination(spark):
+    coords, elements = meshes.random_mesh(23)
+    tets = [(e, n) for e, n in elements if len(n) == 4]
+    rows = tet_determinant(edge_vectors(gather_corners(meshes.frames(spark, coords, tets), (0, 1, 2, 3)))).select("elem_id", "pivot").collect()
+    got = {r["elem_id"]: r["pivot"] for r in rows}
+    for e, n in tets:
+        left = [list(map(float, (1, *coords[c]))) for c in n]
+        least = float("inf")
+        for column in range(4):
+            top = max(range(len(left)), key=lambda s: (abs(left[s][column]), -s))
+            left[0], left[top] = left[top], left[0]
+            row = left.pop(0)
+            least = min(least, abs(row[column])) if column else least
+            if row[column] == 0:
+                break
+            left = [[v - r[column] * (p / row[column]) for v, p in zip(r, row)] for r in left]
+        assert got[e] == pytest.approx(least, rel=1e-9, abs=1e-12)
+
+
 def test_physics_is_symmetric_and_blind_to_translation(spark):
     matrix = assemble(cube_tet4(spark, 4, 4, 4), physics_tet4(210.0)).cache()
     mirrored = matrix.selectExpr("col AS row", "row AS col", "value")

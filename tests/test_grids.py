@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from meshloom.functions.kernels import edge_vectors, falls_back, tet_determinant
 from meshloom.operators import symbolic, topology
 from meshloom.operators.corners import gather_corners
-from meshloom.sources.grids import cube_hex8, cube_tet4, script_mesh, script_resolution
+from meshloom.sources.grids import cube_hex8, cube_tet4, graded_cube, script_mesh, script_resolution
 
 
 def test_cube_counts(spark):
@@ -40,6 +40,17 @@ def test_uneven_cube_numbering(spark):
     assert mesh.name == "cube_tet4_2x3x1"
 
 
+def test_graded_cube_follows_its_spacing(spark):
+    spacing = spark.createDataFrame([(0, 0, 1), (0, 1, 3), (2, 0, 5), (1, 2, None)], "axis int, cell long, length long")
+    mesh = graded_cube(spark, "hex8", (2, 3, 1), spacing, (4.0, 3.0, 2.0))
+    nodes = {r["node_id"]: (r["x"], r["y"], r["z"]) for r in mesh.nodes.collect()}
+    assert nodes == {(k * 4 + j) * 3 + i: ((0.0, 1.0, 4.0)[i], float(j), 2.0 * k) for k in range(2) for j in range(4) for i in range(3)}
+    even = graded_cube(spark, "tet4", (3, 2, 4), spacing.limit(0), (2.0, 1.0, 3.0))
+    assert sorted(even.nodes.collect()) == sorted(cube_tet4(spark, 3, 2, 4, 2.0, 1.0, 3.0).nodes.collect())
+    with pytest.raises(Exception, match="cell lengths must be positive"):
+        graded_cube(spark, "hex8", (2, 3, 1), spacing.selectExpr("axis", "cell", "0L AS length")).nodes.collect()
+
+
 def volumes(mesh):
     return tet_determinant(edge_vectors(gather_corners(mesh, (0, 1, 2, 3))))
 
