@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from meshloom.operators import batches
+import pytest
+from pyspark.sql import functions as F
+
+from meshloom.model import BLOCK
+from meshloom.operators import batches, compare, symbolic
+from meshloom.operators.assemble import assemble, assemble_parts
+from meshloom.operators.shares import plan_rows
 from meshloom.session import remove_cuts
 from meshloom.sources.grids import cube_tet4
 from tests import meshes
@@ -26,3 +32,26 @@ def test_one_slice_is_first_fit(spark):
     coords, elements = meshes.random_mesh(43)
     found = batches.conflict_free_batches(meshes.frames(spark, coords, elements))
     assert {r["elem_id"]: r["batch"] for r in found.collect()} == meshes.first_fit(elements)
+
+
+def exchanges(df) -> list[str]:
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in text.splitlines() if "Exchange" in line and "Reused" not in line]
+
+
+def test_matrices_of_one_plan_meet_where_they_are(spark):
+    mesh = meshes.frames(spark, *meshes.random_mesh(47))
+    tets = type(mesh)(mesh.nodes, mesh.elements.filter("type = 'tet4'"))
+    whole, some = assemble(mesh, quanta=1e9), assemble(tets, quanta=1e9)
+    double = whole.withColumn("value", F.col("value") * 2)
+    for hot in (10**6, 10):
+        plan = plan_rows(mesh.elements, hot_pairs=hot)
+        parts, fewer = assemble_parts(mesh, quanta=1e9, plan=plan), assemble_parts(tets, quanta=1e9, plan=plan)
+        twice = [p.withColumns({k: F.col(k) * 2 for k in BLOCK}) for p in parts]
+        for b, want in ((parts, whole), (twice, double), (fewer, some)):
+            assert tuple(compare.compare_parts(parts, b).first()) == pytest.approx(tuple(compare.compare(whole, want).first()))
+            assert compare.same_structure_parts(parts, b).first() == compare.same_structure(whole, want).first()
+        assert compare.same_structure_parts(symbolic.pair_parts(mesh, plan), parts).first()[0]
+        if not plan.hot:
+            for report in (compare.compare_parts(parts, fewer), compare.same_structure_parts(parts, fewer)):
+                assert not any("nj" in line for line in exchanges(report))
