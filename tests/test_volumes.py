@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshloom.model import BLOCK
-from meshloom.operators import batches, compare, symbolic
+from meshloom.operators import arrowkernels, batches, compare, symbolic
 from meshloom.operators.assemble import assemble, assemble_parts
 from meshloom.operators.shares import plan_rows
 from meshloom.session import remove_cuts
@@ -55,3 +55,17 @@ def test_matrices_of_one_plan_meet_where_they_are(spark):
         if not plan.hot:
             for report in (compare.compare_parts(parts, fewer), compare.same_structure_parts(parts, fewer)):
                 assert not any("nj" in line for line in exchanges(report))
+
+
+@pytest.mark.parametrize("name", ["simplified", "physics_tet4"])
+def test_batch_kernels_exchange_no_block(spark, name, monkeypatch):
+    mesh = meshes.frames(spark, *meshes.random_mesh(53))
+    want = meshes.as_dict(arrowkernels.assemble_batched(mesh, name, 1e6))
+    digest = arrowkernels.assemble_batched(mesh, name, 1e6).groupBy("row").agg({"value": "sum", "col": "min"})
+    assert not any("nj" in line or "k00" in line for line in exchanges(digest))
+    plan = plan_rows(mesh.elements, hot_pairs=10)
+    assert plan.hot and meshes.as_dict(arrowkernels.assemble_batched(mesh, name, 1e6, plan)) == want
+    # Nodes of a batch's end are carried on; corners that cannot be broadcast are sent along.
+    monkeypatch.setattr(arrowkernels, "BROADCAST_NODES", 1)
+    monkeypatch.setattr(arrowkernels, "BATCH_ELEMENTS", 3)
+    assert meshes.as_dict(arrowkernels.assemble_batched(mesh, name, 1e6)) == want
