@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshloom.model import BLOCK
 from meshloom.operators import arrowkernels, batches, compare, symbolic
-from meshloom.operators.assemble import assemble, assemble_parts
+from meshloom.operators.assemble import assemble, assemble_blocks, assemble_parts
 from meshloom.operators.shares import plan_rows
 from meshloom.session import remove_cuts
 from meshloom.sources.grids import cube_tet4
@@ -69,3 +69,20 @@ def test_batch_kernels_exchange_no_block(spark, name, monkeypatch):
     monkeypatch.setattr(arrowkernels, "BROADCAST_NODES", 1)
     monkeypatch.setattr(arrowkernels, "BATCH_ELEMENTS", 3)
     assert meshes.as_dict(arrowkernels.assemble_batched(mesh, name, 1e6)) == want
+
+
+@pytest.mark.parametrize("width", [4, symbolic.PIECE // 4])
+def test_csr_from_rows_where_they_are(spark, width):
+    coords, elements = meshes.random_mesh(59)
+    mesh = meshes.frames(spark, coords, elements)
+    want = sorted(map(tuple, symbolic.pack_blocks(assemble_blocks(mesh, quanta=1e9), mesh.nodes, width).collect()))
+    for hot in (10**6, 10):
+        plan = plan_rows(mesh.elements, hot_pairs=hot)
+        csr = symbolic.pack_rows(assemble_parts(mesh, quanta=1e9, plan=plan), mesh.nodes, width)
+        assert sorted(map(tuple, csr.collect())) == want
+        assert compare.csr_problems(csr, 3 * len(coords)).isEmpty()
+        empty = symbolic.pack_rows(symbolic.pair_parts(mesh, plan), mesh.nodes, width)
+        assert sorted(tuple(r)[:4] for r in empty.collect()) == [r[:4] for r in want]
+        assert empty.selectExpr("sum(aggregate(vals, 0D, (x, y) -> x + abs(y)))").first()[0] == 0
+        if not plan.hot:
+            assert not any("nj" in line or "entries" in line for line in exchanges(csr))
