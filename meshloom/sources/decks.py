@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions.text import ascii_upper
 from meshloom.model import MeshFrames
+from meshloom.operators.corners import BROADCAST_NODES
 from meshloom.operators.prefix import carry_forward, exclusive_prefix
 from meshloom.session import cut_lineage
 
@@ -18,6 +19,8 @@ NODE_KEYWORD = "*NODE"
 ELEMENT_KEYWORD = "*ELEMENT"
 ELEMENT_TYPES = [("TYPE=C3D4", "tet4", 4), ("TYPE=C3D8", "hex8", 8)]
 POINTER_LINES = ["version https://git-lfs.github.com/spec/v1", "oid sha256:"]
+# Decks of up to this many headers are placed by broadcasting them.
+BROADCAST_HEADERS = 256
 # Characters trimmed from lines and fields, and the numeric prefixes that
 # the lenient mode reads.
 WHITESPACE = " \t\n\x0b\f\r"
@@ -88,6 +91,14 @@ def _number(text: Column, kind: str, numbers: str) -> Column:
     return text.try_cast(kind)
 
 
+def _between_headers(data: DataFrame, headers: DataFrame) -> DataFrame:
+    """``data`` with its open section, found among few broadcast headers: the lines do not move."""
+    following = F.lead("line_no").over(Window.partitionBy(F.lit(0)).orderBy("line_no"))
+    opened = headers.select(F.col("line_no").alias("_from"), following.alias("_to"), F.col("opens").alias("section"))
+    inside = (F.col("line_no") > F.col("_from")) & (F.col("_to").isNull() | (F.col("line_no") < F.col("_to")))
+    return data.join(F.broadcast(opened.filter("section <> 'NONE'")), inside).drop("_from", "_to")
+
+
 def parse_deck(lines: DataFrame, numbers: str = "strict") -> DeckFrames:
     """Split (line_no, line) into node rows, element rows and rejected rows.
 
@@ -98,13 +109,18 @@ def parse_deck(lines: DataFrame, numbers: str = "strict") -> DeckFrames:
     text = lines.select("line_no", "line", _trim(F.col("line")).alias("text"))
     text = text.filter((F.col("text") != "") & ~F.col("text").startswith("**"))
     header = F.col("text").startswith("*")
-    marked = text.withColumn("opens", F.when(header, _section()))
-    placed = carry_forward(marked, "line_no", "opens", "section").filter(F.col("opens").isNull())
+    headers = text.filter(header).select("line_no", _section().alias("opens"))
+    if headers.limit(BROADCAST_HEADERS + 1).count() <= BROADCAST_HEADERS:
+        placed = _between_headers(text.filter(~header), headers)
+    else:
+        marked = text.withColumn("opens", F.when(header, _section()))
+        placed = carry_forward(marked, "line_no", "opens", "section").filter(F.col("opens").isNull())
     data = placed.filter(F.col("section").isNotNull() & (F.col("section") != "NONE"))
+    # Everything below reads the lines several times; they are placed and written once, and split when read.
+    data = cut_lineage(data.select("line_no", "line", "section"))
     # One trailing comma does not start another field.
-    fields = F.transform(F.split(F.regexp_replace("text", ",$", ""), ","), _trim)
-    # Everything below reads the split lines several times; the text is read and split once.
-    data = cut_lineage(data.select("line_no", "line", "section", fields.alias("f")))
+    fields = F.transform(F.split(F.regexp_replace(_trim(F.col("line")), ",$", ""), ","), _trim)
+    data = data.withColumn("f", fields)
 
     field = lambda i: F.get("f", F.lit(i))
     node = data.filter(F.col("section") == "NODE").select(
@@ -145,6 +161,18 @@ def _numbered(df: DataFrame, out: str) -> DataFrame:
     return exclusive_prefix(df.withColumn("_one", F.lit(1).cast("long")), "line_no", "_one", out).drop("_one")
 
 
+def _ranged_numbers(df: DataFrame, out: str) -> DataFrame:
+    """``_numbered`` for many rows under line numbers with gaps: ranges of lines are sorted and their sizes added up."""
+    ranged = df.repartitionByRange("line_no").sortWithinPartitions("line_no").withColumn("_at", F.monotonically_increasing_id())
+    ranged = cut_lineage(ranged)
+    part = F.shiftrightunsigned("_at", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_start"))
+    placed = ranged.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return placed.withColumn(out, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start", "_at")
+
+
 def resolve_labels(deck: DeckFrames) -> tuple[MeshFrames, DataFrame]:
     """Replace node labels by dense indices; returns the mesh and the unresolved references.
 
@@ -160,6 +188,8 @@ def resolve_labels(deck: DeckFrames) -> tuple[MeshFrames, DataFrame]:
         events = nodes.select("label", "line_no", F.lit(None).cast("string").alias("type"), F.lit(-1).alias("slot"), "node_id")
         asks = references.select("label", "line_no", "type", "slot", F.lit(None).cast("long").alias("node_id"))
         found = carry_forward(events.unionByName(asks), "line_no", "node_id", "index", by=["label"]).filter("slot >= 0")
+    elif nodes.count() <= BROADCAST_NODES:
+        return _resolve_in_place(nodes, elements)
     else:
         defined = nodes.select("label", "node_id", F.col("line_no").alias("defined_at"))
         known = F.when(F.col("defined_at") < F.col("line_no"), F.col("node_id"))
@@ -171,10 +201,25 @@ def resolve_labels(deck: DeckFrames) -> tuple[MeshFrames, DataFrame]:
     complete = wide.filter("misses = 0").select(
         "line_no", "type", F.array_compact(F.array(*[F.col(f"n{s}") for s in range(8)])).alias("nodes")
     )
-    mesh = MeshFrames(
-        nodes.select("node_id", "x", "y", "z"), _numbered(complete, "elem_id").select("elem_id", "type", "nodes"), "deck"
-    )
-    return mesh, unknown
+    return _deck_mesh(nodes, complete), unknown
+
+
+def _deck_mesh(nodes: DataFrame, complete: DataFrame) -> MeshFrames:
+    return MeshFrames(nodes.select("node_id", "x", "y", "z"), _ranged_numbers(complete, "elem_id").select("elem_id", "type", "nodes"), "deck")
+
+
+def _resolve_in_place(nodes: DataFrame, elements: DataFrame) -> tuple[MeshFrames, DataFrame]:
+    """``resolve_labels`` for unique labels of nodes that can be broadcast: one probe per corner, elements do not move."""
+    out = elements
+    for s in range(8):
+        side = nodes.select(F.col("label").alias("_label"), F.col("node_id").alias(f"n{s}"), F.col("line_no").alias("_at"))
+        there = (F.get("labels", F.lit(s)) == F.col("_label")) & (F.col("_at") < F.col("line_no"))
+        out = out.join(F.broadcast(side), there, "left").drop("_label", "_at")
+    index = F.slice(F.array(*[F.col(f"n{s}") for s in range(8)]), F.lit(1), F.size("labels"))
+    out = out.select("line_no", "type", "labels", index.alias("nodes"))
+    misses = F.transform("labels", lambda v, i: F.struct(v.alias("label"), F.get("nodes", i).isNull().alias("missing")))
+    unknown = out.select("line_no", F.inline(misses)).filter("missing").select("line_no", "label").distinct()
+    return _deck_mesh(nodes, out.filter(~F.exists("nodes", lambda v: v.isNull())).select("line_no", "type", "nodes")), unknown
 
 
 def _fail_on_first(rejects: DataFrame, unknown: DataFrame) -> None:

@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshloom.model import BLOCK
-from meshloom.operators import arrowkernels, batches, compare, symbolic
+from meshloom.operators import arrowkernels, batches, compare, symbolic, topology
 from meshloom.operators.assemble import assemble, assemble_blocks, assemble_parts
 from meshloom.operators.shares import plan_rows
 from meshloom.session import remove_cuts
+from meshloom.sources import decks
 from meshloom.sources.grids import cube_tet4
 from tests import meshes
 
@@ -86,3 +87,30 @@ def test_csr_from_rows_where_they_are(spark, width):
         assert empty.selectExpr("sum(aggregate(vals, 0D, (x, y) -> x + abs(y)))").first()[0] == 0
         if not plan.hot:
             assert not any("nj" in line or "entries" in line for line in exchanges(csr))
+
+
+@pytest.mark.parametrize("hot", [10**6, 10])
+def test_conflict_degrees_exchange_no_pair(spark, hot):
+    coords, elements = meshes.random_mesh(61)
+    mesh = meshes.frames(spark, coords, elements)
+    plan = plan_rows(mesh.elements, hot_pairs=hot)
+    found = topology.conflict_degree(mesh, plan)
+    assert {r["elem_id"]: r["degree"] for r in found.collect()} == {e: sum(f != e and bool(set(n) & set(m)) for f, m in elements) for e, n in elements}
+    assert plan.hot or not any("nj" in line for line in exchanges(found))
+
+
+def test_decks_place_lines_without_moving_them(spark, monkeypatch):
+    lines = ["*NODE", "5, 0, 0, 0", "** c", "7, 1, 0, 0", "6, 0, 1, 0", "*NSET", "5", "*ELEMENT, TYPE=C3D4", "1, 5, 6, 7, 8", "2, 8, 7, 6, 5", "*NODE", "8, 0, 0, 1"]
+    lines += ["*ELEMENT, TYPE=C3D4", "3, 8, 7, 6, 5", "4, 5, 5, 9, 9", "x", "5, 7, 8, 5, 6"]
+    frame = spark.createDataFrame([(1000 * i**3, line) for i, line in enumerate(lines)], "line_no long, line string")
+
+    def read():
+        deck = decks.parse_deck(frame)
+        mesh, unknown = decks.resolve_labels(deck)
+        return [sorted(map(str, df.collect())) for df in (mesh.nodes, mesh.elements, unknown, deck.rejects)]
+
+    found = read()
+    assert [len(part) for part in found] == [4, 2, 3, 1]
+    monkeypatch.setattr(decks, "BROADCAST_HEADERS", 1)
+    monkeypatch.setattr(decks, "BROADCAST_NODES", 1)
+    assert read() == found
