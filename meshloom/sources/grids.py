@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,6 +61,19 @@ def _grid_nodes(spark: SparkSession, dims: tuple[int, int, int], coord) -> DataF
     return _range(spark, (nx + 1) * (ny + 1) * (nz + 1)).select(F.col("id").alias("node_id"), *xyz)
 
 
+def _grid_coordinates(dims: tuple[int, int, int], coord) -> Callable[[Column], list[Column]]:
+    """x, y and z from a node id, by the expressions of ``_grid_nodes``; null outside the grid."""
+    nx, ny, nz = dims
+
+    def of(node: Column) -> list[Column]:
+        div = lambda by: F.call_function("div", node, F.lit(by).cast("long"))
+        position = node % (nx + 1), div(nx + 1) % (ny + 1), div((nx + 1) * (ny + 1))
+        inside = (node >= 0) & (node < (nx + 1) * (ny + 1) * (nz + 1))
+        return [F.when(inside, coord(position[axis], axis)) for axis in range(3)]
+
+    return of
+
+
 def _grid_elements(spark: SparkSession, dims: tuple[int, int, int], kind: str, shapes: list[list[str]]) -> DataFrame:
     """One row per (cell, shape); corner ids are the cell's base id plus literal offsets.
 
@@ -90,6 +104,7 @@ def _cube(spark, kind, shapes, dims, lengths) -> MeshFrames:
         _grid_nodes(spark, dims, coord),
         _grid_elements(spark, dims, kind, shapes),
         "cube_{}_{}x{}x{}".format(kind, *dims),
+        _grid_coordinates(dims, coord),
     )
 
 
@@ -164,4 +179,5 @@ def script_mesh(spark: SparkSession, kind: str, target_dof: int, lx=1.0, ly=1.0,
         _grid_nodes(spark, dims, coord),
         _grid_elements(spark, dims, kind, shapes),
         f"script_{kind}_{target_dof}",
+        _grid_coordinates(dims, coord),
     )

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from meshloom.model import BLOCK
 from meshloom.operators import arrowkernels, batches, compare, symbolic, topology
 from meshloom.operators.assemble import assemble, assemble_blocks, assemble_parts
+from meshloom.operators.corners import gather_corners
 from meshloom.operators.shares import plan_rows
 from meshloom.session import remove_cuts
 from meshloom.sources import decks
-from meshloom.sources.grids import cube_tet4
+from meshloom.sources.grids import cube_tet4, script_mesh
 from tests import meshes
 
 
@@ -114,3 +115,24 @@ def test_decks_place_lines_without_moving_them(spark, monkeypatch):
     monkeypatch.setattr(decks, "BROADCAST_HEADERS", 1)
     monkeypatch.setattr(decks, "BROADCAST_NODES", 1)
     assert read() == found
+
+
+def test_large_gathers_move_an_element_once(spark):
+    """One row per corner meets the nodes; a join per corner moved the whole element each time."""
+    grid = cube_tet4(spark, 3, 3, 3)
+    mesh = type(grid)(grid.nodes, grid.elements)
+    large, small = gather_corners(mesh, (0, 1, 2, 3), broadcast_nodes=0), gather_corners(mesh, (0, 1, 2, 3))
+    assert sorted(map(str, large.collect())) == sorted(map(str, small.collect())) and large.columns == small.columns
+    assert sum("nodes" in line for line in exchanges(large)) <= 1
+
+
+@pytest.mark.parametrize("grid", [lambda s: cube_tet4(s, 4, 3, 2, 0.7, 1.3, 2.9), lambda s: script_mesh(s, "hex8", 700, 1.1, 2.3, 0.7)])
+def test_grid_corners_are_computed_in_place(spark, grid):
+    mesh = grid(spark)
+    computed, joined = gather_corners(mesh, (0, 1, 2, 3)), gather_corners(type(mesh)(mesh.nodes, mesh.elements), (0, 1, 2, 3))
+    assert sorted(map(str, computed.collect())) == sorted(map(str, joined.collect())) and computed.columns == joined.columns
+    assert not exchanges(computed)
+    lost = type(mesh)(mesh.nodes, mesh.elements.withColumn("nodes", F.transform("nodes", lambda n: n - 1)), "lost", mesh.coordinates)
+    assert gather_corners(lost, (0,), strict=False).filter("x0 is null").count() > 0
+    with pytest.raises(ValueError, match="unknown node"):
+        gather_corners(lost, (0,))
