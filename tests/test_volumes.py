@@ -11,8 +11,10 @@ from meshloom.operators.assemble import assemble, assemble_blocks, assemble_part
 from meshloom.operators.corners import gather_corners
 from meshloom.operators.shares import plan_rows
 from meshloom.session import remove_cuts
+from meshloom.sinks.writers import write_row_store
 from meshloom.sources import decks
 from meshloom.sources.grids import cube_tet4, script_mesh
+from meshloom.sources.matrices import read_row_slice
 from tests import meshes
 
 
@@ -136,3 +138,14 @@ def test_grid_corners_are_computed_in_place(spark, grid):
     assert gather_corners(lost, (0,), strict=False).filter("x0 is null").count() > 0
     with pytest.raises(ValueError, match="unknown node"):
         gather_corners(lost, (0,))
+
+
+def test_ordered_matrices_are_stored_as_they_are(spark, tmp_path):
+    mesh = meshes.frames(spark, *meshes.random_mesh(67))
+    matrix = assemble(mesh, method="coo_sort_reduce", quanta=1e6, partitions=5)
+    assert not any("col#" in line for line in exchanges(matrix))
+    write_row_store(matrix, str(tmp_path / "store"), ordered=True)
+    want = {rc: v for rc, v in meshes.as_dict(assemble(mesh, quanta=1e6)).items() if 7 <= rc[0] <= 19}
+    assert meshes.as_dict(read_row_slice(spark, str(tmp_path / "store"), 7, 19)) == want
+    files = sorted(map(tuple, spark.read.parquet(str(tmp_path / "store" / "files")).select("first_row", "last_row").collect()))
+    assert len(files) > 1 and all(a[1] < b[0] for a, b in zip(files, files[1:]))
