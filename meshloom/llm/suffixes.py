@@ -418,4 +418,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op9_suffix_dedup(spark, sf_dir):
     done = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["first"])
-    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    spans = F.size("spans").cast("long")
+    return done.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (spans > 0).alias("has_repeats")
+    )

@@ -85,3 +85,17 @@ def test_repeat_past_16_mib_of_a_document(spark, docs):
     rows = docs([(1, head + "<" + passage + ">", "en", "s"), (2, "(" + passage + ")", "en", "s")])
     got = {r["doc_id"]: [(s["first"], s["end"]) for s in r["spans"]] for r in suffixes.remove_repeats(rows).collect()}
     assert got == {1: [(len(head) + 1, len(head) + 601)], 2: [(1, 601)]}
+
+
+def test_query_tells_documents_with_repeats(spark, docs, tmp_path):
+    """Planted passages of over 50 words are repeats from 400 bytes on, and not before; sizes of documents don't matter."""
+    rng = random.Random(13)
+    prose = lambda n, size: " ".join("".join(rng.choices("abcdefghij", k=size)) for _ in range(n))
+    long, short = [prose(52, 8) for _ in range(10)], [prose(52, 6)[:399] for _ in range(10)]
+    rows = [(i, f"{prose(rng.randint(5, 300), 7)} <{long[i // 3]}> {prose(20, 7)}", "en", "s") for i in range(30)]
+    rows += [(100 + i, f"{prose(rng.randint(5, 300), 7)}{i}-{short[i // 3]}-{i}{prose(20, 7)}", "en", "s") for i in range(30)]
+    rows += [(200 + i, prose(rng.randint(5, 600), 7), "en", "s") for i in range(30)]
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in suffixes.op9_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert {i for i, r in got.items() if r["has_repeats"]} == set(range(30)) and len(got) == 90
+    assert all(r["has_repeats"] == (r["n_removed"] > 0) for r in got.values())
