@@ -16,12 +16,14 @@ the history that is a state is used, and no context reaches over the start of a
   counts: P(w | s) = (n(s, w) + PRIOR * P(w | suffix)) / (n(s) + PRIOR). It sums to 1.
 
 Counts cover all training rows. Texts are written in chunks of CHUNK_TOKENS tokens (a longer text
-is a chunk of its own), each with its own dictionary. Chunks send their distinct words, and per
-level their distinct (candidate context, next symbol) pairs, with counts; sums are made before and
-after the exchange, so a frequent pair is one row a task. Only pairs of retained contexts are
-answered, with what the longer context adds to the score; a chunk keeps sums per document and one
-bit a token: whether its next longer context may be a state. Tables are deleted once the next
-level is written. Both minimum counts are absolute: a larger corpus has more symbols and states.
+is a chunk of its own), each with its own dictionary, from which symbols are numbered by frequency.
+All contexts that end with one context are in its subtree, so a token goes once, with its history,
+to the bucket of its last symbol; there the subtrees are grown level by level and every token is
+scored, with no exchange of counts. What returns is one sum per document and bucket. A context
+with about HEAVY tokens or more would not fit a bucket: its pairs (context, next symbol) are summed before
+and after an exchange and answered per chunk, and its tokens go on with contexts of one symbol more,
+until these fit. Tables are deleted once the next one is written. Both minimum counts are absolute:
+a larger corpus has more symbols and states.
 
 A null text is an empty one (its only token is the end); a row without an id trains and is not
 held out. Repeated rows count as often as they appear. With nothing to train on all tokens
@@ -34,9 +36,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshloom.llm.neardup import mix64
@@ -51,6 +52,13 @@ PRIOR = 256.0
 # Symbols of the longest context: the memory length of the tree.
 DEPTH = 4
 CHUNK_TOKENS = 1 << 20
+# Tokens of a bucket, on average, and of a context that is counted by exchanged pairs.
+BUCKET_TOKENS = 1 << 19
+HEAVY = 1 << 19
+# Buckets go in turns, so that only a share of the tokens is on disk as rows of buckets.
+TURNS = 2
+# Tokens whose subtrees are grown together, if no context has more.
+PART_TOKENS = 1 << 18
 # The end is no word, as a word is not empty.
 END = b""
 FOLDS, HELD_FOLD = 7, 2
@@ -148,17 +156,20 @@ def dictionary_rows(parts: DataFrame) -> DataFrame:
 
 def _by_chunk(rows: DataFrame, order: str, values: dict[str, str]) -> DataFrame:
     """chunk and its values in the order of ``order``: the bytes of one array for each column (name: numpy type)."""
+    wanted = list(dict.fromkeys([order, *values]))
 
     def gather(batches):
         key, held = None, []
 
         def row():
-            cells = [pa.array([b"".join(part[i].astype(kind).tobytes() for part in held)], pa.binary()) for i, kind in enumerate(values.values())]
+            columns = {name: np.concatenate([part[i] for part in held]) for i, name in enumerate(wanted)}
+            place = np.argsort(columns[order], kind="stable")
+            cells = [pa.array([columns[name][place].astype(kind).tobytes()], pa.binary()) for name, kind in values.items()]
             return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), *cells], names=["chunk", *values])
 
         for batch in batches:
             chunk = batch.column(0).to_numpy()
-            columns = [batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(values))]
+            columns = [batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(wanted))]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if b > a:
@@ -170,9 +181,8 @@ def _by_chunk(rows: DataFrame, order: str, values: dict[str, str]) -> DataFrame:
         if held:
             yield row()
 
-    wanted = list(dict.fromkeys(["chunk", order, *values]))
-    placed = rows.select(*wanted).repartition("chunk").sortWithinPartitions("chunk", order)
-    return placed.select("chunk", *values).mapInArrow(gather, ", ".join(["chunk long", *(f"{name} binary" for name in values)]))
+    placed = rows.select("chunk", *wanted).repartition("chunk").sortWithinPartitions("chunk")
+    return placed.mapInArrow(gather, ", ".join(["chunk long", *(f"{name} binary" for name in values)]))
 
 
 def _list(cell: pa.Scalar) -> np.ndarray:
@@ -185,37 +195,63 @@ def _array(cell: pa.Scalar, kind: str) -> np.ndarray:
     return np.frombuffer(cell.as_py(), kind) if cell.is_valid else np.zeros(0, kind)
 
 
+def _compressed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<f8").tobytes())
+
+
 def _sums(values: np.ndarray, sizes: np.ndarray) -> list[float]:
     """Sums over runs of the given sizes, none of them empty."""
     return np.add.reduceat(values, np.cumsum(sizes) - sizes).tolist()
 
 
-def encoded(parts: DataFrame, known: DataFrame, root: dict, min_symbol: int, min_context: int) -> DataFrame:
-    """Chunks by symbol: symbols (0: rare), codes and counts of the chunk's symbols, and what each
-    document owes to single words: n_known, base, and score, that of the root. live has a bit a
-    token: whether the symbol before it may be a state."""
-    total, rare = math.log10(root["total"]), math.log10(root["rare"])
+def numbered_symbols(counts: DataFrame, min_symbol: int) -> tuple[DataFrame, DataFrame]:
+    """word and symbol, from 1 by falling count (rare words: minus their count), and the table to drop after its use."""
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    spread = counts.repartitionByRange(F.desc("c"), "word").sortWithinPartitions(F.desc("c"))
+    spread = cut_lineage(spread.select("word", "c", F.spark_partition_id().alias("part"), place.alias("place")), frees=[counts])
+    # One row per partition, as many as the exchange has.
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = spread.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
+    symbol = F.when(F.col("c") >= min_symbol, F.col("base") + F.col("place") + 1).otherwise(-F.col("c"))
+    return spread.join(F.broadcast(base), "part").select("word", symbol.alias("symbol")), spread
+
+
+class _Root:
+    """The unigram distribution: training counts by symbol, as steps of equal counts."""
+
+    def __init__(self, steps: list, total: int, rare: int):
+        steps = sorted(steps, reverse=True)
+        self.total, self.rare = total, rare
+        self.ends = np.cumsum([0, *(n for _, n in steps)])
+        self.counts = np.array([rare - 1, *(c for c, _ in steps)], np.float64)
+
+    def count(self, symbols: np.ndarray) -> np.ndarray:
+        return self.counts[np.searchsorted(self.ends, symbols)]
+
+    def probability(self, symbols: np.ndarray) -> np.ndarray:
+        return (self.count(symbols) + 1.0) / self.total
+
+
+def encoded(parts: DataFrame, known: DataFrame, root: _Root, min_context: int) -> DataFrame:
+    """Chunks by symbol (0: rare), and what each document owes to single words: n_known, base, and
+    score, that of the root. depth is the length of each token's next context (0: none)."""
+    total, rare = math.log10(root.total), math.log10(root.rare)
 
     def encode(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 tokens = _unpack(batch.column(1)[r])
                 sizes = _list(batch.column(4)[r])
-                c = _array(batch.column(5)[r], "<i8")
-                words = _words(batch.column(6)[r])
-                frequent = np.flatnonzero(c >= min_symbol)
-                # Odd, so that 0 can stand for no context.
-                code = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) | 1 for i in frequent.tolist()), np.uint64, len(frequent))
-                symbol = np.zeros(len(c), np.int64)
-                symbol[frequent] = np.arange(1, len(frequent) + 1)
+                number = _array(batch.column(5)[r], "<i8")
+                symbol = np.maximum(number, 0)
+                c = np.where(number > 0, root.count(symbol), -number)
                 single = np.log10(c + 1.0) - total
                 # The root's probability of a rare symbol, split among the rare words.
-                count = np.where(symbol == 0, root["rare"] - 1, c)
+                count = np.where(symbol == 0, root.rare - 1, c)
                 whole = np.log10(count + 1.0) - total + np.where(symbol == 0, np.log10(c + 1.0) - rare, 0.0)
-                at = symbol[tokens]
-                live = np.zeros(len(at), bool)
-                live[1:] = (at[:-1] > 0) & (count[tokens[:-1]] >= min_context)
-                live[np.cumsum(sizes) - sizes] = False
+                before = ((symbol > 0) & (c >= min_context))[tokens[:-1]]
+                depth = np.append(np.zeros(1, np.int64), before.astype(np.int64))
+                depth[np.cumsum(sizes) - sizes] = 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(r, 1),
@@ -225,124 +261,330 @@ def encoded(parts: DataFrame, known: DataFrame, root: dict, min_symbol: int, min
                         pa.array([_sums((c > 0).astype(np.int64)[tokens], sizes)], pa.list_(pa.int64())),
                         pa.array([_sums(single[tokens], sizes)], pa.list_(pa.float64())),
                         pa.array([_sums(whole[tokens], sizes)], pa.list_(pa.float64())),
-                        pa.array([np.packbits(live).tobytes()], pa.binary()),
-                        pa.array([_pack(at)], pa.binary()),
-                        pa.array([np.append(np.uint64(0), code).astype("<u8").tobytes()], pa.binary()),
-                        pa.array([np.append(root["rare"] - 1, c[frequent]).astype("<i8").tobytes()], pa.binary()),
+                        pa.array([_pack(symbol[tokens])], pa.binary()),
+                        pa.array([_pack(depth, "u1")], pa.binary()),
+                        pa.array([_compressed(np.zeros(0))], pa.binary()),
                     ],
-                    names=["chunk", "doc_ids", "held", "sizes", "known", "base", "score", "live", "symbols", "codes", "counts"],
+                    names=_STATE,
                 )
 
-    wide = parts.select("chunk", "tokens", "doc_ids", "held", "sizes", "words").join(known, "chunk")
+    wide = parts.select("chunk", "tokens", "doc_ids", "held", "sizes").join(known, "chunk")
     kind = (
         "chunk long, doc_ids array<long>, held array<boolean>, sizes array<long>, known array<long>, base array<double>, "
-        "score array<double>, live binary, symbols binary, codes binary, counts binary"
+        "score array<double>, symbols binary, depth binary, parents binary"
     )
-    return wide.select("chunk", "tokens", "doc_ids", "held", "sizes", "c", "words").mapInArrow(encode, kind)
+    return wide.select("chunk", "tokens", "doc_ids", "held", "sizes", "symbol").mapInArrow(encode, kind)
+
+
+_STATE = ["chunk", "doc_ids", "held", "sizes", "known", "base", "score", "symbols", "depth", "parents"]
+_DOCS = ["chunk", "doc_ids", "held", "sizes", "known", "base", "score"]
+_TOKENS = ["chunk", "held", "sizes", "symbols", "depth", "parents"]
+
+
+def _rows(batches, names: list[str]):
+    for batch in batches:
+        for r in range(batch.num_rows):
+            yield {name: batch.column(i)[r] for i, name in enumerate(names)}
+
+
+def _joined(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The code of a context with one symbol more, or of a context and its next symbol."""
+    return mix64(context * _STEP + symbol.astype(np.uint64))
 
 
 class _Chunk:
-    """The tokens of a chunk and their contexts of ``depth`` symbols (0: none)."""
+    """The tokens of a chunk: symbols, lengths of their next contexts, probabilities in the context before that."""
 
-    def __init__(self, row: dict, depth: int):
+    def __init__(self, row: dict, root: _Root):
+        self.root = root
         self.sizes = row["sizes"].values.to_numpy().astype(np.int64)
-        self.at = _unpack(row["symbols"])
-        self.begin = np.cumsum(self.sizes) - self.sizes
-        self.code = np.frombuffer(row["codes"].as_py(), "<u8")[self.at]
-        self.live = np.unpackbits(np.frombuffer(row["live"].as_py(), np.uint8), count=len(self.at)).astype(bool)
-        # A context is named by the pair of its first symbols and its last one.
-        self.context, self.upper = np.ones(len(self.at), np.uint64), self.code
-        self.pair = self.code
-        for _ in range(depth):
-            self.context, self.upper = self.longer(), self.pair
-            self.pair = mix64(self.context * _STEP + self.code)
-
-    def longer(self) -> np.ndarray:
-        """Each token's context of one more symbol."""
-        out = np.zeros(len(self.at), np.uint64)
-        out[1:] = np.where((self.context[:-1] != 0) & (self.at[:-1] > 0), self.pair[:-1], np.uint64(0))
-        out[self.begin] = 0
+        self.at, self.depth = _unpack(row["symbols"]), _unpack(row["depth"])
+        self.late = np.flatnonzero(self.depth > 1)
+        self.parents = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["parents"].as_py()), "<f8")
+
+    def parent(self, some: np.ndarray) -> np.ndarray:
+        """Probabilities in the context before the next one."""
+        out = np.empty(len(some))
+        first = self.depth[some] == 1
+        out[first] = self.root.probability(self.at[some[first]])
+        out[~first] = self.parents[np.searchsorted(self.late, some[~first])]
         return out
 
+    def per_token(self, values: np.ndarray) -> np.ndarray:
+        return np.repeat(values, self.sizes)
 
-_STATE = ["chunk", "doc_ids", "held", "sizes", "known", "base", "score", "live", "symbols", "codes", "counts"]
+    def begin(self) -> np.ndarray:
+        return self.per_token(np.cumsum(self.sizes) - self.sizes)
 
+    def contexts(self, some: np.ndarray, length: int) -> np.ndarray:
+        """The codes of contexts of that length, for tokens that have them."""
+        out = np.ones(len(some), np.uint64)
+        for k in range(1, length + 1):
+            out = _joined(out, self.at[some - k])
+        return out
 
-def _rows(batches, names: list[str]):
-    for batch in batches:
-        for r in range(batch.num_rows):
-            yield {name: batch.column(i)[r] for i, name in enumerate(names)}
+    def next_contexts(self, level: int, heavy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens whose next context has ``level`` symbols, and is a heavy one if these are given, and its code."""
+        some = np.flatnonzero(self.depth == level)
+        context = self.contexts(some, level)
+        if heavy is not None:
+            found = np.isin(context, heavy)
+            some, context = some[found], context[found]
+        return some, context
 
 
-def _pair_rows(chunks_: DataFrame, depth: int) -> DataFrame:
-    """context, pair, n and upper (the pair of the shorter context), at depth 1 c (the next symbol's count) instead.
+def _heavy_contexts(state: DataFrame, root: _Root, level: int, number: int) -> np.ndarray:
+    """Contexts of ``level`` symbols with HEAVY tokens, and some with half of that; at most 2 a HEAVY tokens.
 
-    One row per distinct pair of a chunk; n counts training only.
+    A chunk names only contexts with their share of HEAVY / 2, so what all others hold back of one is less than that.
     """
-    columns = ["chunk", "held", "sizes", "live", "symbols", "codes", "counts"]
-    names = ["context", "pair", "n", "c" if depth == 1 else "upper"]
+    least = max(1, HEAVY // (2 * number))
+
+    def count(batches):
+        for row in _rows(batches, _TOKENS):
+            chunk = _Chunk(row, root)
+            codes, n = np.unique(chunk.next_contexts(level)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes[n >= least].view(np.int64)), pa.array(n[n >= least])], names=["context", "n"])
+
+    seen = state.select(*_TOKENS).mapInArrow(count, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["context"] for r in seen.filter(F.col("n") >= HEAVY // 2).collect()], np.int64)).view(np.uint64)
+
+
+def _pair_rows(state: DataFrame, root: _Root, level: int, heavy: np.ndarray, asked: bool) -> DataFrame:
+    """The distinct pairs of each chunk in heavy contexts: chunk, pair, or context, pair, n (training only), parent."""
+    kind = "chunk long, pair long" if asked else "context long, pair long, n long, parent double"
+    names = [c.split()[0] for c in kind.split(", ")]
 
     def emit(batches):
-        for row in _rows(batches, columns):
-            chunk = _Chunk(row, depth)
-            some = np.flatnonzero(chunk.live)
-            train = ~np.repeat(_list(row["held"]).astype(bool), chunk.sizes)
-            pairs, first, back = np.unique(chunk.pair[some].view(np.int64), return_index=True, return_inverse=True)
-            n = np.bincount(back, weights=train[some], minlength=len(pairs)).astype(np.int64)
-            at = some[first]
-            counts = np.frombuffer(row["counts"].as_py(), "<i8")
-            last = counts[chunk.at[at]] if depth == 1 else chunk.upper[at].view(np.int64)
-            context = chunk.context[at].view(np.int64)
-            # Rows of one context together compress better on their way.
-            order = np.argsort(context, kind="stable")
-            yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in (context, pairs, n, last)], names=names)
-
-    return chunks_.select(*columns).mapInArrow(emit, ", ".join(f"{c} long" for c in names))
-
-
-def _asked(chunks_: DataFrame, depth: int) -> DataFrame:
-    """chunk, pair: the distinct pairs of each chunk."""
-    columns = ["chunk", "sizes", "live", "symbols", "codes"]
-
-    def ask(batches):
-        for row in _rows(batches, columns):
-            chunk = _Chunk(row, depth)
-            pairs = np.unique(chunk.pair[chunk.live].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), row["chunk"].as_py(), np.int64)), pa.array(pairs)], names=["chunk", "pair"])
+        for row in _rows(batches, _TOKENS):
+            chunk = _Chunk(row, root)
+            some, context = chunk.next_contexts(level, heavy)
+            pairs, first, back = np.unique(_joined(context, chunk.at[some]).view(np.int64), return_index=True, return_inverse=True)
+            if asked:
+                columns = [np.full(len(pairs), row["chunk"].as_py(), np.int64), pairs]
+            else:
+                train = ~chunk.per_token(_list(row["held"]).astype(bool))[some]
+                n = np.bincount(back, weights=train, minlength=len(pairs)).astype(np.int64)
+                columns = [context[first].view(np.int64), pairs, n, chunk.parent(some[first])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return chunks_.select(*columns).mapInArrow(ask, "chunk long, pair long")
+    return state.select(*_TOKENS).mapInArrow(emit, kind)
 
 
-def _answered(chunks_: DataFrame, answers: DataFrame, depth: int) -> DataFrame:
-    """Chunks with the scores that the states of ``depth`` symbols give, and live for one symbol more."""
-    columns = [*_STATE, "pair", "more", "often"]
+def _answered(state: DataFrame, answers: DataFrame, root: _Root, level: int, heavy: np.ndarray, longest: int) -> DataFrame:
+    """Chunks with the scores that heavy states of ``level`` symbols give, their tokens at one symbol more."""
+    columns = [*_STATE, "pair", "probability"]
 
     def update(batches):
         for row in _rows(batches, columns):
-            chunk = _Chunk(row, depth)
-            some = np.flatnonzero(chunk.live)
-            pairs, more = _array(row["pair"], "<i8"), _array(row["more"], "<f8")
-            often = _array(row["often"], "i1").astype(bool)
-            score, live = _list(row["score"]), np.zeros(len(chunk.at), bool)
+            chunk = _Chunk(row, root)
+            some, context = chunk.next_contexts(level, heavy)
+            # The heavy contexts without answers are no states.
+            depth, parent = chunk.depth.copy(), np.zeros(len(chunk.at))
+            depth[some] = 0
+            parent[chunk.late] = chunk.parents
+            pairs, probability = _array(row["pair"], "<i8"), _array(row["probability"], "<f8")
             if len(pairs):
-                place = np.minimum(np.searchsorted(pairs, chunk.pair[some].view(np.int64)), len(pairs) - 1)
-                found = pairs[place] == chunk.pair[some].view(np.int64)
-                some, place = some[found], place[found]
-                value = np.zeros(len(chunk.at))
-                value[some] = more[place]
-                score = score + np.array(_sums(value, chunk.sizes))
-                # The next context is this one before the last symbol, and that symbol: too rare if that pair is.
-                live[some] = True
-                rare = some[~often[place]] + 1
-                live[rare[rare < len(live)]] = False
-                live &= chunk.longer() != 0
-            row["score"], row["live"] = score.tolist(), np.packbits(live).tobytes()
+                asked = _joined(context, chunk.at[some]).view(np.int64)
+                place = np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)
+                found = pairs[place] == asked
+                some, value = some[found], probability[place[found]]
+                more = np.zeros(len(chunk.at))
+                more[some] = np.log10(value / chunk.parent(some))
+                row["score"] = (_list(row["score"]) + np.array(_sums(more, chunk.sizes))).tolist()
+                parent[some] = value
+                if level < longest:
+                    before = some - level - 1
+                    depth[some] = np.where((before >= chunk.begin()[some]) & (chunk.at[before] > 0), level + 1, 0)
+            row["depth"], row["parents"] = _pack(depth, "u1"), _compressed(parent[depth > 1])
             cells = [row[name].as_py() if isinstance(row[name], pa.Scalar) else row[name] for name in _STATE]
             yield pa.RecordBatch.from_arrays([pa.array([cell], kind) for cell, kind in zip(cells, kinds)], names=_STATE)
 
     lists = {"doc_ids": pa.int64(), "held": pa.bool_(), "sizes": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
     kinds = [pa.int64() if name == "chunk" else pa.list_(lists[name]) if name in lists else pa.binary() for name in _STATE]
-    return chunks_.join(answers, "chunk", "left").select(*columns).mapInArrow(update, chunks_.select(*_STATE).schema)
+    return state.join(answers, "chunk", "left").select(*columns).mapInArrow(update, state.select(*_STATE).schema)
+
+
+def heavy_levels(state: DataFrame, root: _Root, tokens: int, number: int, limits: tuple, longest: int) -> DataFrame:
+    """Chunks after all contexts with HEAVY tokens, which lie below each other from the root on."""
+    divergence, least, prior = limits
+    for level in range(1, longest + 1) if tokens >= HEAVY else ():
+        heavy = _heavy_contexts(state, root, level, number)
+        if not len(heavy):
+            break
+        pairs = _pair_rows(state, root, level, heavy, False).groupBy("pair")
+        pairs = cut_lineage(pairs.agg(F.sum("n").alias("all_n"), F.first("context").alias("context"), F.first("parent").alias("parent")))
+        probability = (F.col("all_n") + F.lit(prior) * F.col("parent")) / (F.col("all") + F.lit(prior))
+        answers = pairs.join(F.broadcast(_states(pairs, divergence, least)), "context").select("pair", probability.alias("probability"))
+        asked = _pair_rows(state, root, level, heavy, True).join(answers, "pair")
+        state = cut_lineage(
+            _answered(state, _by_chunk(asked, "pair", {"pair": "<i8", "probability": "<f8"}), root, level, heavy, longest), frees=[state, pairs]
+        )
+    return state
+
+
+def _planes(columns: list[np.ndarray]) -> bytes:
+    """Columns of small numbers, byte by byte of all rows: high bytes compress to nothing."""
+    return np.ascontiguousarray(np.stack(columns).astype("<u4").view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1)).tobytes()
+
+
+def _from_planes(raw: bytes, number: int, rows: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, number * 4 * rows).reshape(number, 4, rows)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[:, :, 0]
+
+
+def bucket_rows(state: DataFrame, root: _Root, buckets: int, turn: int, longest: int) -> DataFrame:
+    """bucket, chunk, n, tokens: the tokens of a chunk whose next context is in the bucket, with their histories.
+
+    Only the buckets whose turn it is.
+    """
+
+    def send(batches):
+        packer = zstandard.ZstdCompressor(level=1)
+        for row in _rows(batches, _TOKENS):
+            chunk = _Chunk(row, root)
+            places, keys = [], []
+            for level in range(1, longest + 1):
+                some, context = chunk.next_contexts(level)
+                bucket = ((context >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+                now = bucket % TURNS == turn
+                places.append(some[now])
+                keys.append(bucket[now])
+            some, bucket = np.concatenate(places), np.concatenate(keys)
+            order = np.lexsort((some, bucket))
+            some, bucket = some[order], bucket[order]
+            # The symbols before each token, nearest first; 0 where its history has ended.
+            columns, begin, on = [chunk.at[some]], chunk.begin()[some], np.ones(len(some), bool)
+            for k in range(1, longest + 1):
+                symbol = chunk.at[some - k]
+                on &= (some - k >= begin) & (symbol > 0)
+                columns.append(np.where(on, symbol, 0))
+            doc = chunk.per_token(np.arange(len(chunk.sizes)))[some]
+            held = _list(row["held"]).astype(np.int64)[doc]
+            depth, parent = chunk.depth[some].astype(np.uint8), chunk.parent(some)
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+            blobs = []
+            for a, b in zip(cuts, [*cuts[1:], len(some)]):
+                # Documents are in order: steps between them, and one bit for being held out.
+                step = np.diff(doc[a:b], prepend=0) * 2 + held[a:b]
+                late = depth[a:b] > 1
+                blobs.append(packer.compress(_planes([step, *(c[a:b] for c in columns)]) + depth[a:b].tobytes() + parent[a:b][late].tobytes()))
+            keys = bucket[cuts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys),
+                    pa.array(np.full(len(keys), row["chunk"].as_py(), np.int64)),
+                    pa.array(np.diff([*cuts, len(some)]).astype(np.int64)),
+                    pa.array(blobs, pa.binary()),
+                ],
+                names=["bucket", "chunk", "n", "tokens"],
+            )
+
+    return state.select(*_TOKENS).mapInArrow(send, "bucket long, chunk long, n long, tokens binary")
+
+
+def grown(symbols: np.ndarray, train: np.ndarray, depth: np.ndarray, context: np.ndarray, parent: np.ndarray, limits: tuple) -> np.ndarray:
+    """What the states add to the score of each token, for all tokens of the contexts that occur.
+
+    ``symbols`` has a row of tokens and one for each symbol before them; contexts (their codes) start with ``depth`` symbols.
+    """
+    divergence, least, prior = limits
+    longest = len(symbols) - 1
+    value = np.zeros(len(depth))
+    on, depth = np.arange(len(depth)), depth.astype(np.int64)
+    while len(on):
+        _, first, back = np.unique(_joined(context, symbols[0, on]), return_index=True, return_inverse=True)
+        n = np.bincount(back, weights=train[on], minlength=len(first))
+        _, group = np.unique(context[first], return_inverse=True)
+        seen = n > 0
+        total = np.bincount(group, weights=n)
+        # n * KL = sum of n(w) * log(n(w) / (n * parent(w))).
+        gain = np.bincount(group[seen], weights=n[seen] * np.log(n[seen] / parent[first[seen]]), minlength=len(total))
+        kinds = np.bincount(group[seen], minlength=len(total))
+        far = gain - total * np.log(np.maximum(total, 1.0)) >= divergence * kinds
+        keep = (far & (total >= max(least, 1)))[group][back]
+        probability = ((n[back] + prior * parent) / (total[group][back] + prior))[keep]
+        on, context, depth = on[keep], context[keep], depth[keep] + 1
+        value[on] += np.log10(probability / parent[keep])
+        symbol = np.where(depth <= longest, symbols[np.minimum(depth, longest), on], 0)
+        more = symbol > 0
+        on, context, depth, parent = on[more], _joined(context[more], symbol[more]), depth[more], probability[more]
+    return value
+
+
+def bucket_sums(rows: DataFrame, root: _Root, limits: tuple, longest: int) -> DataFrame:
+    """chunk, docs, sums: what each document's tokens in the bucket add to its score."""
+
+    def solve(held):
+        reader, total, at = zstandard.ZstdDecompressor(), sum(n for _, n, _ in held), 0
+        numbers, depth, parent = np.empty((longest + 2, total), np.uint32), np.empty(total, np.uint8), np.empty(total)
+        chunks_, sizes = [chunk for chunk, _, _ in held], [n for _, n, _ in held]
+        # Each cell is let go once it is read.
+        held.reverse()
+        while held:
+            _, n, blob = held.pop()
+            raw, to = reader.decompress(blob), at + n
+            numbers[:, at:to] = _from_planes(raw, longest + 2, n)
+            size = 4 * (longest + 2) * n
+            depth[at:to] = np.frombuffer(raw, np.uint8, n, size)
+            first = depth[at:to] == 1
+            parent[at:to][first] = root.probability(numbers[1, at:to][first])
+            parent[at:to][~first] = np.frombuffer(raw, "<f8", offset=size + n)
+            at = to
+        context = np.ones(len(depth), np.uint64)
+        for k in range(1, int(depth.max()) + 1):
+            some = np.flatnonzero(depth >= k)
+            context[some] = _joined(context[some], numbers[k + 1, some])
+        order = np.argsort(context)
+        edges = np.append(np.flatnonzero(np.diff(context[order])) + 1, len(order))
+        cuts = np.unique(edges[np.searchsorted(edges, np.arange(PART_TOKENS, len(order) + PART_TOKENS, PART_TOKENS).clip(max=len(order)))])
+        value = np.empty(total)
+        for some in np.split(order, cuts[:-1]):
+            # In the order of arrival, so that documents stay together in memory.
+            some = np.sort(some)
+            value[some] = grown(numbers[1:, some], (numbers[0, some] & 1) == 0, depth[some], context[some], parent[some], limits)
+        out = [[], [], []]
+        at = 0
+        for chunk, n in zip(chunks_, sizes):
+            step = numbers[0, at : at + n] >> 1
+            first = np.flatnonzero(np.append(True, step[1:] > 0))
+            sums = np.add.reduceat(value[at : at + n], first)
+            docs = np.cumsum(step, dtype=np.int64)[first][sums != 0]
+            for column, cell in zip(out, (chunk, _pack(np.diff(docs, prepend=0)), sums[sums != 0].astype("<f8").tobytes())):
+                column.append(cell)
+            at += n
+        types = (pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["chunk", "docs", "sums"])
+
+    def build(batches):
+        held, key = [], None
+        for batch in batches:
+            for bucket, chunk, n, blob in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if bucket != key and held:
+                    yield solve(held)
+                    held = []
+                key = bucket
+                held.append((chunk, n, blob))
+        if held:
+            yield solve(held)
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(build, "chunk long, docs binary, sums binary")
+
+
+def _scored(docs: DataFrame, sums: DataFrame) -> DataFrame:
+    """Documents of chunks with the sums of buckets added to their scores."""
+    found = sums.groupBy("chunk").agg(F.collect_list(F.struct("docs", "sums")).alias("found"))
+
+    def add(batches):
+        for row in _rows(batches, [*_DOCS, "found"]):
+            score = _list(row["score"]).astype(np.float64)
+            for part in row["found"] if row["found"].is_valid else ():
+                score[np.cumsum(_unpack(part["docs"]))] += _array(part["sums"], "<f8")
+            cells = [pa.array([row[name].as_py()], kind) for name, kind in zip(_DOCS[:-1], kinds)]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array([score], pa.list_(pa.float64()))], names=_DOCS)
+
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+    return docs.join(found, "chunk", "left").select(*_DOCS, "found").mapInArrow(add, docs.select(*_DOCS).schema)
 
 
 def _states(pairs: DataFrame, divergence: float, least: int) -> DataFrame:
@@ -372,36 +614,25 @@ def score_texts(
     counts = cut_lineage(dictionary_rows(parts).groupBy("word").agg(F.sum("n").alias("c")))
     rare_one = (F.col("c") > 0) & (F.col("c") < min_symbol)
     sums = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum(F.when(rare_one, F.col("c") + 1)).alias("rare")).first()
-    tokens = sums["n"] or 0
-    root = {"total": tokens + (sums["v"] or 0) + 1, "rare": (sums["rare"] or 0) + 1}
-    known = _by_chunk(dictionary_rows(parts).join(counts, "word"), "place", {"c": "<i8"})
-    state = cut_lineage(encoded(parts, known, root, min_symbol, min_context), frees=[parts, counts])
-
-    shorter = None
-    for level in range(1, depth + 1):
-        last = "c" if level == 1 else "upper"
-        pairs = _pair_rows(state, level).groupBy("pair").agg(F.sum("n").alias("all_n"), F.first("context").alias("context"), F.first(last).alias(last))
-        if level == 1:
-            pairs = pairs.withColumn("parent", (F.col("c") + 1.0) / F.lit(float(root["total"])))
-        else:
-            # The suffix of a candidate is a state, so its pairs have answers.
-            pairs = pairs.join(shorter.select(F.col("pair").alias("upper"), F.col("probability").alias("parent")), "upper")
-        pairs = cut_lineage(pairs.select("context", "pair", "all_n", "parent"), frees=[shorter])
-        states = cut_lineage(_states(pairs, divergence, min_context))
-        if states.isEmpty():
-            drop_cut(pairs)
-            break
-        probability = (F.col("all_n") + F.lit(prior) * F.col("parent")) / (F.col("all") + F.lit(prior))
-        answers = pairs.join(states, "context").withColumn("probability", probability)
-        more = F.log10(F.col("probability") / F.col("parent")).alias("more")
-        shorter = cut_lineage(
-            answers.select("pair", "probability", more, (F.col("all_n") >= min_context).cast("int").alias("often")), frees=[pairs, states]
-        )
-        answers = _by_chunk(_asked(state, level).join(shorter.drop("probability"), "pair"), "pair", {"pair": "<i8", "more": "<f8", "often": "i1"})
-        state = cut_lineage(_answered(state, answers, level), frees=[state])
-
-    lists = F.arrays_zip("doc_ids", "held", "sizes", "known", "base", "score")
-    done = state.select(F.explode(lists).alias("d"))
+    train = sums["n"] or 0
+    # Different counts add up to at most the tokens, so there are few.
+    steps = counts.filter(F.col("c") >= min_symbol).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()
+    root = _Root([(r["c"], r["n"]) for r in steps], train + (sums["v"] or 0) + 1, (sums["rare"] or 0) + 1)
+    symbols, spread = numbered_symbols(counts, min_symbol)
+    # Words of a partition fit memory, and hashing them spares sorting all words of the chunks.
+    known = _by_chunk(dictionary_rows(parts).join(symbols.hint("shuffle_hash"), "word"), "place", {"symbol": "<i8"})
+    state = cut_lineage(encoded(parts, known, root, min_context), frees=[parts, spread])
+
+    size = state.agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()
+    limits, tokens = (divergence, min_context, prior), size["n"] or 0
+    state = heavy_levels(state, root, tokens, size["chunks"], limits, depth)
+    docs = state.select(*_DOCS)
+    for turn in range(TURNS):
+        sent = bucket_rows(state, root, -(-tokens // BUCKET_TOKENS) or 1, turn, depth)
+        docs = cut_lineage(_scored(docs, bucket_sums(sent, root, limits, depth)), frees=[docs])
+    drop_cut(state)
+
+    done = docs.select(F.explode(F.arrays_zip("doc_ids", "held", "sizes", "known", "base", "score")).alias("d"))
     return done.select(
         F.col("d.doc_ids").alias("doc_id"),
         F.col("d.held").alias("held_out"),
@@ -409,7 +640,7 @@ def score_texts(
         F.col("d.known").alias("n_known"),
         F.col("d.base").alias("base_score"),
         F.col("d.score").alias("score"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
+        F.lit(train).cast("long").alias("train_tokens"),
     )
 
 

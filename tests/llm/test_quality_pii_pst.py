@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshloom.llm import pii, pst, quality
+from meshloom.session import cut_lineage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -230,3 +231,31 @@ def test_suffix_tree_grows_to_contexts_of_four_symbols(spark, docs, monkeypatch)
         assert all(got[i] == pytest.approx(w[4]) for i, w in enumerate(want))
         scores.append(sum(got[i] for i in got if held[i]))
     assert scores[0] < scores[1]
+
+
+@pytest.mark.parametrize("heavy, bucket", [(1 << 20, 300), (60, 1 << 20), (25, 500), (1, 1 << 20)])
+def test_suffix_tree_heavy_contexts_and_buckets(spark, docs, monkeypatch, heavy, bucket):
+    """Contexts counted by exchanged pairs and those grown in buckets give one tree; no table has a row per pair of a light context."""
+    rows_of = []
+
+    def counted(df, frees=()):
+        out = cut_lineage(df, frees)
+        rows_of.append((tuple(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(pst, "cut_lineage", counted)
+    monkeypatch.setattr(pst, "CHUNK_TOKENS", 700)
+    monkeypatch.setattr(pst, "HEAVY", heavy, raising=False)
+    monkeypatch.setattr(pst, "BUCKET_TOKENS", bucket, raising=False)
+    rng = random.Random(7)
+    texts = []
+    for i in range(160):
+        words = [rng.choice("ab") if rng.random() < 0.5 else f"w{int(rng.expovariate(0.02))}" for _ in range(rng.randint(0, 60))]
+        texts.append(" ".join(words + ["one", "two", "three", "four", "five"] * (i % 3)))
+    held = [i % 7 == 2 for i in range(160)]
+    got = {r["doc_id"]: r for r in pst.score_texts(docs(texts).withColumn("held_out", F.col("doc_id") % 7 == 2).repartition(4)).collect()}
+    want, states = brute_scores(texts, held, 2, 2)
+    assert max(states) == 4
+    assert all(got[i]["score"] == pytest.approx(w[4]) and got[i]["base_score"] == pytest.approx(w[3]) for i, w in enumerate(want))
+    assert heavy <= 60 or not any("pair" in columns for columns, _ in rows_of)
+    assert heavy > 60 or any("pair" in columns and n for columns, n in rows_of)
