@@ -20,8 +20,8 @@ is a chunk of its own), each with its own dictionary, from which symbols are num
 All contexts that end with one context are in its subtree, so a token goes once, with its history,
 to the bucket of its last symbol; there the subtrees are grown level by level and every token is
 scored, with no exchange of counts. What returns is one sum per document and bucket. A context
-with about HEAVY tokens or more would not fit a bucket: its pairs (context, next symbol) are summed before
-and after an exchange and answered per chunk, and its tokens go on with contexts of one symbol more,
+with about HEAVY tokens or more would not fit a bucket: its distinct pairs (context, next symbol) go from the
+chunks to groups, which return their counts, and its tokens go on with contexts of one symbol more,
 until these fit. Tables are deleted once the next one is written. Both minimum counts are absolute:
 a larger corpus has more symbols and states.
 
@@ -332,6 +332,19 @@ class _Chunk:
             some, context = some[found], context[found]
         return some, context
 
+    def heavy_pairs(self, level: int, heavy: np.ndarray, groups: int) -> tuple[np.ndarray, ...]:
+        """Tokens in heavy contexts; of their distinct pairs (context, next symbol): a token of each, group and context, by group; each token's pair.
+
+        A context has its pairs in a sixteenth of the groups.
+        """
+        some, context = self.next_contexts(level, heavy)
+        pairs, first, back = np.unique(_joined(context, self.at[some]), return_index=True, return_inverse=True)
+        group = (((context[first] >> np.uint64(20)) + pairs % np.uint64(-(-groups // 16))) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return some, some[first[order]], group[order], np.searchsorted(heavy, context[first[order]]), place[back]
+
 
 def _heavy_contexts(state: DataFrame, root: _Root, level: int, number: int) -> np.ndarray:
     """Contexts of ``level`` symbols with HEAVY tokens, and some with half of that; at most 2 a HEAVY tokens.
@@ -347,48 +360,120 @@ def _heavy_contexts(state: DataFrame, root: _Root, level: int, number: int) -> n
             yield pa.RecordBatch.from_arrays([pa.array(codes[n >= least].view(np.int64)), pa.array(n[n >= least])], names=["context", "n"])
 
     seen = state.select(*_TOKENS).mapInArrow(count, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r["context"] for r in seen.filter(F.col("n") >= HEAVY // 2).collect()], np.int64)).view(np.uint64)
+    return np.sort(np.array([r["context"] for r in seen.filter(F.col("n") >= HEAVY // 2).collect()], np.int64).view(np.uint64))
 
 
-def _pair_rows(state: DataFrame, root: _Root, level: int, heavy: np.ndarray, asked: bool) -> DataFrame:
-    """The distinct pairs of each chunk in heavy contexts: chunk, pair, or context, pair, n (training only), parent."""
-    kind = "chunk long, pair long" if asked else "context long, pair long, n long, parent double"
-    names = [c.split()[0] for c in kind.split(", ")]
+def _planes(columns: list[np.ndarray]) -> bytes:
+    """Columns of small numbers, byte by byte of all rows: high bytes compress to nothing."""
+    return np.ascontiguousarray(np.stack(columns).astype("<u4").view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1)).tobytes()
+
 
-    def emit(batches):
+def _from_planes(raw: bytes, number: int, rows: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, number * 4 * rows).reshape(number, 4, rows)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[:, :, 0]
+
+
+def heavy_rows(state: DataFrame, root: _Root, level: int, heavy: np.ndarray, groups: int) -> DataFrame:
+    """bucket, chunk, n, pairs: the distinct pairs of a chunk in heavy contexts that are in a group, with training counts."""
+
+    def send(batches):
+        packer = zstandard.ZstdCompressor(level=1)
         for row in _rows(batches, _TOKENS):
             chunk = _Chunk(row, root)
-            some, context = chunk.next_contexts(level, heavy)
-            pairs, first, back = np.unique(_joined(context, chunk.at[some]).view(np.int64), return_index=True, return_inverse=True)
-            if asked:
-                columns = [np.full(len(pairs), row["chunk"].as_py(), np.int64), pairs]
-            else:
-                train = ~chunk.per_token(_list(row["held"]).astype(bool))[some]
-                n = np.bincount(back, weights=train, minlength=len(pairs)).astype(np.int64)
-                columns = [context[first].view(np.int64), pairs, n, chunk.parent(some[first])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            some, first, group, number, back = chunk.heavy_pairs(level, heavy, groups)
+            train = ~chunk.per_token(_list(row["held"]).astype(bool))[some]
+            n = np.bincount(back, weights=train, minlength=len(first)).astype(np.int64)
+            parent = chunk.parent(first) if level > 1 else np.zeros(0)
+            cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+            ends = [*cuts[1:], len(group)]
+            blobs = [packer.compress(_planes([number[a:b], chunk.at[first[a:b]], n[a:b]]) + parent[a:b].tobytes()) for a, b in zip(cuts, ends)]
+            columns = [group[cuts], np.full(len(cuts), row["chunk"].as_py(), np.int64), np.diff([*cuts, len(group)]).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "n", "tokens"])
+
+    return state.select(*_TOKENS).mapInArrow(send, "bucket long, chunk long, n long, tokens binary")
+
+
+def _per_bucket(rows: DataFrame, solve, kind: str) -> DataFrame:
+    """The batch that ``solve`` makes of the cells (bucket, chunk, n, tokens) of each bucket."""
+
+    def build(batches):
+        held, key = [], None
+        for batch in batches:
+            for bucket, chunk, n, blob in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if bucket != key and held:
+                    yield solve(held)
+                    held = []
+                key = bucket
+                held.append((bucket, chunk, n, blob))
+        if held:
+            yield solve(held)
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(build, kind)
 
-    return state.select(*_TOKENS).mapInArrow(emit, kind)
 
+def heavy_counts(rows: DataFrame, root: _Root, level: int) -> DataFrame:
+    """chunk, bucket, counts: the counts of all chunks for each chunk's pairs; and a row a bucket without a chunk,
+    with what its pairs add to the sums of each context."""
 
-def _answered(state: DataFrame, answers: DataFrame, root: _Root, level: int, heavy: np.ndarray, longest: int) -> DataFrame:
+    def solve(held):
+        reader, tables, parents = zstandard.ZstdDecompressor(), [], []
+        for _, _, n, blob in held:
+            raw = reader.decompress(blob)
+            tables.append(_from_planes(raw, 3, n))
+            parents.append(root.probability(tables[-1][1]) if level == 1 else np.frombuffer(raw, "<f8", offset=12 * n))
+        context, symbol, n = np.concatenate(tables, axis=1).astype(np.int64)
+        _, first, back = np.unique((context << 32) + symbol, return_index=True, return_inverse=True)
+        all_n = np.bincount(back, weights=n)
+        parent, context = np.concatenate(parents)[first], context[first]
+        seen = np.flatnonzero(all_n > 0)
+        present, at = np.unique(context[seen], return_inverse=True)
+        sums = [np.bincount(at, weights=w) for w in (all_n[seen], np.ones(len(seen)), all_n[seen] * np.log(all_n[seen] / parent[seen]))]
+        cells = np.split(all_n[back].astype(np.int64), np.cumsum([n for _, _, n, _ in held])[:-1])
+        columns = [
+            pa.array([chunk for _, chunk, _, _ in held] + [None], pa.int64()),
+            pa.array([bucket for bucket, _, _, _ in held] + [held[0][0]], pa.int64()),
+            pa.array([_pack(c) for c in cells] + [None], pa.binary()),
+            *(pa.array([None] * len(held) + [values], pa.list_(t)) for values, t in zip((present, *sums), (pa.int64(), *[pa.float64()] * 3))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "counts", "contexts", "totals", "kinds", "gains"])
+
+    kind = "chunk long, bucket long, counts binary, contexts array<long>, totals array<double>, kinds array<double>, gains array<double>"
+    return _per_bucket(rows, solve, kind)
+
+
+def _heavy_states(counts: DataFrame, number: int, divergence: float, least: int) -> np.ndarray:
+    """The training count of each heavy context that is retained, 0 for the others."""
+    parts = counts.filter("chunk is null").select(F.explode(F.arrays_zip("contexts", "totals", "kinds", "gains")).alias("c"))
+    sums = parts.groupBy("c.contexts").agg(*(F.sum(f"c.{name}").alias(name) for name in ("totals", "kinds", "gains")))
+    # n * KL = sum of n(w) * log(n(w) / (n * parent(w))).
+    far = F.col("gains") - F.col("totals") * F.log("totals") >= F.lit(divergence) * F.col("kinds")
+    out = np.zeros(number)
+    for r in sums.filter(far & (F.col("totals") >= least)).collect():
+        out[r["contexts"]] = r["totals"]
+    return out
+
+
+def _answered(
+    state: DataFrame, counts: DataFrame, root: _Root, level: int, heavy: np.ndarray, groups: int, totals: np.ndarray, prior: float, longest: int
+) -> DataFrame:
     """Chunks with the scores that heavy states of ``level`` symbols give, their tokens at one symbol more."""
-    columns = [*_STATE, "pair", "probability"]
+    columns = [*_STATE, "found"]
+    found = counts.filter("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("found"))
 
     def update(batches):
         for row in _rows(batches, columns):
             chunk = _Chunk(row, root)
-            some, context = chunk.next_contexts(level, heavy)
-            # The heavy contexts without answers are no states.
+            some, first, _, number, back = chunk.heavy_pairs(level, heavy, groups)
+            # The heavy contexts that are not retained are no states.
             depth, parent = chunk.depth.copy(), np.zeros(len(chunk.at))
             depth[some] = 0
             parent[chunk.late] = chunk.parents
-            pairs, probability = _array(row["pair"], "<i8"), _array(row["probability"], "<f8")
-            if len(pairs):
-                asked = _joined(context, chunk.at[some]).view(np.int64)
-                place = np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)
-                found = pairs[place] == asked
-                some, value = some[found], probability[place[found]]
+            if len(some):
+                cells = sorted(row["found"], key=lambda cell: cell["bucket"].as_py())
+                n = np.concatenate([_unpack(cell["counts"]) for cell in cells])
+                value = ((n + prior * chunk.parent(first)) / (totals[number] + prior))[back]
+                kept = totals[number][back] > 0
+                some, value = some[kept], value[kept]
                 more = np.zeros(len(chunk.at))
                 more[some] = np.log10(value / chunk.parent(some))
                 row["score"] = (_list(row["score"]) + np.array(_sums(more, chunk.sizes))).tolist()
@@ -402,37 +487,23 @@ def _answered(state: DataFrame, answers: DataFrame, root: _Root, level: int, hea
 
     lists = {"doc_ids": pa.int64(), "held": pa.bool_(), "sizes": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
     kinds = [pa.int64() if name == "chunk" else pa.list_(lists[name]) if name in lists else pa.binary() for name in _STATE]
-    return state.join(answers, "chunk", "left").select(*columns).mapInArrow(update, state.select(*_STATE).schema)
+    return state.join(found, "chunk", "left").select(*columns).mapInArrow(update, state.select(*_STATE).schema)
 
 
 def heavy_levels(state: DataFrame, root: _Root, tokens: int, number: int, limits: tuple, longest: int) -> DataFrame:
     """Chunks after all contexts with HEAVY tokens, which lie below each other from the root on."""
     divergence, least, prior = limits
+    groups = -(-tokens // BUCKET_TOKENS) or 1
     for level in range(1, longest + 1) if tokens >= HEAVY else ():
         heavy = _heavy_contexts(state, root, level, number)
         if not len(heavy):
             break
-        pairs = _pair_rows(state, root, level, heavy, False).groupBy("pair")
-        pairs = cut_lineage(pairs.agg(F.sum("n").alias("all_n"), F.first("context").alias("context"), F.first("parent").alias("parent")))
-        probability = (F.col("all_n") + F.lit(prior) * F.col("parent")) / (F.col("all") + F.lit(prior))
-        answers = pairs.join(F.broadcast(_states(pairs, divergence, least)), "context").select("pair", probability.alias("probability"))
-        asked = _pair_rows(state, root, level, heavy, True).join(answers, "pair")
-        state = cut_lineage(
-            _answered(state, _by_chunk(asked, "pair", {"pair": "<i8", "probability": "<f8"}), root, level, heavy, longest), frees=[state, pairs]
-        )
+        counts = cut_lineage(heavy_counts(heavy_rows(state, root, level, heavy, groups), root, level))
+        totals = _heavy_states(counts, len(heavy), divergence, least)
+        state = cut_lineage(_answered(state, counts, root, level, heavy, groups, totals, prior, longest), frees=[state, counts])
     return state
 
 
-def _planes(columns: list[np.ndarray]) -> bytes:
-    """Columns of small numbers, byte by byte of all rows: high bytes compress to nothing."""
-    return np.ascontiguousarray(np.stack(columns).astype("<u4").view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1)).tobytes()
-
-
-def _from_planes(raw: bytes, number: int, rows: int) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8, number * 4 * rows).reshape(number, 4, rows)
-    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[:, :, 0]
-
-
 def bucket_rows(state: DataFrame, root: _Root, buckets: int, turn: int, longest: int) -> DataFrame:
     """bucket, chunk, n, tokens: the tokens of a chunk whose next context is in the bucket, with their histories.
 
@@ -516,13 +587,13 @@ def bucket_sums(rows: DataFrame, root: _Root, limits: tuple, longest: int) -> Da
     """chunk, docs, sums: what each document's tokens in the bucket add to its score."""
 
     def solve(held):
-        reader, total, at = zstandard.ZstdDecompressor(), sum(n for _, n, _ in held), 0
+        reader, total, at = zstandard.ZstdDecompressor(), sum(n for _, _, n, _ in held), 0
         numbers, depth, parent = np.empty((longest + 2, total), np.uint32), np.empty(total, np.uint8), np.empty(total)
-        chunks_, sizes = [chunk for chunk, _, _ in held], [n for _, n, _ in held]
+        chunks_, sizes = [chunk for _, chunk, _, _ in held], [n for _, _, n, _ in held]
         # Each cell is let go once it is read.
         held.reverse()
         while held:
-            _, n, blob = held.pop()
+            _, _, n, blob = held.pop()
             raw, to = reader.decompress(blob), at + n
             numbers[:, at:to] = _from_planes(raw, longest + 2, n)
             size = 4 * (longest + 2) * n
@@ -556,19 +627,7 @@ def bucket_sums(rows: DataFrame, root: _Root, limits: tuple, longest: int) -> Da
         types = (pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["chunk", "docs", "sums"])
 
-    def build(batches):
-        held, key = [], None
-        for batch in batches:
-            for bucket, chunk, n, blob in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if bucket != key and held:
-                    yield solve(held)
-                    held = []
-                key = bucket
-                held.append((chunk, n, blob))
-        if held:
-            yield solve(held)
-
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(build, "chunk long, docs binary, sums binary")
+    return _per_bucket(rows, solve, "chunk long, docs binary, sums binary")
 
 
 def _scored(docs: DataFrame, sums: DataFrame) -> DataFrame:
@@ -587,17 +646,6 @@ def _scored(docs: DataFrame, sums: DataFrame) -> DataFrame:
     return docs.join(found, "chunk", "left").select(*_DOCS, "found").mapInArrow(add, docs.select(*_DOCS).schema)
 
 
-def _states(pairs: DataFrame, divergence: float, least: int) -> DataFrame:
-    """context, all: the retained ones, for distinct pairs (context, all_n, parent)."""
-    seen = F.col("all_n") > 0
-    totals = pairs.groupBy("context").agg(
-        F.sum("all_n").alias("all"), F.count_if(seen).alias("kinds"), F.sum(F.when(seen, F.col("all_n") * F.log(F.col("all_n") / F.col("parent")))).alias("gain")
-    )
-    # n * KL = sum of n(w) * log(n(w) / (n * parent(w))).
-    far = F.col("gain") - F.col("all") * F.log("all") >= F.lit(divergence) * F.col("kinds")
-    return totals.filter(far & (F.col("all") >= least)).select("context", "all")
-
-
 def score_texts(
     rows: DataFrame,
     min_symbol: int = MIN_SYMBOL,

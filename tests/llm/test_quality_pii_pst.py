@@ -257,5 +257,6 @@ def test_suffix_tree_heavy_contexts_and_buckets(spark, docs, monkeypatch, heavy,
     want, states = brute_scores(texts, held, 2, 2)
     assert max(states) == 4
     assert all(got[i]["score"] == pytest.approx(w[4]) and got[i]["base_score"] == pytest.approx(w[3]) for i, w in enumerate(want))
-    assert heavy <= 60 or not any("pair" in columns for columns, _ in rows_of)
-    assert heavy > 60 or any("pair" in columns and n for columns, n in rows_of)
+    # A table has a word, a chunk, or a chunk and bucket in a row.
+    assert not any("pair" in columns for columns, _ in rows_of)
+    assert (heavy <= 60) == any("counts" in columns and "bucket" in columns and n for columns, n in rows_of)
